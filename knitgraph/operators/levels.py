@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from knitgraph.operators.peeling import (
     EDGES_OF_TRIANGLE,
+    MAX_PATCHES,
     triangles_in_core,
 )
 from knitgraph.plans.skew import DEFAULT_LIMITS, Limits, heavy_keys, lookup
@@ -34,32 +35,32 @@ def _attach(rows: DataFrame, table: DataFrame, column: str, prefix: str, **how)
     return rows
 
 
-def _edge_rows(rows: DataFrame, value, keep) -> DataFrame:
-    """One row ``(src, dst, value)`` per side of a triangle for which ``keep``."""
-    sides = [
-        F.when(
-            keep(side),
-            F.struct(_SHAPE.key_struct(_SHAPE.members[side]).alias("edge"), value(side).alias("value")),
-        )
-        for side in _SIDES
+def _edge_rows(rows: DataFrame, sides: list[tuple[str, str]]) -> DataFrame:
+    """One row ``(src, dst, value)`` per side of a triangle for which its
+    condition holds; ``sides`` lists (condition, value) for the three sides."""
+    structs = [
+        f"if({condition}, struct({_SHAPE.key_struct(member)} AS edge, {value} AS value), NULL)"
+        for member, (condition, value) in zip(_SHAPE.members, sides)
     ]
     return (
-        rows.select(F.explode(F.array(*sides)).alias("side"))
-        .filter(F.col("side").isNotNull())
-        .select("side.edge.*", "side.value")
+        rows.selectExpr(f"inline(array({', '.join(structs)}))")
+        .filter("edge IS NOT NULL")
+        .select("edge.*", "value")
     )
 
 
-def level_histogram_per_edge(levelled: DataFrame, keep=None) -> DataFrame:
+def level_histogram_per_edge(
+    levelled: DataFrame, conditions: tuple[str, ...] = ("true", "true", "true")
+) -> DataFrame:
     """``(src, dst, value, triangles)``: the triangles of an edge by the lowest
     level in them, counted map-side first.
 
     The own level of the edge takes part in the minimum, which caps the values;
     an h-index step can only lower a level, so the cap does not alter it.
     """
-    lowest = F.least(*[F.col(f"tau_{side}") for side in _SIDES])
+    lowest = f"least({', '.join(f'tau_{side}' for side in _SIDES)})"
     return (
-        _edge_rows(levelled, lambda side: lowest, keep or (lambda side: F.lit(True)))
+        _edge_rows(levelled, [(condition, lowest) for condition in conditions])
         .groupBy(*_KEYS, "value")
         .agg(F.count(F.lit(1)).alias("triangles"))
     )
@@ -83,98 +84,161 @@ def h_index_per_edge(histogram: DataFrame) -> DataFrame:
     )
 
 
-def _affected_edges(triangles: DataFrame, state: DataFrame, changed: DataFrame) -> DataFrame:
-    """Edges that a change may lower: they share a triangle with a changed edge
-    whose new level is below their own. ``changed`` must be small."""
-    hit = _attach(triangles, changed, "tau", "new_", broadcast=True)
+def refine_all(
+    triangles: DataFrame,
+    levels: DataFrame,
+    heavy: DataFrame | None = None,
+    limits: Limits = DEFAULT_LIMITS,
+) -> DataFrame:
+    """``(src, dst, level)``: one h-index step for every edge."""
+    levelled = _attach(triangles, levels, "tau", "tau_", how="inner", heavy=heavy, limits=limits)
+    return h_index_per_edge(level_histogram_per_edge(levelled))
+
 
-    def others(side):
-        return F.least(*[F.col(f"new_{other}") for other in _SIDES if other != side])
+def _latest(log: DataFrame) -> DataFrame:
+    """The newest row of each edge in a log of falling levels."""
+    return log.groupBy(*_KEYS).agg(F.min("tau").alias("tau"), F.max("support").alias("support"))
 
+
+def _affected_edges(
+    triangles: DataFrame, log: DataFrame, changed: DataFrame, small: bool
+) -> DataFrame:
+    """``(src, dst, tau, support)`` of the edges that a change may lower: they
+    share a triangle with a changed edge whose new level is below their own."""
+    hit = _attach(triangles, changed, "tau", "new_", broadcast=True)
+    # `least` skips nulls, that is partners that did not change.
+    lowest = [
+        f"least({', '.join(f'new_{other}' for other in _SIDES if other != side)})"
+        for side in _SIDES
+    ]
     reached = (
-        _edge_rows(hit, others, lambda side: others(side).isNotNull())
+        _edge_rows(hit, [(f"{value} IS NOT NULL", value) for value in lowest])
         .groupBy(*_KEYS)
         .agg(F.min("value").alias("reached_by"))
     )
     return (
-        reached.join(state, _KEYS).filter(F.col("reached_by") < F.col("tau")).select(*_KEYS)
+        log.join(F.broadcast(reached) if small else reached, _KEYS)
+        .groupBy(*_KEYS)
+        .agg(
+            F.min("tau").alias("tau"),
+            F.max("support").alias("support"),
+            F.max("reached_by").alias("reached_by"),
+        )
+        .filter("reached_by < tau")
+        .drop("reached_by")
     )
 
 
-def refine(
-    triangles: DataFrame,
-    state: DataFrame,
-    affected: DataFrame | None = None,
-    heavy: DataFrame | None = None,
-    limits: Limits = DEFAULT_LIMITS,
+def _refine_affected(
+    triangles: DataFrame, log: DataFrame, affected: DataFrame, small: bool
 ) -> DataFrame:
-    """``(src, dst, level)``: one h-index step, for all edges or for the
-    ``affected`` ones, which must be few."""
-    if affected is None:
-        levelled = _attach(triangles, state, "tau", "tau_", how="inner", heavy=heavy, limits=limits)
-        return h_index_per_edge(level_histogram_per_edge(levelled))
-    flagged = affected.withColumn("affected", F.lit(True))
+    """One h-index step for the affected edges: their rows with lower levels.
+
+    The three edges of the triangles around them look up their levels as rows,
+    so that the log is read once and not by one join per side.
+    """
+    flagged = affected.selectExpr(*_KEYS, "true AS affected")
+    flags = [f"is_{side}" for side in _SIDES]
     near = _attach(triangles, flagged, "affected", "is_", broadcast=True).filter(
-        F.coalesce(*[F.col(f"is_{side}") for side in _SIDES])
+        f"coalesce({', '.join(flags)})"
     )
-    levelled = _attach(near, state, "tau", "tau_", how="inner", heavy=heavy, limits=limits)
-    return h_index_per_edge(
-        level_histogram_per_edge(levelled, lambda side: F.col(f"is_{side}"))
+    corners = ["a", "b", "c", *flags]
+    structs = ", ".join(_SHAPE.key_struct(member) for member in _SHAPE.members)
+    sides = near.selectExpr(*corners, f"inline(array({structs}))")
+    # The minimum over the log rows of all three edges is the lowest level.
+    lowest = (
+        log.join(F.broadcast(sides) if small else sides, _KEYS)
+        .groupBy(*corners)
+        .agg(F.min("tau").alias("lowest"))
+    )
+    histogram = (
+        _edge_rows(lowest, [(flag, "lowest") for flag in flags])
+        .groupBy(*_KEYS, "value")
+        .agg(F.count(F.lit(1)).alias("triangles"))
+    )
+    return (
+        h_index_per_edge(histogram)
+        .join(affected, _KEYS)
+        .filter("level < tau")
+        .selectExpr(*_KEYS, "level AS tau", "support")
     )
 
 
-def support_state(triangles: DataFrame) -> DataFrame:
+def support_levels(triangles: DataFrame) -> DataFrame:
     """The starting levels: ``(src, dst, tau)`` with tau = support."""
     return _SHAPE.member_counts(triangles, "tau")
 
 
-def _settle(
-    work: Workspace, triangles: Staged, limits: Limits
-) -> tuple[Staged, list[int]]:
-    """Refine until no level changes; also the changes made in each round."""
-    state = work.save(
-        support_state(triangles.df).withColumn("changed", F.lit(0)), "levels"
-    )
-    # Hot edges are those in many triangles; their set stays fixed, so does its bound.
-    heavy_support = heavy_keys(state.df, "tau", 3 * triangles.rows, limits)
-    heavy_edges = (
-        None if heavy_support is None else work.save(heavy_support.select(*_KEYS), "heavy")
-    )
+def _settle(work: Workspace, triangles: Staged, limits: Limits) -> tuple[DataFrame, list[int]]:
+    """Refine until no level changes; also the number of changes per round.
+
+    Levels are a log like the counts of the peeling loop. While many edges
+    change, a round refines all of them and rewrites the log. Once few change,
+    a round reads the triangles around the changed edges and adds a patch.
+    """
+
+    def save(df: DataFrame, name: str = "levels") -> Staged:
+        """Levels; ``fell`` marks the edges that this round changed."""
+        return work.save(
+            df,
+            name,
+            fell=F.count_if("fell"),
+            reach=F.sum(F.when(F.col("fell"), F.col("support"))),
+        )
+
+    start = support_levels(triangles.df).selectExpr("*", "tau AS support", "true AS fell")
+    log = [save(start)]
+    # Hot edges are those in many triangles.
+    heavy_edges = heavy_keys(log[0].df, "support", 3 * triangles.rows, limits)
+    if heavy_edges is not None:
+        heavy_edges = work.save(heavy_edges.select(*_KEYS), "heavy")
+    few = min(limits.broadcast_rows, log[0].rows // 4)
     changes: list[int] = []
-    to_notify = state.rows
+    to_notify = log[0].rows
     while to_notify:
-        this_round = len(changes) + 1
-        affected = None
-        # A broadcast set of edges pays off only if it is small against all edges.
-        few = min(limits.broadcast_rows, state.rows // 4)
-        if to_notify <= few:
-            changed = state.df.filter(F.col("changed") == this_round - 1)
-            affected = work.save(_affected_edges(triangles.df, state.df, changed), "affected")
-        if affected is not None and affected.rows > few:
+        newest = log[-1]
+        everything = work.read(*log)
+        patch = None
+        # More edges are affected than changed: do not look for them in vain.
+        if 2 * to_notify <= few:
+            # Each changed edge reaches two edges per triangle it is in.
+            small = 2 * newest.measures["reach"] <= limits.broadcast_rows
+            changed = newest.df.filter("fell")
+            affected = work.save(
+                _affected_edges(triangles.df, everything, changed, small),
+                "affected",
+                triangles=F.sum("support"),
+            )
+            if affected.rows <= few:
+                small = 3 * affected.measures["triangles"] <= limits.broadcast_rows
+                lower = _refine_affected(triangles.df, everything, affected.df, small)
+                patch = save(lower.withColumn("fell", F.lit(True)))
             work.drop(affected)
-            affected = None
-        heavy = None
-        if heavy_edges is not None:
-            heavy = state.df.join(F.broadcast(heavy_edges.df), _KEYS)
-        proposed = refine(
-            triangles.df, state.df, None if affected is None else affected.df, heavy, limits
-        )
-        falls = F.col("level") < F.col("tau")
-        lowered = work.save(
-            state.df.join(proposed, _KEYS, "left").select(
-                *_KEYS,
-                F.coalesce("level", "tau").alias("tau"),
-                F.when(falls, F.lit(this_round)).otherwise(F.col("changed")).alias("changed"),
-            ),
-            "levels",
-            fallen=F.count_if(F.col("changed") == this_round),
-        )
-        work.drop(state, affected)
-        state = lowered
-        to_notify = state.measures["fallen"]
+        if patch is not None:
+            log.append(patch)
+        else:
+            levels = everything.drop("fell") if len(log) == 1 else _latest(everything)
+            heavy = None
+            if heavy_edges is not None and heavy_edges.rows:
+                heavy = levels.join(F.broadcast(heavy_edges.df), _KEYS)
+            proposed = refine_all(triangles.df, levels, heavy, limits)
+            rewritten = save(
+                levels.join(proposed, _KEYS).selectExpr(
+                    *_KEYS, "level AS tau", "support", "level < tau AS fell"
+                )
+            )
+            work.drop(*log)
+            log = [rewritten]
+        to_notify = log[-1].measures["fell"]
         changes.append(to_notify)
+        if len(log) > MAX_PATCHES:
+            older = log[1:-1]
+            merged = save(_latest(work.read(*older)).withColumn("fell", F.lit(False)))
+            work.drop(*older)
+            log = [log[0], merged, log[-1]]
     work.drop(triangles, heavy_edges)
-    return state, changes
+    settled = work.read(*log)
+    return (settled if len(log) == 1 else _latest(settled)), changes
 
 
 def truss_levels(
@@ -191,8 +255,8 @@ def truss_levels(
     """
     work = Workspace(spark, "levels")
     triangles = triangles_in_core(work, spark, edges, min_core, prefilter_rounds, limits)
-    state, _ = _settle(work, triangles, limits)
-    return state.df.select(*_KEYS, "tau")
+    settled, _ = _settle(work, triangles, limits)
+    return settled.select(*_KEYS, "tau")
 
 
 def level_histogram(levels: DataFrame, size: int | None = None) -> DataFrame:

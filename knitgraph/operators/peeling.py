@@ -5,17 +5,18 @@ counts for them (edges, or triangles). An element stays while it is in enough
 live cells. Each round removes the elements that are below the threshold, all at
 once, and the cells of removed elements die with them.
 
-What moves in a round is proportional to what dies in it:
-
-* the state holds one row per element with its live count, which is lowered by
-  the cells that die, so nothing is recounted;
-* the removed elements are broadcast to the cells while they are few (their
-  number is known from the previous write), so that cells are scanned but not
-  shuffled. Removed elements accumulate as a mask until half of the cells are
-  dead, then the cells are rewritten once: all rewrites together cost no more
-  than twice the first table;
-* when too many elements leave in one round, the cells are joined by shuffle,
-  with hot elements split off, and are rewritten in the same pass.
+What is written in a round is proportional to what dies in it:
+
+* Live counts are a log: one table with the first count of every element, then
+  per round a patch with the new counts of the elements that lost a cell. Counts
+  only fall, so the newest row of an element is its smallest.
+* The removed elements are broadcast to the cells while they are few (their
+  number is known from the write before), so cells are scanned but not shuffled.
+  They accumulate as a mask until half of the cells are dead. Then cells and
+  counts are rewritten: each rewrite of the cells is at most half as large as
+  the one before, all of them together no larger than the first table.
+* When too many elements leave at once for a broadcast, cells are joined by
+  shuffle, with hot elements split off, and are rewritten in the same pass.
 """
 
 from __future__ import annotations
@@ -38,15 +39,17 @@ class CellShape:
     keys: tuple[str, ...]
     members: tuple[tuple[str, ...], ...]
 
-    def key_struct(self, member: tuple[str, ...]) -> Column:
-        return F.struct(*[F.col(c).alias(k) for c, k in zip(member, self.keys)])
+    def key_struct(self, member: tuple[str, ...]) -> str:
+        fields = [f"{column} AS {key}" for column, key in zip(member, self.keys)]
+        return f"struct({', '.join(fields)})"
 
     def on(self, member: tuple[str, ...]) -> dict[str, str]:
         return dict(zip(member, self.keys))
 
     def member_counts(self, cells: DataFrame, name: str) -> DataFrame:
+        structs = ", ".join(self.key_struct(member) for member in self.members)
         return (
-            cells.select(F.inline(F.array(*[self.key_struct(m) for m in self.members])))
+            cells.selectExpr(f"inline(array({structs}))")
             .groupBy(*self.keys)
             .agg(F.count(F.lit(1)).alias(name))
         )
@@ -58,26 +61,41 @@ EDGES_OF_TRIANGLE = CellShape(
 )
 
 
+def _latest(counts: DataFrame, shape: CellShape) -> DataFrame:
+    """The newest row of each element in a log of falling counts."""
+    return counts.groupBy(*shape.keys).agg(
+        F.min("live").alias("live"),
+        F.max("round").alias("round"),
+        F.lit(0).cast("long").alias("lost"),
+    )
+
+
 @dataclass(frozen=True)
 class Peeled:
     """The outcome of a peeling loop."""
 
-    state: Staged
+    counts: DataFrame  # log of (keys, live, round, lost); round: when it could leave
     cells: Staged
     shape: CellShape
-    masked: int  # removed elements that the cells table still contains
+    threshold: int
+    masked: int  # removed elements that counts and cells still contain
     removed: list[int]  # elements removed per round
-    limits: Limits
+
+    def _gone(self):
+        return (F.col("live") < self.threshold) & (F.col("round") <= len(self.removed))
 
     def survivors(self, count: str) -> DataFrame:
         """The remaining elements with their number of live cells."""
-        return self.state.df.filter(F.col("gone").isNull()).select(
+        newest = _latest(self.counts, self.shape) if self.masked else self.counts
+        return newest.filter(~self._gone()).select(
             *self.shape.keys, F.col("live").alias(count)
         )
 
     def live_cells(self) -> DataFrame:
         """The cells none of whose elements was removed."""
-        return _without_gone(self.cells.df, self.shape, self.state.df, self.masked)
+        if not self.masked:
+            return self.cells.df
+        return _without(self.cells.df, self.shape, self.counts.filter(self._gone()))
 
 
 def rounds_table(spark: SparkSession, removed: list[int]) -> DataFrame:
@@ -87,6 +105,14 @@ def rounds_table(spark: SparkSession, removed: list[int]) -> DataFrame:
     )
 
 
+# A scan of more paths than this would list them by a job of its own.
+MAX_PATCHES = 24
+
+
+def _zero() -> Column:
+    return F.lit(0).cast("long")
+
+
 def _hit(index: int) -> str:
     return f"hit_{index}"
 
@@ -95,38 +121,33 @@ def _hits(shape: CellShape) -> list[str]:
     return [_hit(i) for i in range(len(shape.members))]
 
 
-def _mark(
-    cells: DataFrame,
-    shape: CellShape,
-    gone: DataFrame,
-    broadcast: bool,
-    heavy: DataFrame | None = None,
-    limits: Limits = DEFAULT_LIMITS,
-) -> DataFrame:
+def _mark(cells: DataFrame, shape: CellShape, gone: DataFrame, **how) -> DataFrame:
     """Cells with the removal round of each member, null for live members."""
     for index, member in enumerate(shape.members):
-        cells = lookup(
-            cells,
-            gone,
-            shape.on(member),
-            {"gone": _hit(index)},
-            broadcast=broadcast,
-            heavy=heavy,
-            limits=limits,
-        )
+        cells = lookup(cells, gone, shape.on(member), {"round": _hit(index)}, **how)
     return cells
 
 
-def _without_gone(
-    cells: DataFrame, shape: CellShape, state: DataFrame, masked: int
-) -> DataFrame:
-    if not masked:
-        return cells
-    gone = state.filter(F.col("gone").isNotNull())
+def _without(cells: DataFrame, shape: CellShape, gone: DataFrame) -> DataFrame:
+    """The cells without a member in the (small) table of removed elements."""
     marked = _mark(cells, shape, gone, broadcast=True)
     return marked.filter(F.coalesce(*_hits(shape)).isNull()).drop(*_hits(shape))
 
 
+def _losses(dying: DataFrame, shape: CellShape) -> DataFrame:
+    """``(keys, lost)``: how many dying cells each live element is in."""
+    live_members = [
+        f"if({_hit(i)} IS NULL, {shape.key_struct(member)}, NULL)"
+        for i, member in enumerate(shape.members)
+    ]
+    return (
+        dying.selectExpr(f"inline(array({', '.join(live_members)}))")
+        .filter(f"{shape.keys[0]} IS NOT NULL")
+        .groupBy(*shape.keys)
+        .agg(F.count(F.lit(1)).alias("lost"))
+    )
+
+
 def peel(
     work: Workspace,
     cells: Staged,
@@ -138,97 +159,105 @@ def peel(
     """Remove elements in fewer than ``threshold`` live cells until none is left
     to remove, or for ``max_rounds`` rounds.
 
-    Elements without live cells stay in the state until the next round removes
-    them, and count as removed by that round.
+    Elements without live cells stay until the next round removes them, and
+    count as removed by that round.
     """
-    alive = F.col("gone").isNull()
-    below = alive & (F.col("live") < threshold)
+    keys = list(shape.keys)
+    others = len(shape.members) - 1
+    below = F.col("live") < threshold
 
-    def save_state(df: DataFrame) -> Staged:
+    def save_counts(df: DataFrame) -> Staged:
         return work.save(
-            df,
-            "state",
+            df.select(*keys, "live", "round", "lost"),
+            "counts",
             below=F.count_if(below),
-            live_members=F.sum(F.when(alive, F.col("live"))),
+            lost=F.sum("lost"),
         )
 
-    state = save_state(
-        shape.member_counts(cells.df, "live").withColumn("gone", F.lit(None).cast("int"))
-    )
+    first = shape.member_counts(cells.df, "live")
+    log = [save_counts(first.select("*", F.lit(1).alias("round"), _zero().alias("lost")))]
+    leaving = log[0].measures["below"]
     removed: list[int] = []
-    masked = 0
-    while state.measures["below"] and (max_rounds is None or len(removed) < max_rounds):
-        leaving = state.measures["below"]
-        live_members = state.measures["live_members"]
-        mask_full = masked + leaving > limits.broadcast_rows
-        half_dead = 2 * live_members < len(shape.members) * cells.rows
-        if masked and (mask_full or half_dead):
-            smaller = work.save(_without_gone(cells.df, shape, state.df, masked), "cells")
-            work.drop(cells)
-            cells, masked = smaller, 0
+    masked = dead = 0
+    while leaving and (max_rounds is None or len(removed) < max_rounds):
+        past = len(removed)
+        this_round = past + 1
+        counts = work.read(*log)
+        half_dead = cells.rows >= limits.rewrite_rows and 2 * dead > cells.rows
+        if masked and (half_dead or masked + leaving > limits.broadcast_rows):
+            gone = counts.filter(below & (F.col("round") <= past))
+            smaller = work.save(_without(cells.df, shape, gone), "cells")
+            newest = _latest(counts, shape).filter(~below | (F.col("round") > past))
+            fresh = save_counts(newest)
+            work.drop(cells, *log)
+            cells, log, counts = smaller, [fresh], fresh.df
+            masked = dead = 0
 
         removed.append(leaving)
-        this_round = len(removed)
-        current = state.df.withColumn(
-            "gone", F.when(below, F.lit(this_round)).otherwise(F.col("gone"))
-        )
-        if masked == 0:
-            # Nothing masks the cells table, so older removals are irrelevant.
-            current = current.filter(F.col("gone").isNull() | (F.col("gone") == this_round))
-        gone = current.filter(F.col("gone").isNotNull())
-        dead_table = None
+        gone = counts.filter(below)
         if masked + leaving <= limits.broadcast_rows:
             marked = _mark(cells.df, shape, gone, broadcast=True)
             # `least` skips nulls: the round in which the cell lost its first member.
-            dying = marked.filter(F.least(*_hits(shape)) == this_round)
+            lost = _losses(marked.filter(F.least(*_hits(shape)) == this_round), shape)
+            # Each leaving element has fewer than `threshold` live cells, which
+            # bounds the number of elements that lose one.
+            if leaving * (threshold - 1) * others <= limits.broadcast_rows:
+                lost = F.broadcast(lost)
+            patch = (
+                counts.drop("lost")
+                .join(lost, keys)
+                .groupBy(*keys)
+                .agg(
+                    (F.min("live") - F.max("lost")).alias("live"),
+                    F.lit(this_round + 1).alias("round"),
+                    F.max("lost").alias("lost"),
+                )
+            )
+            fresh = save_counts(patch)
+            log.append(fresh)
             masked += leaving
+            # A cell that loses one member is lost for all the others.
+            dead += fresh.measures["lost"] // others
         else:
-            # The cells hold live members only, so a hot element has as many
-            # cells as its live count says, and it is not among the leaving.
-            heavy = heavy_keys(state.df.filter(alive), "live", live_members, limits)
-            marked = _mark(cells.df, shape, gone, broadcast=False, heavy=heavy, limits=limits)
-            dead_table = work.save(
+            # Counts and cells hold live elements only, so a hot element has as
+            # many cells as its count says, and it is not among the leaving.
+            heavy = heavy_keys(counts, "live", len(shape.members) * cells.rows, limits)
+            if heavy is not None:
+                heavy = heavy.withColumn("round", F.lit(None).cast("int"))
+            marked = _mark(cells.df, shape, gone, heavy=heavy, limits=limits)
+            split = work.save(
                 marked.withColumn("dies", F.coalesce(*_hits(shape)).isNotNull()),
                 "cells",
                 partition_by="dies",
                 live=F.count_if(~F.col("dies")),
             )
-            dying = dead_table.df.filter("dies")
-            current = current.filter(F.col("gone").isNull())
-
-        lost = (
-            dying.select(
-                F.explode(
-                    F.array(
-                        *[
-                            F.when(F.col(_hit(i)).isNull(), shape.key_struct(member))
-                            for i, member in enumerate(shape.members)
-                        ]
-                    )
-                ).alias("member")
+            lost = _losses(split.df.filter("dies"), shape)
+            lowered = (
+                counts.drop("lost")
+                .filter(~below)
+                .join(lost, keys, "left")
+                .select(
+                    *keys,
+                    (F.col("live") - F.coalesce("lost", _zero())).alias("live"),
+                    F.lit(this_round + 1).alias("round"),
+                    F.coalesce("lost", _zero()).alias("lost"),
+                )
             )
-            .filter(F.col("member").isNotNull())
-            .groupBy(*[F.col(f"member.{key}").alias(key) for key in shape.keys])
-            .agg(F.count(F.lit(1)).alias("lost"))
-        )
-        lowered = save_state(
-            current.join(lost, list(shape.keys), "left").select(
-                *shape.keys,
-                (F.col("live") - F.coalesce("lost", F.lit(0))).alias("live"),
-                "gone",
-            )
-        )
-        work.drop(state)
-        state = lowered
-        if dead_table is not None:
-            work.drop(cells)
+            fresh = save_counts(lowered)
+            work.drop(cells, *log)
+            log = [fresh]
             cells = Staged(
-                df=dead_table.df.filter("not dies").drop("dies", *_hits(shape)),
-                path=dead_table.path,
-                rows=dead_table.measures["live"],
+                df=split.df.filter("not dies").drop("dies", *_hits(shape)),
+                path=split.path,
+                rows=split.measures["live"],
                 measures={},
             )
-    return Peeled(state, cells, shape, masked, removed, limits)
+        leaving = fresh.measures["below"]
+        if len(log) > MAX_PATCHES:
+            merged = save_counts(_latest(work.read(*log[1:]), shape))
+            work.drop(*log[1:])
+            log = [log[0], merged]
+    return Peeled(work.read(*log), cells, shape, threshold, masked, removed)
 
 
 def stage_edges(work: Workspace, edges: DataFrame) -> Staged:
@@ -302,12 +331,15 @@ def triangles_in_core(
     """The triangles of the ``core``-core; of the whole graph if ``core`` < 2."""
     rounds = max_rounds if core >= 2 else 0
     peeled = core_peel(spark, edges, core, rounds, limits, work)
-    live = peeled.survivors("degree")
-    # Each remaining edge is counted at both of its ends.
-    edge_count = peeled.state.measures["live_members"] // 2
-    found = stage_triangles(work, peeled.live_cells(), live, edge_count, limits)
-    work.drop(peeled.state, peeled.cells)
-    return found
+    degrees = peeled.survivors("degree")
+    remaining = peeled.live_cells()
+    edge_count = peeled.cells.rows
+    if peeled.removed:
+        # The edges are read three times below: apply the mask once.
+        staged = work.save(remaining, "edges")
+        remaining, edge_count = staged.df, staged.rows
+        degrees = work.save(degrees, "degrees").df
+    return stage_triangles(work, remaining, degrees, edge_count, limits)
 
 
 def truss_peel(

@@ -10,12 +10,7 @@ from knitgraph.operators.edges import higher_neighbors
 from knitgraph.plans.skew import DEFAULT_LIMITS, Limits
 
 
-def wedge_candidates(oriented: DataFrame) -> DataFrame:
-    """``(low, mid, mid_degree, candidates)``: for each edge low-mid the higher
-    neighbors of ``low`` that come after ``mid``, sorted by id.
-
-    They stay packed in one array per edge: open wedges are never rows.
-    """
+def _open_wedges(oriented: DataFrame) -> DataFrame:
     placed = higher_neighbors(oriented).select(
         "low", "higher", F.posexplode("higher").alias("place", "mid")
     )
@@ -26,7 +21,18 @@ def wedge_candidates(oriented: DataFrame) -> DataFrame:
         "low",
         F.col("mid.id").alias("mid"),
         F.col("mid.degree").alias("mid_degree"),
-        F.sort_array(later.getField("id")).alias("candidates"),
+        later.getField("id").alias("candidates"),
+    )
+
+
+def wedge_candidates(oriented: DataFrame) -> DataFrame:
+    """``(low, mid, candidates)``: for each edge low-mid the higher neighbors of
+    ``low`` that come after ``mid``, sorted by id.
+
+    They stay packed in one array per edge: open wedges are never rows.
+    """
+    return _open_wedges(oriented).select(
+        "low", "mid", F.sort_array("candidates").alias("candidates")
     )
 
 
@@ -40,7 +46,7 @@ def directed_triangles(
     over as many salts as its degree calls for; its own list, which is short
     because few vertices rank above a hub, is repeated once per salt.
     """
-    candidates = wedge_candidates(oriented)
+    candidates = _open_wedges(oriented)
     targets = higher_neighbors(oriented).select(
         F.col("low").alias("mid"),
         F.col("low_degree").alias("mid_degree"),
