@@ -84,6 +84,16 @@ def h_index_per_edge(histogram: DataFrame) -> DataFrame:
     )
 
 
+def attach_levels(
+    triangles: DataFrame,
+    levels: DataFrame,
+    heavy: DataFrame | None = None,
+    limits: Limits = DEFAULT_LIMITS,
+) -> DataFrame:
+    """Triangles with the levels of their edges ab, ac and bc."""
+    return _attach(triangles, levels, "tau", "tau_", how="inner", heavy=heavy, limits=limits)
+
+
 def refine_all(
     triangles: DataFrame,
     levels: DataFrame,
@@ -91,7 +101,7 @@ def refine_all(
     limits: Limits = DEFAULT_LIMITS,
 ) -> DataFrame:
     """``(src, dst, level)``: one h-index step for every edge."""
-    levelled = _attach(triangles, levels, "tau", "tau_", how="inner", heavy=heavy, limits=limits)
+    levelled = attach_levels(triangles, levels, heavy, limits)
     return h_index_per_edge(level_histogram_per_edge(levelled))
 
 

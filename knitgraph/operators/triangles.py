@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from knitgraph.functions import larger_id, middle_id, smaller_id
 from knitgraph.operators.edges import higher_neighbors
-from knitgraph.plans.skew import DEFAULT_LIMITS, Limits
+from knitgraph.plans.skew import DEFAULT_LIMITS, Limits, heavy_keys, lookup
 
 
 def _open_wedges(oriented: DataFrame) -> DataFrame:
@@ -73,6 +73,10 @@ def triangles_by_id(directed: DataFrame) -> DataFrame:
     )
 
 
+# Which vertex of its triangle the third vertex is.
+ROLES = ("high", "mid", "low")
+
+
 def _edge(one: str, other: str, **extra):
     return F.struct(
         smaller_id(one, other).alias("src"),
@@ -114,7 +118,46 @@ def triangle_partner_sizes(directed: DataFrame) -> DataFrame:
             F.count(F.lit(1)).alias("support"),
             *[
                 F.count_if(F.col("role") == role).alias(f"n_{role}")
-                for role in ("high", "mid", "low")
+                for role in ROLES
             ],
         )
     )
+
+
+def triangle_partner_lists(
+    directed: DataFrame,
+    triangle_count: int,
+    max_thirds: int = 100_000,
+    limits: Limits = DEFAULT_LIMITS,
+) -> DataFrame:
+    """``(src, dst, part, support, high, mid, low)``: the third vertices as one
+    array per role, sorted by id.
+
+    An edge in up to ``max_thirds`` triangles has the one part 0. Those of a
+    hotter edge are split by hash into parts of about that size; ``support``
+    always counts all of them.
+    """
+    partners = triangle_partners(directed)
+    support = partners.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("support"))
+    known = lookup(
+        partners,
+        support,
+        {"src": "src", "dst": "dst"},
+        {"support": "support"},
+        how="inner",
+        heavy=heavy_keys(support, "support", 3 * triangle_count, limits),
+        limits=limits,
+    )
+    parts = F.ceil(F.col("support") / F.lit(max_thirds)).cast("long")
+    return (
+        known.withColumn("part", F.pmod(F.xxhash64("third"), parts))
+        .groupBy("src", "dst", "part", "support")
+        .agg(
+            *[
+                F.sort_array(
+                    F.collect_list(F.when(F.col("role") == role, F.col("third")))
+                ).alias(role)
+                for role in ROLES
+            ]
+        )
+    )
