@@ -37,7 +37,7 @@ class _Prepared:
         staged = self.work.save(GRAPHS[graph](spark, folder), "edges")
         self.edges = staged.df
         self.count = staged.rows
-        self.degrees = E.vertex_degrees(self.edges)
+        self.degrees = self.work.save(E.vertex_degrees(self.edges), "degrees").df
 
     def oriented(self) -> DataFrame:
         return E.oriented_edges(self.edges, self.degrees, self.count)

@@ -299,7 +299,10 @@ def core_subgraph(
     With ``max_rounds`` the graph may be only partly peeled: vertices that the
     next round would remove are included, even those with degree 0.
     """
-    return core_peel(spark, edges, k, max_rounds, limits).survivors("degree")
+    work = Workspace(spark, "core")
+    peeled = core_peel(spark, edges, k, max_rounds, limits, work)
+    work.drop(peeled.cells)
+    return peeled.survivors("degree")
 
 
 def core_edges(
@@ -331,15 +334,15 @@ def triangles_in_core(
     """The triangles of the ``core``-core; of the whole graph if ``core`` < 2."""
     rounds = max_rounds if core >= 2 else 0
     peeled = core_peel(spark, edges, core, rounds, limits, work)
-    degrees = peeled.survivors("degree")
-    remaining = peeled.live_cells()
-    edge_count = peeled.cells.rows
+    remaining, degrees = peeled.cells, peeled.survivors("degree")
     if peeled.removed:
         # The edges are read three times below: apply the mask once.
-        staged = work.save(remaining, "edges")
-        remaining, edge_count = staged.df, staged.rows
+        remaining = work.save(peeled.live_cells(), "edges")
         degrees = work.save(degrees, "degrees").df
-    return stage_triangles(work, remaining, degrees, edge_count, limits)
+        work.drop(peeled.cells)
+    found = stage_triangles(work, remaining.df, degrees, remaining.rows, limits)
+    work.drop(remaining)
+    return found
 
 
 def truss_peel(
@@ -348,6 +351,7 @@ def truss_peel(
     k: int,
     prefilter_rounds: int | None = None,
     limits: Limits = DEFAULT_LIMITS,
+    work: Workspace | None = None,
 ) -> Peeled:
     """Drop edges in fewer than ``k - 2`` remaining triangles, round by round.
 
@@ -357,7 +361,7 @@ def truss_peel(
     """
     if k < 3:
         raise ValueError("a truss needs k >= 3: below, no triangle is asked for")
-    work = Workspace(spark, "truss")
+    work = work or Workspace(spark, "truss")
     triangles = triangles_in_core(work, spark, edges, k - 1, prefilter_rounds, limits)
     return peel(work, triangles, EDGES_OF_TRIANGLE, k - 2, None, limits)
 
@@ -371,7 +375,10 @@ def truss_subgraph(
 ) -> DataFrame:
     """``(src, dst, support)``: the largest subgraph whose every edge is in at
     least ``k - 2`` triangles of that subgraph, with those triangle counts."""
-    return truss_peel(spark, edges, k, prefilter_rounds, limits).survivors("support")
+    work = Workspace(spark, "truss")
+    peeled = truss_peel(spark, edges, k, prefilter_rounds, limits, work)
+    work.drop(peeled.cells)
+    return peeled.survivors("support")
 
 
 def truss_rounds(
