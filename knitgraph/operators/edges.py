@@ -87,9 +87,11 @@ def oriented_edges(
 def higher_neighbors(oriented: DataFrame) -> DataFrame:
     """Per vertex its higher neighbors as ``(degree, id)`` structs in order.
 
-    The arrays are bounded by the square root of twice the edge count.
+    The arrays are bounded by the square root of twice the edge count. The
+    filter removes nothing: joins would add it to some uses of these lists only,
+    and Spark shuffles the lists once just if all uses have equal plans.
     """
-    return oriented.groupBy("low", "low_degree").agg(
+    return oriented.filter("low IS NOT NULL").groupBy("low", "low_degree").agg(
         F.sort_array(
             F.collect_list(F.struct(F.col("high_degree").alias("degree"), F.col("high").alias("id")))
         ).alias("higher")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from knitgraph.functions import larger_id, middle_id, smaller_id
 from knitgraph.operators.edges import higher_neighbors
-from knitgraph.plans.skew import DEFAULT_LIMITS, Limits, heavy_keys, lookup
+from knitgraph.plans.skew import DEFAULT_LIMITS, Limits, fits_hash_join, heavy_keys, lookup
 
 
 def _open_wedges(oriented: DataFrame) -> DataFrame:
@@ -58,7 +58,10 @@ def directed_triangles(
         candidates = candidates.withColumn("salt", F.pmod(F.xxhash64("low"), last_salt + 1))
         targets = targets.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), last_salt)))
         keys.append("salt")
-    closed = candidates.join(targets.drop("mid_degree"), keys)
+    targets = targets.drop("mid_degree")
+    if fits_hash_join(oriented.sparkSession, edge_count, limits):
+        targets = targets.hint("shuffle_hash")
+    closed = candidates.join(targets, keys)
     return closed.select(
         "low", "mid", F.explode(F.array_intersect("candidates", "targets")).alias("high")
     )

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SPREAD = "_spread"
@@ -34,6 +34,8 @@ class Limits:
     rewrite_rows: int = 250_000
     # Upper bound on the number of keys treated as heavy.
     heavy_keys: int = 10_000
+    # Rows per shuffle partition that a task may hold in an in-memory hash map.
+    hash_join_rows: int = 2_000_000
     # Shuffle partitions over which the rows of heavy keys are spread.
     spread: int = 1_024
 
@@ -41,6 +43,13 @@ class Limits:
 DEFAULT_LIMITS = Limits()
 
 
+def fits_hash_join(spark: SparkSession, rows: int, limits: Limits = DEFAULT_LIMITS) -> bool:
+    """Whether a table of ``rows`` evenly shuffled rows may be hashed per task,
+    which spares both sides of the join the sort."""
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return rows <= partitions * limits.hash_join_rows
+
+
 def heavy_keys(
     counts: DataFrame, count: str, total_rows: int, limits: Limits = DEFAULT_LIMITS
 ) -> DataFrame | None:
