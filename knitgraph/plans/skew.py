@@ -69,7 +69,8 @@ def _hashed_broadcast(
     """A broadcast join whose hash map is keyed by one long.
 
     Probing that map costs a third of probing one with composite keys. The real
-    keys are compared as ranges, since an equality would join the hash key.
+    (bigint) keys are compared bit by bit: equalities would join the hash key,
+    and the generated code has to stay small enough to be compiled natively.
     """
     key_names = {column: f"_key_{column}" for column in on}
     hashed = table.selectExpr(
@@ -77,8 +78,8 @@ def _hashed_broadcast(
         *[f"{key} AS {key_names[column]}" for column, key in on.items()],
         *[f"{column} AS {name}" for column, name in take.items()],
     )
-    same_keys = [f"{c} <= {k} AND {c} >= {k}" for c, k in key_names.items()]
-    matches = F.expr(" AND ".join([f"xxhash64({', '.join(on)}) = _hash", *same_keys]))
+    differing_bits = " | ".join(f"({c} ^ {k})" for c, k in key_names.items())
+    matches = F.expr(f"xxhash64({', '.join(on)}) = _hash AND ({differing_bits}) = 0")
     return rows.join(F.broadcast(hashed), matches, how).drop("_hash", *key_names.values())
 
 
