@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knitgraph.llm import quality, toxicity
+from knitgraph.llm import quality, substrings, toxicity
 from knitgraph.llm.ship import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,3 +47,8 @@ def toxic_documents(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score_documents(docs, model).select(
         "doc_id", held_out.alias("held_out"), "score", "predicted", "worst_start", "worst_end"
     )
+
+
+@query("op4_substring_dedup")
+def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.removed_words(table(spark, folder, "documents"))
