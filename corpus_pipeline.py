@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from knitgraph.llm import quality, toxicity
+from knitgraph.llm import jaccard, quality, substrings, toxicity
 from knitgraph.llm.ship import ship
 from knitgraph.plans import Workspace
 
@@ -29,9 +29,23 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return quality.keep_documents(docs, _labels(spark, sf_dir))
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    ship(spark)
+    return jaccard.keep_one_of_each(docs)
+
+
+def strip_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of windows that occur again anywhere go."""
+    ship(spark)
+    return substrings.strip_documents(docs)
+
+
 STAGES = [
     ("toxicity", drop_toxic),
     ("quality rules", apply_quality_rules),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("substring dedup", strip_repeated_passages),
 ]
 
 #: Trained models and the tokenizer cannot be expressed in SQL.

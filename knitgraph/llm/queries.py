@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knitgraph.llm import quality, substrings, toxicity
+from knitgraph.llm import jaccard, quality, substrings, toxicity
 from knitgraph.llm.ship import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,3 +52,8 @@ def toxic_documents(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_substring_dedup")
 def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.removed_words(table(spark, folder, "documents"))
+
+
+@query("op10_ngram_jaccard_join")
+def ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.link_documents(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
