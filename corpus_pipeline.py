@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from knitgraph.llm import jaccard, quality, substrings, toxicity
+from knitgraph.llm import jaccard, packing, quality, substrings, toxicity
+from knitgraph.llm.queries import tokenizer_file
 from knitgraph.llm.ship import ship
 from knitgraph.plans import Workspace
 
@@ -41,11 +42,18 @@ def strip_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     return substrings.strip_documents(docs)
 
 
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of 4096 tokens, filled with lexical neighbours."""
+    ship(spark)
+    return packing.pack_documents(docs, tokenizer_file("word_bpe_49k.json"))
+
+
 STAGES = [
     ("toxicity", drop_toxic),
     ("quality rules", apply_quality_rules),
     ("n-gram Jaccard join", drop_near_duplicates),
     ("substring dedup", strip_repeated_passages),
+    ("packing", pack),
 ]
 
 #: Trained models and the tokenizer cannot be expressed in SQL.

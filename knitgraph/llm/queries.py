@@ -7,9 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knitgraph.llm import jaccard, quality, substrings, toxicity
+from knitgraph.llm import jaccard, packing, quality, substrings, toxicity
 from knitgraph.llm.ship import ship
 
+def tokenizer_file(name: str) -> str:
+    """The place of a public vocabulary file; the folder is installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 #: Results as SQL, where SQL can express them on whole tables.
@@ -57,3 +64,8 @@ def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_ngram_jaccard_join")
 def ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.link_documents(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op3_retrieval_packing")
+def retrieval_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(table(spark, folder, "documents"), tokenizer_file("word_bpe_49k.json"))
