@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knitgraph.llm import jaccard, packing, quality, substrings, toxicity
+from knitgraph.llm import jaccard, languages, licenses, packing, pieces, quality, substrings, toxicity, vectors, warc
 from knitgraph.llm.ship import ship
+from knitgraph.plans import Workspace
 
 def tokenizer_file(name: str) -> str:
     """The place of a public vocabulary file; the folder is installed on every machine."""
@@ -69,3 +70,59 @@ def ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_retrieval_packing")
 def retrieval_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+@query("op5_warc_archives")
+def warc_archives(spark: SparkSession, folder: str) -> DataFrame:
+    work = Workspace(spark, "warc")
+    archives = work.next_path("archives")
+    index = work.save(warc.write_archives(table(spark, folder, "pages"), archives), "index").df
+    return warc.read_records(index, archives, with_payload=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"
+    )
+
+
+@query("op6_sampled_pieces")
+def sampled_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.round_trip(table(spark, folder, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+@query("op7_exact_top_k")
+def exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings")
+    return vectors.top_k(rows, rows.filter("vec_id % 50 = 0"), k=5)
+
+
+ORACLES["op7_exact_top_k"] = """
+WITH usable AS (
+  SELECT row_number() OVER () AS n, vec_id,
+         [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len([1 for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+  SELECT q.n, q.vec_id AS query_id, c.vec_id,
+         CAST(list_sum([z[1] * z[2] for z in list_zip(q.v, c.v)]) AS BIGINT) AS score
+  FROM usable q JOIN usable c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)
+), ranked AS (
+  SELECT query_id, vec_id, score,
+         CAST(row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+  FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+@query("op8_language_mixture")
+def language_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = toxicity.remainder(F.col("doc_id"), 5) == 0
+    model = languages.fit(docs.filter(~held_out))
+    return languages.predict_languages(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score", "n_languages"
+    )
+
+
+@query("op9_license_scan")
+def license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
