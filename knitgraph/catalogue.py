@@ -13,11 +13,14 @@ from knitgraph.operators import levels as L
 from knitgraph.operators import peeling as P
 from knitgraph.operators import triangles as T
 from knitgraph.oracles import ORACLES
-from knitgraph.plans import Workspace
+from knitgraph.plans import Limits, Workspace
 from knitgraph.sources import GRAPHS, read_edge_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# With these limits the plans meant for large graphs run on every graph.
+LARGE = Limits(broadcast_rows=0, single_task_rows=200, rewrite_rows=1, heavy_keys=100)
+
 QUERIES: dict[str, Query] = {}
 
 
@@ -74,6 +77,16 @@ def edge_list_load(spark: SparkSession, folder: str) -> DataFrame:
     return E.canonical_edges(read_edge_text(spark, path))
 
 
+@_query("edge_list_permissive")
+def edge_list_permissive(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of the same list whose integers are spoiled are skipped on request."""
+    path = Workspace(spark, "text").next_path("lines")
+    edges = GRAPHS["users"](spark, folder)
+    spoiled = F.when(F.col("src") % 17 == 0, "x").when(F.col("src") % 19 == 0, ".5").otherwise("")
+    edges.select(F.concat_ws(" ", "src", F.concat(F.col("dst").cast("string"), spoiled)).alias("value")).write.text(path)
+    return E.canonical_edges(read_edge_text(spark, path, permissive=True))
+
+
 for _name, _graph in GRAPHS.items():
     QUERIES[f"graph_{_name}"] = _graph
 
@@ -98,6 +111,14 @@ def adjacency_lists(spark: SparkSession, folder: str) -> DataFrame:
     return lists.withColumn("neighbors", joined_ids("neighbors"))
 
 
+@_query("adjacency_lists_parts")
+def adjacency_lists_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """The neighbors of lists that are cut into parts of about 50."""
+    graph = _Prepared(spark, folder, "shipments")
+    lists = E.adjacency_lists(graph.edges, graph.degrees, graph.count, 50, LARGE)
+    return lists.select("vertex", "degree", F.explode("neighbors").alias("neighbor"))
+
+
 @_query("oriented_edges")
 def oriented_edges(spark: SparkSession, folder: str) -> DataFrame:
     return _Prepared(spark, folder, "shipments").oriented()
@@ -124,6 +145,13 @@ def triangle_list(spark: SparkSession, folder: str) -> DataFrame:
     return _Prepared(spark, folder, "shipments").triangles()
 
 
+@_query("triangle_list_salted")
+def triangle_list_salted(spark: SparkSession, folder: str) -> DataFrame:
+    graph = _Prepared(spark, folder, "shipments")
+    oriented = E.oriented_edges(graph.edges, graph.degrees, graph.count, LARGE)
+    return T.triangles_by_id(T.directed_triangles(oriented, graph.count, LARGE))
+
+
 @_query("triangle_count")
 def triangle_count(spark: SparkSession, folder: str) -> DataFrame:
     found = _Prepared(spark, folder, "shipments").directed_triangles()
@@ -188,6 +216,14 @@ def core_rounds(spark: SparkSession, folder: str) -> DataFrame:
     return P.core_rounds(spark, GRAPHS["customers"](spark, folder), 4)
 
 
+QUERIES["core_subgraph_shuffled"] = lambda spark, folder: P.core_subgraph(
+    spark, GRAPHS["customers"](spark, folder), 4, limits=LARGE
+)
+QUERIES["core_subgraph_hubs_shuffled"] = lambda spark, folder: P.core_subgraph(
+    spark, GRAPHS["shipments"](spark, folder), 36, limits=LARGE
+)
+
+
 # --- truss subgraph --------------------------------------------------------
 
 
@@ -216,6 +252,21 @@ def truss_rounds(spark: SparkSession, folder: str) -> DataFrame:
     return P.truss_rounds(spark, GRAPHS["users"](spark, folder), 6, prefilter_rounds=0)
 
 
+QUERIES["truss_subgraph_shuffled"] = lambda spark, folder: P.truss_subgraph(
+    spark, GRAPHS["users"](spark, folder), 6, limits=LARGE
+)
+
+
+@_query("truss_triangles")
+def truss_triangles(spark: SparkSession, folder: str) -> DataFrame:
+    return P.truss_triangles(spark, GRAPHS["users"](spark, folder), 5)
+
+
+@_query("truss_partner_sizes")
+def truss_partner_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    return P.truss_partner_sizes(spark, GRAPHS["users"](spark, folder), 5)
+
+
 # --- truss levels ----------------------------------------------------------
 
 
@@ -228,6 +279,16 @@ QUERIES["truss_levels_hubs"] = lambda spark, folder: _levels(spark, folder, "shi
 QUERIES["truss_levels_in_core"] = lambda spark, folder: _levels(spark, folder, "customers", 4)
 
 
+QUERIES["truss_levels_shuffled"] = lambda spark, folder: L.truss_levels(
+    spark, GRAPHS["users"](spark, folder), limits=LARGE
+)
+
+
+@_query("level_rounds")
+def level_rounds(spark: SparkSession, folder: str) -> DataFrame:
+    return L.level_rounds(spark, GRAPHS["users"](spark, folder))
+
+
 @_query("level_histogram_per_edge")
 def level_histogram_per_edge(spark: SparkSession, folder: str) -> DataFrame:
     """Triangles of each edge by their lowest support: one step's messages."""

@@ -269,6 +269,23 @@ def truss_levels(
     return settled.select(*_KEYS, "tau")
 
 
+def level_rounds(
+    spark: SparkSession,
+    edges: DataFrame,
+    min_core: int = 0,
+    prefilter_rounds: int | None = None,
+    limits: Limits = DEFAULT_LIMITS,
+) -> DataFrame:
+    """``(round, changed)``: edges whose level each refinement round lowered, the last with 0."""
+    work = Workspace(spark, "levels")
+    triangles = triangles_in_core(work, spark, edges, min_core, prefilter_rounds, limits)
+    _, changes = _settle(work, triangles, limits)
+    work.close()
+    return spark.createDataFrame(
+        list(enumerate(changes, start=1)), "round bigint, changed bigint"
+    )
+
+
 def level_histogram(levels: DataFrame, size: int | None = None) -> DataFrame:
     """``(tau, edges)`` in ascending order, at most ``size`` levels."""
     counted = levels.groupBy("tau").agg(F.count(F.lit(1)).alias("edges")).orderBy("tau")

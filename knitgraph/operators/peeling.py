@@ -27,7 +27,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knitgraph.operators.edges import canonical_edges, oriented_edges
-from knitgraph.operators.triangles import directed_triangles, triangles_by_id
+from knitgraph.operators.triangles import (
+    directed_triangles,
+    triangle_partner_lists,
+    triangle_partner_sizes,
+    triangles_by_id,
+)
 from knitgraph.plans.skew import DEFAULT_LIMITS, Limits, heavy_keys, lookup
 from knitgraph.plans.workspace import Staged, Workspace
 
@@ -219,9 +224,11 @@ def peel(
             # A cell that loses one member is lost for all the others.
             dead += fresh.measures["lost"] // others
         else:
-            # Counts and cells hold live elements only, so a hot element has as
-            # many cells as its count says, and it is not among the leaving.
-            heavy = heavy_keys(counts, "live", len(shape.members) * cells.rows, limits)
+            # Counts and cells hold live elements only, so a hot element has as many
+            # cells as its count says. Those that stay are split off; one that leaves
+            # has fewer than `threshold` cells and must be found among the leaving.
+            staying = counts.filter(~below)
+            heavy = heavy_keys(staying, "live", len(shape.members) * cells.rows, limits)
             if heavy is not None:
                 heavy = heavy.withColumn("round", F.lit(None).cast("int"))
             marked = _mark(cells.df, shape, gone, heavy=heavy, limits=limits)
@@ -320,7 +327,10 @@ def core_rounds(
     spark: SparkSession, edges: DataFrame, k: int, limits: Limits = DEFAULT_LIMITS
 ) -> DataFrame:
     """``(round, removed)`` of the k-core peeling."""
-    return rounds_table(spark, core_peel(spark, edges, k, None, limits).removed)
+    work = Workspace(spark, "core")
+    removed = core_peel(spark, edges, k, None, limits, work).removed
+    work.close()
+    return rounds_table(spark, removed)
 
 
 def triangles_in_core(
@@ -389,7 +399,47 @@ def truss_rounds(
     limits: Limits = DEFAULT_LIMITS,
 ) -> DataFrame:
     """``(round, removed)`` of the truss peeling, after the prefilter."""
-    return rounds_table(spark, truss_peel(spark, edges, k, prefilter_rounds, limits).removed)
+    work = Workspace(spark, "truss")
+    removed = truss_peel(spark, edges, k, prefilter_rounds, limits, work).removed
+    work.close()
+    return rounds_table(spark, removed)
+
+
+def truss_triangles(
+    spark: SparkSession,
+    edges: DataFrame,
+    k: int,
+    prefilter_rounds: int | None = None,
+    limits: Limits = DEFAULT_LIMITS,
+) -> DataFrame:
+    """``(a, b, c)``: the triangles of the truss subgraph, with ascending ids."""
+    return truss_peel(spark, edges, k, prefilter_rounds, limits).live_cells()
+
+
+def truss_partner_sizes(
+    spark: SparkSession,
+    edges: DataFrame,
+    k: int,
+    prefilter_rounds: int | None = None,
+    limits: Limits = DEFAULT_LIMITS,
+) -> DataFrame:
+    """``(src, dst, support, n_high, n_mid, n_low)`` of the edges of the truss: its third
+    vertices that are still valid in it, by their place among the ids of the triangle."""
+    inside = truss_triangles(spark, edges, k, prefilter_rounds, limits)
+    return triangle_partner_sizes(inside.toDF("low", "mid", "high"))
+
+
+def truss_partner_lists(
+    spark: SparkSession,
+    edges: DataFrame,
+    k: int,
+    prefilter_rounds: int | None = None,
+    limits: Limits = DEFAULT_LIMITS,
+) -> DataFrame:
+    """``(src, dst, part, support, high, mid, low)``: those third vertices as sorted arrays."""
+    work = Workspace(spark, "truss")
+    inside = work.save(truss_peel(spark, edges, k, prefilter_rounds, limits, work).live_cells(), "inside")
+    return triangle_partner_lists(inside.df.toDF("low", "mid", "high"), inside.rows, limits=limits)
 
 
 def truss_edge_count(spark: SparkSession, edges: DataFrame, k: int) -> DataFrame:

@@ -153,6 +153,20 @@ def truss_edge_count(graph: str, k: int) -> str:
     return f"""with recursive {_truss_peel(graph, k)} select count(*) as edges from truss"""
 
 
+def truss_triangles(graph: str, k: int) -> str:
+    return f"""with recursive {_truss_peel(graph, k)}
+select u as a, v as b, w as c from rest where w is not null"""
+
+
+def truss_partner_sizes(graph: str, k: int) -> str:
+    return f"""with recursive {_truss_peel(graph, k)}
+select src, dst, count(*) as support, count(*) filter (where role = 'high') as n_high,
+       count(*) filter (where role = 'mid') as n_mid, count(*) filter (where role = 'low') as n_low
+from (select u as src, v as dst, 'high' as role from rest where w is not null
+      union all select u, w, 'mid' from rest where w is not null
+      union all select v, w, 'low' from rest where w is not null) group by src, dst"""
+
+
 def truss_rounds(graph: str, k: int) -> str:
     return f"""with recursive {_truss_peel(graph, k)}
 select cast(r + 1 as bigint) as round, count(*) as removed
@@ -199,6 +213,22 @@ ORACLES: dict[str, str] = {
     "graph_shipments": SHIPMENTS,
     "graph_users": USERS,
     "graph_customers": CUSTOMERS,
+    "edge_list_permissive": f"""select src, dst from ({USERS}) where src % 17 <> 0 and src % 19 <> 0""",
+    "adjacency_lists_parts": f"""with {_degrees('shipments')}
+select s.src as vertex, d.degree, s.dst as neighbor from sym s join deg d on d.vertex = s.src""",
+    "triangle_list_salted": f"""with {_edges('shipments')}, {TRIANGLES}
+select u as a, v as b, w as c from t0""",
+    "core_subgraph_shuffled": core_subgraph("customers", 4),
+    "core_subgraph_hubs_shuffled": core_subgraph("shipments", 36),
+    "truss_subgraph_shuffled": truss_subgraph("users", 6),
+    "truss_triangles": truss_triangles("users", 5),
+    "truss_partner_sizes": truss_partner_sizes("users", 5),
+    "truss_levels_shuffled": _levels("users", "select src, dst, tau from levels"),
+    "level_rounds": _levels(
+        "users",
+        """select cast(x.r as bigint) as round, count(*) filter (where x.tau <> y.tau) as changed
+from it x join it y on y.a = x.a and y.b = x.b and y.r = x.r - 1 group by x.r""",
+    ),
     "edge_list_load": f"""with lines as (
   select case when src % 7 = 0 then '#' when dst % 13 = 0 then ' ' else '' end
          || src || chr(9) || dst || case when dst % 11 = 0 then chr(9) || '1' else '' end

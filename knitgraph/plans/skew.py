@@ -8,8 +8,8 @@ third of all edges. Two bounds that hold for any input are used here:
   the heavy part of the table has a fixed maximum size and may be broadcast;
 * everything below that share is too small to be a hot shuffle key.
 
-Rows of heavy keys take their values from the broadcast part and are spread
-over many shuffle partitions, so that no task receives a whole hot key.
+Rows of heavy keys take their values from the broadcast part and are dealt out by
+a hash of the whole row, so that no task receives a whole hot key.
 """
 
 from __future__ import annotations
@@ -36,8 +36,6 @@ class Limits:
     heavy_keys: int = 10_000
     # Rows per shuffle partition that a task may hold in an in-memory hash map.
     hash_join_rows: int = 2_000_000
-    # Shuffle partitions over which the rows of heavy keys are spread.
-    spread: int = 1_024
 
 
 DEFAULT_LIMITS = Limits()
@@ -117,16 +115,22 @@ def lookup(
         return rows.join(side(table), keys, how).select(*wanted)
 
     hot = side(heavy, "_hot_").withColumn("_is_hot", F.lit(True))
-    spread = F.when(
-        F.col("_is_hot"), 1 + F.pmod(F.xxhash64(*rows.columns), F.lit(limits.spread))
-    ).otherwise(F.lit(0).cast("long"))
-    probed = rows.join(F.broadcast(hot), keys, "left").withColumn(_SPREAD, spread)
-    cold = side(table).withColumn(_SPREAD, F.lit(0).cast("long"))
-    joined = probed.join(cold, [*keys, _SPREAD], "left")
-    found = joined.select(
-        *rows.columns,
-        *[F.coalesce(f"_hot_{name}", name).alias(name) for name in take.values()],
+    probed = rows.join(F.broadcast(hot), keys, "left")
+    # Rows of hot keys have their values: they join under a hash of the whole row, which deals
+    # them out over all partitions and may match nothing or anything. A constant here would be
+    # folded away, and the key alone would decide the partition again.
+    first, *rest = keys
+    probed = probed.withColumn(
+        _SPREAD, F.when(F.col("_is_hot"), F.xxhash64(*rows.columns)).otherwise(F.col(first))
     )
+    cold = side(table).withColumnRenamed(first, _SPREAD).withColumn("_is_cold", F.lit(True))
+    joined = probed.join(cold, [_SPREAD, *rest], "left")
     if how == "inner":
-        found = found.filter(F.col(next(iter(take.values()))).isNotNull())
-    return found
+        joined = joined.filter("_is_hot OR _is_cold")
+    return joined.select(
+        *rows.columns,
+        *[
+            F.when(F.col("_is_hot"), F.col(f"_hot_{name}")).otherwise(F.col(name)).alias(name)
+            for name in take.values()
+        ],
+    )

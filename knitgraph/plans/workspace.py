@@ -9,7 +9,6 @@ lost executor costs only the tasks it was running.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from dataclasses import dataclass
 
@@ -18,21 +17,12 @@ from pyspark.sql import functions as F
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only in local mode."""
+    """The shared folder of the session: ``spark.checkpoint.dir``, or else a folder of the
+    warehouse, which all executors share as well."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    context = spark.sparkContext
-    already_set = context.getCheckpointDir()
-    if already_set:
-        return already_set
-    if not context.master.startswith("local"):
-        raise ValueError(
-            "set spark.checkpoint.dir to a folder that all executors share "
-            "before running iterative operators"
-        )
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="knitgraph-"))
-    return context.getCheckpointDir()
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/knitgraph-staging"
 
 
 @dataclass(frozen=True)
@@ -52,6 +42,16 @@ class Workspace:
         self.spark = spark
         self.path = f"{checkpoint_root(spark)}/knitgraph-{label}-{uuid.uuid4().hex}"
         self._saved = 0
+        # Tables that back a returned result live as long as the session, not longer.
+        folder, files = self._located(self.path)
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+
+    def _located(self, path: str):
+        """A Hadoop path and its file system."""
+        found = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop = self.spark._jsparkSession.sessionState().newHadoopConf()
+        return found, found.getFileSystem(hadoop)
 
     def next_path(self, name: str) -> str:
         self._saved += 1
@@ -96,9 +96,12 @@ class Workspace:
 
     def drop(self, *tables: Staged | None) -> None:
         """Delete staged tables that no returned DataFrame reads any more."""
-        jvm = self.spark._jvm
-        hadoop = self.spark._jsparkSession.sessionState().newHadoopConf()
         for table in tables:
             if table is not None:
-                path = jvm.org.apache.hadoop.fs.Path(table.path)
-                path.getFileSystem(hadoop).delete(path, True)
+                path, files = self._located(table.path)
+                files.delete(path, True)
+
+    def close(self) -> None:
+        """Delete the whole folder: no returned DataFrame reads it."""
+        path, files = self._located(self.path)
+        files.delete(path, True)

@@ -17,20 +17,25 @@ from pyspark.sql import functions as F
 COMMENT_PREFIX = "#"
 SEPARATOR = r"\s+"
 TRAILING_SPACE = r"\s+$"
+INTEGER = r"^[+-]?\d+$"
 
 
 def parse_edge_lines(lines: DataFrame, permissive: bool = False) -> DataFrame:
     """Directed ``(src, dst)`` pairs from a DataFrame with a ``value`` column."""
-    cast = "try_cast" if permissive else "cast"
     tokens = lines.filter(~F.col("value").startswith(COMMENT_PREFIX)).select(
         F.split(F.regexp_replace("value", TRAILING_SPACE, ""), SEPARATOR).alias("token")
     )
 
     def vertex(position: int):
-        # The arity guard stays inside the expression: under ANSI a cast may be
+        # The same with and without ANSI mode: only digits count, and what does not fit 64
+        # bits is no integer either. The arity guard stays inside the expression, which may be
         # evaluated before a filter would have removed the line.
         token = F.when(F.size("token") == 2, F.get("token", F.lit(position)))
-        return getattr(token, cast)("long")
+        number = F.when(token.rlike(INTEGER), token.try_cast("long"))
+        if permissive:
+            return number
+        wrong = F.raise_error(F.concat(F.lit("not a 64-bit integer: "), token)).cast("long")
+        return F.when(token.isNull() | number.isNotNull(), number).otherwise(wrong)
 
     pairs = tokens.filter(F.size("token") == 2).select(
         vertex(0).alias("src"), vertex(1).alias("dst")

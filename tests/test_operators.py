@@ -13,15 +13,19 @@ from knitgraph.operators import levels as L
 from knitgraph.operators import peeling as P
 from knitgraph.operators import triangles as T
 from knitgraph.plans import Limits, Workspace
+from knitgraph.plans.skew import heavy_keys, lookup
 
 # Every size-dependent branch is taken on small graphs with these limits.
 NO_BROADCAST = Limits(
-    broadcast_rows=0, single_task_rows=10, rewrite_rows=1, heavy_keys=5, spread=4
+    broadcast_rows=0, single_task_rows=10, rewrite_rows=1, heavy_keys=5
 )
 SMALL_MASK = Limits(
-    broadcast_rows=40, single_task_rows=30, rewrite_rows=1, heavy_keys=8, spread=3
+    broadcast_rows=40, single_task_rows=30, rewrite_rows=1, heavy_keys=8
 )
-VARIANTS = {"default": Limits(), "no_broadcast": NO_BROADCAST, "small_mask": SMALL_MASK}
+# Many keys count as heavy: the cut lies below the thresholds, so heavy elements leave.
+LOW_CUT = Limits(broadcast_rows=0, single_task_rows=10, rewrite_rows=1, heavy_keys=100)
+LOWEST_CUT = Limits(broadcast_rows=0, single_task_rows=10, rewrite_rows=1, heavy_keys=10_000)
+VARIANTS = {"low_cut": LOW_CUT, "lowest_cut": LOWEST_CUT, "default": Limits(), "no_broadcast": NO_BROADCAST, "small_mask": SMALL_MASK}
 
 TWO_K4 = brute.cliques((1, 2, 3, 4), (1, 2, 5, 6))
 STAR = [(0, v) for v in range(1, 6)]
@@ -164,6 +168,45 @@ def test_truss_against_brute_force(spark, graph, limits, k):
     assert rows(peeled.survivors("support")) == expected_edges(left)
 
 
+@pytest.mark.parametrize("heavy", [5, 100, 10_000])
+def test_heavy_elements_that_leave_are_removed(spark, graph, heavy):
+    """Vertices above the heavy cut but below the threshold take their edges with them."""
+    clique = brute.cliques(tuple(range(12)))
+    tails = [(100 + i, i % 12) for i in range(15)]
+    leaves = [(100 + i, 1000 + 10 * i + j) for i in range(15) for j in range(5)]
+    limits = Limits(broadcast_rows=0, single_task_rows=10, rewrite_rows=1, heavy_keys=heavy)
+    found = P.core_subgraph(spark, graph(clique + tails + leaves), 10, limits=limits)
+    assert rows(found) == [(v, 11) for v in range(12)]
+
+
+def partition_sizes(df):
+    return Counter(r[0] for r in df.select(F.spark_partition_id()).collect())
+
+
+def test_rows_of_a_hub_are_dealt_out(spark, graph):
+    """A star's edges, looked up by their hub, do not meet in one partition."""
+    pairs = [(0, v) for v in range(1, 8001)]
+    edges = E.canonical_edges(graph(pairs))
+    degrees = Workspace(spark, "test").save(E.vertex_degrees(edges), "degrees").df
+    limits = Limits(single_task_rows=100, heavy_keys=1000)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for key, value in zip(old, ("-1", "false")):
+            spark.conf.set(key, value)
+        found = E.attach_degrees(edges, degrees, 8000, limits)
+        assert found.filter("src_degree = 8000 AND dst_degree = 1").count() == 8000
+        hub_first = lookup(
+            edges, degrees, {"src": "vertex"}, {"degree": "d"}, heavy=heavy_keys(degrees, "degree", 16000, limits), limits=limits
+        )
+        sizes = partition_sizes(hub_first)
+        assert sum(sizes.values()) == 8000 and max(sizes.values()) < 3 * 8000 / 8
+        plan = hub_first._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(_spread" in plan
+    finally:
+        for key, value in old.items():
+            spark.conf.set(key, value)
+
+
 def test_many_patches_are_merged(spark, graph, monkeypatch):
     monkeypatch.setattr(P, "MAX_PATCHES", 2)
     monkeypatch.setattr(L, "MAX_PATCHES", 2)

@@ -30,11 +30,18 @@ def test_text_format(spark):
     ]
 
 
-def test_bad_integers_fail_or_are_skipped(spark):
-    text = lines(spark, "1 2", "1 x", "x y z", "# x y")
-    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
-        parse_edge_lines(text).collect()
-    assert pairs(parse_edge_lines(text, permissive=True)) == [(1, 2)]
+@pytest.mark.parametrize("ansi", ["true", "false"])
+@pytest.mark.parametrize("line", ["1 x", "4 5.5", " 5", "9223372036854775808 1", "1e3 2"])
+def test_bad_integers_fail_or_are_skipped(spark, ansi, line):
+    old = spark.conf.get("spark.sql.ansi.enabled")
+    try:
+        spark.conf.set("spark.sql.ansi.enabled", ansi)
+        text = lines(spark, "+1 2", line, "x y z", "# x y")
+        with pytest.raises(Exception, match="not a 64-bit integer"):
+            parse_edge_lines(text).collect()
+        assert pairs(parse_edge_lines(text, permissive=True)) == [(1, 2)]
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", old)
 
 
 def test_files_folders_and_compressed_files(spark, tmp_path):
