@@ -5,9 +5,8 @@ and 6 bytes, lower-cased); a document's score is the noisy-or 1 - prod(1 - p) of
 document labels are known: the model is trained through the noisy-or, so the sentences that
 explain a toxic label are found by training, and are returned as located sentences afterwards.
 
-Features are chosen by counts over all labelled training rows: the `FEATURES` hash buckets whose
-presence differs most between toxic and other documents. Weights are then fitted on at most
-`FIT_ROWS` labelled rows, taken in hash order.
+The model is trained on at most `FIT_ROWS` labelled rows, chosen by a hash of their ids. Features
+are the `FEATURES` hash buckets whose presence differs most between their toxic and other documents.
 
 Defined cases: null and empty texts have no sentence and score `PRIOR`; null labels are ignored, of
 several labels of one document the largest counts; repeated rows each get a score; without labels
@@ -25,10 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from knitgraph.llm import text as T
+from knitgraph.llm.arrays import summed_counts
+from knitgraph.plans import Workspace
 
 BUCKETS = 1 << 18
 FEATURES = 1024
-#: Documents used to fit the weights, at most; all labelled rows choose the features.
+#: Labelled documents used for training, at most.
 FIT_ROWS = 20_000
 #: Labelled training documents that must hold a feature.
 MIN_DOCUMENTS = 3
@@ -109,48 +110,34 @@ def remainder(doc_id: Column, of: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % of
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    marked = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
-    marked = marked.groupBy("doc_id").agg((F.max(label) > 0).cast("int").alias("label"))
-    return docs.select("doc_id", "text").join(marked, "doc_id").select("doc_id", "text", "label")
+def _labelled(docs: DataFrame, labels: DataFrame, work: Workspace) -> DataFrame:
+    """At most FIT_ROWS labelled rows of `docs`, chosen by a hash of their ids.
 
+    The chosen ids have a proven bound and are broadcast, so that no text is shuffled.
+    """
+    marked = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(
+        (F.max("toxic") > 0).cast("int").alias("label")
+    )
+    share = min(1.0, FIT_ROWS / max(marked.count(), 1))
+    chosen = marked.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) <= int(share * (1 << 20))).limit(FIT_ROWS)
+    return work.save(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "labelled").df
 
-def _feature_counts(labelled: DataFrame) -> DataFrame:
-    """Per block of buckets: in how many toxic and other documents each bucket occurs."""
-    block = 1 << 13
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, BUCKETS), dtype=np.int64)
-        for batch in batches:
-            for part in T.slices(batch):
-                x = Sentences(part.column("text"))
-                label = part.column("label").to_numpy().astype(np.int64)
-                keys = [x.doc[c >= 0] * BUCKETS + c[c >= 0] for c in x.features()]
-                keys = np.unique(np.concatenate(keys))
-                np.add.at(counts, (label[keys // BUCKETS], keys % BUCKETS), 1)
-        for at in range(0, BUCKETS, block):
-            rows = counts[:, at : at + block]
-            if rows.any():
-                yield pa.RecordBatch.from_pydict({"at": [at], "counts": [rows.tobytes()]})
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for at, counts in zip(batch.column("at").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                sums[at] = sums.get(at, 0) + np.frombuffer(counts, dtype=np.int64)
-        for at, counts in sums.items():
-            yield pa.RecordBatch.from_pydict({"at": [at], "counts": [counts.tobytes()]})
 
-    schema = "at long, counts binary"
-    # Each of the BUCKETS / block sums is made in one task from one row of every task.
-    return labelled.mapInArrow(run, schema).repartition(BUCKETS // block, "at").mapInArrow(add, schema)
+def _document_counts(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+    """In how many clean and toxic documents each bucket occurs."""
+    counts = np.zeros((2, BUCKETS), dtype=np.int64)
+    for batch in batches:
+        for part in T.slices(batch):
+            x = Sentences(part.column("text"))
+            label = part.column("label").to_numpy().astype(np.int64)
+            keys = [x.doc[c >= 0] * BUCKETS + c[c >= 0] for c in x.features()]
+            keys = np.unique(np.concatenate(keys))
+            np.add.at(counts, (label[keys // BUCKETS], keys % BUCKETS), 1)
+    return counts
 
 
 def choose_features(labelled: DataFrame) -> np.ndarray:
-    counts = np.zeros((2, BUCKETS))
-    for row in _feature_counts(labelled).collect():  # at most BUCKETS counts
-        part = np.frombuffer(row["counts"], dtype=np.int64).reshape(2, -1)
-        counts[:, row["at"] : row["at"] + part.shape[1]] = part
+    counts = summed_counts(labelled, _document_counts, 2, BUCKETS)
     totals = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
     clean, toxic = totals.get(0, 0), totals.get(1, 0)
     if not clean or not toxic:
@@ -164,8 +151,9 @@ def choose_features(labelled: DataFrame) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Train on every labelled row of `docs`; the caller leaves out what is held out."""
-    labelled = _labelled(docs, labels, "toxic")
+    """Train on labelled rows of `docs`; the caller leaves out what is held out."""
+    work = Workspace(docs.sparkSession, "toxicity")
+    labelled = _labelled(docs, labels, work)
     chosen = choose_features(labelled)
     if not len(chosen):
         return Model(np.zeros(BUCKETS), -20.0)
@@ -196,9 +184,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                     ["label", "sentences", "pairs"],
                 )
 
-    sample = _sample(labelled)
     schema = "label int, sentences long, pairs binary"
-    fitted = sample.mapInArrow(bags, schema).coalesce(1).mapInArrow(_fit_bags(len(chosen)), "weights binary, bias double")
+    fitted = labelled.mapInArrow(bags, schema).coalesce(1).mapInArrow(_fit_bags(len(chosen)), "weights binary, bias double")
     row = fitted.first()
     weights, bias = np.frombuffer(row["weights"]), row["bias"]
     full = np.zeros(BUCKETS)
@@ -206,13 +193,6 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(full, bias)
 
 
-def _sample(labelled: DataFrame) -> DataFrame:
-    """At most about FIT_ROWS rows: those whose hashed id lies below a share of the range."""
-    total = labelled.count()
-    share = min(1.0, FIT_ROWS / max(total, 1))
-    return labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(FIT_ROWS)
-
-
 def _fit_bags(width: int):  # noqa: ANN202
     """Gradient steps (with per-weight scaling) on the likelihood of the noisy-or."""
 
