@@ -1,7 +1,7 @@
 """Quality rules: rule statistics of whole texts, and an isolation forest over them.
 
 The statistics are exact per document. A forest of random splits is grown on a bounded sample
-of labelled rows (`SAMPLE_ROWS`, taken in the order of a hash); documents that random splits
+of labelled rows (`SAMPLE_ROWS`, chosen by a hash of their ids); documents that random splits
 isolate after short paths are anomalous. The score from which a document is rejected is
 calibrated on the score histogram of all labelled rows.
 
@@ -233,8 +233,10 @@ def fit_forest(stats: DataFrame, labels: DataFrame) -> Forest:
         F.min("quality").alias("quality")
     )
     labelled = stats.join(quality, "doc_id")
-    sample = labelled.orderBy(F.xxhash64("doc_id"), "doc_id", *RATIOS).limit(SAMPLE_ROWS).select(RATIOS)
-    rows = np.array([list(r) for r in sample.collect()])
+    share = min(1.0, SAMPLE_ROWS / max(labelled.count(), 1))
+    sample = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) <= int(share * (1 << 20)))
+    rows = np.array([list(r) for r in sample.select(RATIOS).limit(SAMPLE_ROWS).collect()])
+    rows = rows[np.lexsort(rows.T)] if len(rows) else rows
     if not len(rows):
         rows = np.zeros((1, len(RATIOS)))
     forest = grow_forest(rows)
