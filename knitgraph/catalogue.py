@@ -201,6 +201,8 @@ def _core(graph: str, k: int, max_rounds: int | None = None) -> Query:
 QUERIES["core_subgraph_3"] = _core("customers", 3)
 QUERIES["core_subgraph_4"] = _core("customers", 4)
 QUERIES["core_subgraph_vanishing"] = _core("customers", 6)
+QUERIES["core_subgraph_orders"] = _core("orders", 6)
+QUERIES["core_subgraph_events"] = _core("events", 3)
 QUERIES["core_subgraph_hubs"] = _core("shipments", 36)
 QUERIES["core_subgraph_capped"] = _core("customers", 4, max_rounds=2)
 QUERIES["core_subgraph_unpeeled"] = _core("customers", 4, max_rounds=0)
@@ -235,6 +237,8 @@ def _truss(graph: str, k: int, prefilter_rounds: int | None = None) -> Query:
 
 QUERIES["truss_subgraph_4"] = _truss("shipments", 4)
 QUERIES["truss_subgraph_5"] = _truss("shipments", 5)
+QUERIES["truss_subgraph_orders"] = _truss("orders", 4)
+QUERIES["truss_subgraph_events"] = _truss("events", 4)
 QUERIES["truss_subgraph_6"] = _truss("users", 6)
 QUERIES["truss_subgraph_vanishing"] = _truss("users", 8)
 QUERIES["truss_subgraph_prefiltered"] = _truss("customers", 4)
@@ -275,6 +279,7 @@ def _levels(spark: SparkSession, folder: str, graph: str, min_core: int = 0) ->
 
 
 QUERIES["truss_levels"] = lambda spark, folder: _levels(spark, folder, "users")
+QUERIES["truss_levels_events"] = lambda spark, folder: _levels(spark, folder, "events")
 QUERIES["truss_levels_hubs"] = lambda spark, folder: _levels(spark, folder, "shipments")
 QUERIES["truss_levels_in_core"] = lambda spark, folder: _levels(spark, folder, "customers", 4)
 

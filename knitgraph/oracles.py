@@ -33,7 +33,25 @@ join (select o_orderkey - reach as follows, o_custkey, o_orderpriority, o_orders
  and a.o_orderstatus = b.o_orderstatus
 where a.o_custkey <> b.o_custkey"""
 
-GRAPHS = {"shipments": SHIPMENTS, "users": USERS, "customers": CUSTOMERS}
+
+
+def _linked(rows: str) -> str:
+    """All pairs of the ids x, y, z of each row, as 3x, 3y + 1 and 3z + 2."""
+    return f"""
+select distinct least(a, b) as src, greatest(a, b) as dst
+from (with ids as (select x * 3 as x, y * 3 + 1 as y, z * 3 + 2 as z from ({rows}))
+      select x as a, y as b from ids union all select x, z from ids union all select y, z from ids) as pairs"""
+
+
+ORDERS = _linked("""select o_custkey as x, date_diff('day', date '1970-01-01', cast(o_orderdate as date)) as y,
+       cast(substr(o_orderpriority, 1, 1) as bigint) as z from orders""")
+
+EVENTS = _linked("""select user_id as x, cast(floor(epoch_us(ts) / 60000000) as bigint) as y,
+       cast(ascii(event_type) as bigint) as z from events""")
+
+GRAPHS = {
+    "shipments": SHIPMENTS, "users": USERS, "customers": CUSTOMERS, "orders": ORDERS, "events": EVENTS,
+}
 
 
 def _edges(graph: str, name: str = "e") -> str:
@@ -213,6 +231,13 @@ ORACLES: dict[str, str] = {
     "graph_shipments": SHIPMENTS,
     "graph_users": USERS,
     "graph_customers": CUSTOMERS,
+    "graph_orders": ORDERS,
+    "graph_events": EVENTS,
+    "core_subgraph_orders": core_subgraph("orders", 6),
+    "core_subgraph_events": core_subgraph("events", 3),
+    "truss_subgraph_orders": truss_subgraph("orders", 4),
+    "truss_subgraph_events": truss_subgraph("events", 4),
+    "truss_levels_events": _levels("events", "select src, dst, tau from levels"),
     "edge_list_permissive": f"""select src, dst from ({USERS}) where src % 17 <> 0 and src % 19 <> 0""",
     "adjacency_lists_parts": f"""with {_degrees('shipments')}
 select s.src as vertex, d.degree, s.dst as neighbor from sym s join deg d on d.vertex = s.src""",

@@ -40,6 +40,34 @@ def shipment_graph(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _linked(rows: DataFrame, *columns: str) -> DataFrame:
+    """All pairs of the three given ids of a row; ids n become 3n, 3n + 1 and 3n + 2."""
+    ids = rows.select(*[(F.col(c) * 3 + n).alias(c) for n, c in enumerate(columns)])
+    pair = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"))
+    a, b, c = columns
+    return canonical_edges(ids.select(F.inline(F.array(pair(a, b), pair(a, c), pair(b, c)))))
+
+
+def order_graph(spark: SparkSession, folder: str) -> DataFrame:
+    """Each order links its customer, its day and its priority, of which there are five."""
+    rows = spark.read.parquet(f"{folder}/orders.parquet").select(
+        F.col("o_custkey").alias("customer"),
+        F.unix_date(F.to_date("o_orderdate")).cast("long").alias("day"),
+        F.substring("o_orderpriority", 1, 1).cast("long").alias("priority"),
+    )
+    return _linked(rows, "customer", "day", "priority")
+
+
+def event_graph(spark: SparkSession, folder: str) -> DataFrame:
+    """Each event links its user, its minute and its type, named by its first letter."""
+    rows = spark.read.parquet(f"{folder}/events.parquet").select(
+        F.col("user_id").alias("user"),
+        F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 60_000_000).cast("long").alias("minute"),
+        F.ascii("event_type").cast("long").alias("type"),
+    )
+    return _linked(rows, "user", "minute", "type")
+
+
 def _followers(table: DataFrame, row_id: str, reach: int) -> DataFrame:
     """Each row once per distance 1..reach, keyed by the row id it follows."""
     return table.withColumn(
@@ -80,4 +108,6 @@ GRAPHS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "shipments": shipment_graph,
     "users": user_graph,
     "customers": customer_graph,
+    "orders": order_graph,
+    "events": event_graph,
 }
