@@ -31,12 +31,15 @@ def parse(arguments: list[str]) -> argparse.Namespace:
     parser.add_argument("--min-core", type=int, default=3, help="core for levels; 0: whole graph")
     parser.add_argument("--prefilter-rounds", type=int, help="0: no k-core prefilter")
     parser.add_argument("--levels-shown", type=int, default=1000)
+    parser.add_argument("--partitions", type=int, help="shuffle partitions of the job")
     parser.add_argument("--permissive", action="store_true", help="skip lines with bad integers")
     parser.add_argument("--output", help="write the result here as Parquet")
     return parser.parse_args(arguments)
 
 
 def run(spark: SparkSession, options: argparse.Namespace) -> None:
+    if options.partitions:
+        spark.conf.set("spark.sql.shuffle.partitions", options.partitions)
     edges = read_edge_text(spark, options.edges, options.permissive)
     if options.task == "truss":
         result = truss_subgraph(spark, edges, options.k, options.prefilter_rounds)
