@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes handled at once inside a task; one longer document is handled alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BYTE_BASE = 0xD1342543DE82EF95
 _WORD_BASE = 0xA0761D6478BD642F
