@@ -126,3 +126,56 @@ def language_mixture(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_license_scan")
 def license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(table(spark, folder, "documents"))
+
+
+_WORDS = r"regexp_extract_all(coalesce({text}, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLES["op4_substring_dedup"] = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, {_WORDS.format(text="text")} AS ws FROM documents
+), win AS (
+  SELECT r, i, array_to_string(ws[i:i + 34], ' ') AS t
+  FROM (SELECT r, ws, unnest(generate_series(1, len(ws) - 34)) AS i FROM d WHERE len(ws) >= 35)
+), dup AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY t) AS c FROM win) WHERE c > 1
+), gone AS (
+  SELECT DISTINCT r, p FROM (SELECT r, unnest(generate_series(i, i + 34)) AS p FROM dup)
+), placed AS (
+  SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM d
+), kept AS (
+  SELECT r, string_agg(w, ' ' ORDER BY p) AS t, count(*) AS n FROM placed ANTI JOIN gone USING (r, p) GROUP BY r
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+ORACLES["op5_warc_archives"] = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS h FROM pages),
+o AS (SELECT h, min(page_id) AS origin FROM p WHERE strlen(h) >= 100 GROUP BY h HAVING count(*) > 1),
+j AS (SELECT p.*, CASE WHEN origin < page_id OR page_id IS NULL THEN origin END AS refers_to FROM p LEFT JOIN o USING (h))
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest,
+       CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to, url
+FROM j
+"""
+
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES["op10_ngram_jaccard_join"] = f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, {_WORDS.format(text=_LOWERED)} AS ws FROM documents
+), sets AS (
+  SELECT DISTINCT r, array_to_string(ws[i:i + 4], ' ') AS s
+  FROM (SELECT r, ws, unnest(generate_series(1, greatest(len(ws) - 4, 1))) AS i FROM d WHERE len(ws) > 0)
+), sizes AS (
+  SELECT r, count(*) AS n FROM sets GROUP BY r
+), links AS (
+  SELECT a, b FROM (SELECT x.r AS a, y.r AS b, count(*) AS c FROM sets x JOIN sets y USING (s) WHERE x.r <> y.r GROUP BY ALL)
+  JOIN sizes m ON m.r = a JOIN sizes k ON k.r = b WHERE 100 * c >= 75 * (m.n + k.n - c)
+), reach(r, o) AS (
+  SELECT r, r FROM d UNION SELECT reach.r, links.b FROM reach JOIN links ON links.a = reach.o
+), least AS (
+  SELECT reach.r, min(doc_id) AS component_id FROM reach JOIN d ON d.r = reach.o GROUP BY reach.r
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM d JOIN least USING (r) LEFT JOIN sizes USING (r)
+"""
