@@ -14,8 +14,10 @@ token ids, and a unit below one window. Other columns are not read.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,34 +34,89 @@ SHARD_TOKENS = 1 << 20
 K1, B = 1.2, 0.75
 #: Ids have 16 bits; the vocabulary must be smaller.
 _IDS = 1 << 16
-_CACHED_WORDS = 300_000
+_CACHED_WORDS = 500_000
+#: Runs of these before or behind letters are split off by the tokenizer.
+_MARKS = b"!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"
 
 
 class WordTokenizer:
     """Token ids of texts, word by word: ids of a word do not depend on the words around it.
 
-    True of tokenizers that split at white space before they merge and drop it.
+    True of tokenizers that split at white space and between letters and marks before they merge.
+    New words of letters only are encoded together, as each gives one run of ids that ends
+    with an end-of-word id; marks before and behind such a word are encoded apart; others go one by one.
+    Words are kept in two generations, so that frequent ones stay when the rest is let go.
     """
 
+    _kept: dict[str, WordTokenizer] = {}
+
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         if self._tokenizer.get_vocab_size() > _IDS:
             raise ValueError("the vocabulary has more than 65,536 entries")
-        self._ids: dict[bytes, bytes] = {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode().split()
-        known = self._ids
-        new = list({w for w in words if w not in known})
-        if new:
-            if len(known) > _CACHED_WORDS:
-                known.clear()
-                new = list(set(words))
-            for w, e in zip(new, self._tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, dtype=np.uint16).tobytes()
-        return np.frombuffer(b"".join(map(known.__getitem__, words)), dtype=np.uint16)
+        self._ends = np.zeros(_IDS, dtype=bool)
+        for piece, i in self._tokenizer.get_vocab().items():
+            self._ends[i] = piece.endswith("</w>")
+        self._young: dict[bytes, bytes] = {}
+        self._old: dict[bytes, bytes] = {}
+
+    @classmethod
+    def of(cls, path: str) -> WordTokenizer:
+        """The tokenizer of this process."""
+        if path not in cls._kept:
+            cls._kept[path] = cls(path)
+        return cls._kept[path]
+
+    def __call__(self, texts: list[bytes | None], closing: bytes = b"") -> list[np.ndarray]:
+        """The ids of each text, with the ids `closing` (16-bit little-endian) behind them."""
+        rows = [(text or b"").split() for text in texts]
+        if len(self._young) > _CACHED_WORDS:
+            self._old, self._young = self._young, {}
+        known, old = self._young, self._old
+        missing = set(chain.from_iterable(rows)).difference(known)
+        again = missing.intersection(old)
+        known.update((w, old[w]) for w in again)
+        self._learn(missing - again)
+        known[b""] = closing  # no word is empty
+        return [np.frombuffer(b"".join(map(known.__getitem__, [*words, b""])), dtype=np.uint16) for words in rows]
+
+    def _learn(self, words: set[bytes]) -> None:
+        plain = [w for w in words if w.isalpha()]
+        lower = [w.lower() for w in plain]
+        marked, single = [], []
+        for w in words.difference(plain):
+            rest = w.lstrip(_MARKS)
+            stem = rest.rstrip(_MARKS)
+            if stem.isalpha() or (stem and not stem.isascii() and _only_letters(stem.decode())):
+                marked.append((w, w[: len(w) - len(rest)], stem.lower(), rest[len(stem) :]))  # bytes: A-Z only
+            else:
+                single.append(w)
+        stems = list(dict.fromkeys(chain(lower, (stem for _, _, stem, _ in marked))))
+        lines = [stems[at : at + 512] for at in range(0, len(stems), 512)]
+        ids: list[bytes] = []
+        for line, found in zip(lines, self._encode([b" ".join(line).decode() for line in lines]), strict=True):
+            stop = np.flatnonzero(self._ends[found]) + 1
+            if len(stop) != len(line):
+                raise ValueError("the tokenizer does not end each word with one end-of-word id")
+            blob, cuts = found.tobytes(), (2 * stop).tolist()
+            ids += [blob[a:b] for a, b in zip([0, *cuts], cuts)]
+        of_stem = dict(zip(stems, ids, strict=True))
+        self._young.update(zip(plain, map(of_stem.__getitem__, lower), strict=True))
+        marks = list({m for _, head, _, tail in marked for m in (head, tail)})
+        of = {m: e.tobytes() for m, e in zip(marks, self._encode([m.decode() for m in marks]), strict=True)}
+        self._young.update((w, of[head] + of_stem[stem] + of[tail]) for w, head, stem, tail in marked)
+        self._young.update((w, e.tobytes()) for w, e in zip(single, self._encode([w.decode() for w in single]), strict=True))
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, dtype=np.uint16) for e in found]
+
+
+def _only_letters(word: str) -> bool:
+    """Whether the word stays one run of letters when it is composed and made lower case."""
+    return word.isalpha() and word.lower().isalpha() and unicodedata.is_normalized("NFC", word)
 
 
 def ids_crc32(ids: np.ndarray) -> int:
@@ -70,13 +127,13 @@ def _units(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Full windows (without ids) and units (with ids) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordTokenizer(tokenizer)
+        encode = WordTokenizer.of(tokenizer)
         for batch in batches:
             copies: dict = {}  # rows that repeat an id within a batch go to different shards
             for part in T.slices(batch):
                 out: list[tuple] = []
-                for place, (key, text) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True)):
-                    ids = np.append(encode(text), np.uint16(CLOSE))
+                encoded = encode(part.column("text").cast(pa.binary()).to_pylist(), np.uint16(CLOSE).tobytes())
+                for place, (key, ids) in enumerate(zip(part.column("doc_id").to_pylist(), encoded, strict=True)):
                     copy = copies[key] = copies.get(key, -1) + 1
                     full = len(ids) // WINDOW * WINDOW
                     for at in range(0, full, WINDOW):
@@ -103,12 +160,24 @@ def _units(docs: DataFrame, tokenizer: str) -> DataFrame:
     )
 
 
+def distinct_terms(units: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(unit, term, occurrences) of the distinct terms of each unit, in order."""
+    lengths = np.array([len(u) for u in units])
+    kind = np.uint32 if len(units) <= 1 << 16 else np.uint64
+    keys = np.repeat(np.arange(len(units), dtype=kind), lengths) << kind(16)
+    keys |= np.concatenate(units)
+    keys.sort()
+    start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return (keys[start] >> kind(16)).astype(np.int64), keys[start].astype(np.uint16), np.diff(np.append(start, len(keys)))
+
+
 def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-    counts = np.zeros((1, _IDS), dtype=np.int64)
+    counts = np.zeros(_IDS, dtype=np.int64)
     for batch in batches:
-        for ids in batch.column("ids").to_pylist():
-            counts[0, np.unique(np.frombuffer(ids, dtype=np.uint16))] += 1
-    return counts
+        units = [np.frombuffer(ids, dtype=np.uint16) for ids in batch.column("ids").to_pylist()]
+        for at in range(0, len(units), 500):
+            counts += np.bincount(distinct_terms(units[at : at + 500])[1], minlength=_IDS)
+    return counts.reshape(1, -1)
 
 
 class Bm25Index:
@@ -116,9 +185,7 @@ class Bm25Index:
 
     def __init__(self, units: list[np.ndarray], weight_of_term: np.ndarray, mean_length: float) -> None:
         lengths = np.array([len(u) for u in units])
-        owner = np.repeat(np.arange(len(units), dtype=np.int64), lengths)
-        keys, counts = np.unique(owner << 16 | np.concatenate(units).astype(np.int64), return_counts=True)
-        unit, term = keys >> 16, (keys & (_IDS - 1)).astype(np.uint16)
+        unit, term, counts = distinct_terms(units)
         # Terms of half of all units or more have no weight, so they need no postings.
         useful = weight_of_term[term] > 0
         unit, term, counts = unit[useful], term[useful], counts[useful]
@@ -154,16 +221,21 @@ def fill_windows(units: list[np.ndarray], index: Bm25Index) -> Iterator[list[tup
         carried = None
         scores = np.where(unused, index.scores(seed), -1.0)
         ranked = np.argsort(-scores, kind="stable")[: int(unused.sum())]
-        best = None
-        for unit in ranked:
-            if length[unit] <= space:
-                window.append((int(unit), 0, int(length[unit])))
-                unused[unit] = False
-                space -= int(length[unit])
-                if not space:
-                    break
-            elif best is None:
-                best = int(unit)
+        wide = length[ranked]
+        best = int(ranked[np.argmax(wide > space)]) if (wide > space).any() else None
+        at = 0
+        while space:
+            fits = wide[at:] <= space
+            step = int(np.argmax(fits)) if len(fits) else 0
+            if not len(fits) or not fits[step]:
+                break
+            unit, at = int(ranked[at + step]), at + step + 1
+            window.append((unit, 0, int(length[unit])))
+            unused[unit] = False
+            space -= int(length[unit])
+        if space and best is None:  # all that is left was passed by before the window was this full
+            left = ranked[unused[ranked]]
+            best = int(left[0]) if len(left) else None
         if space and best is not None:
             window.append((best, 0, space))
             unused[best] = False

@@ -13,7 +13,7 @@ from knitgraph.llm import packing, pieces
 
 ODD = [
     None, "", " ", "it's Here's a'S X'll 1234,56 don't, a., .. ,", "İstanbul ΣΣΣ. क़क, é é x y x\x1cz ▁ 한국어. ﬁ",
-    "<|endoftext|> a<|startoftext|>b", "  two  spaces\n\nlines \t tab ", "😀 x" * 30, "▁▁ a ▁b",
+    "<|endoftext|> a<|startoftext|>b <|endoftext|>, |<|endoftext|>| (word) \"Quoted!\" $$$ -été- ***Ünï*** a'b 'tis rock'n", "  two  spaces\n\nlines \t tab ", "😀 x" * 30, "▁▁ a ▁b",
 ]
 
 
@@ -23,7 +23,7 @@ def test_word_ids_equal_the_tokenizer(spark, smallest, tokenizers_folder):
     path = os.path.join(tokenizers_folder, "word_bpe_49k.json")
     texts = ODD + [r.text for r in spark.read.parquet(f"{smallest}/documents.parquet").collect()]
     whole = Tokenizer.from_file(path).encode_batch([t or "" for t in texts], add_special_tokens=False)
-    found = packing.WordTokenizer(path)(texts)
+    found = packing.WordTokenizer(path)([None if t is None else t.encode() for t in texts])
     assert [list(f) for f in found] == [e.ids for e in whole]
 
 
