@@ -290,9 +290,10 @@ def repeated_intervals(docs: DataFrame, work: Workspace) -> DataFrame:
     """doc_id, row_key and the word intervals [start, end) to remove, as a list per row."""
     keyed = _with_key(docs)
     runs = work.save(_runs(keyed), "runs")
-    again = runs.df.groupBy("anchor").count().filter("count >= 2").select("anchor")
-    flagged = work.save(runs.df.join(again, "anchor", "left_semi"), "flagged")
-    work.drop(runs)
+    # Written, so that both sides of the join are plain shuffles, whose hot partitions Spark splits.
+    again = work.save(runs.df.groupBy("anchor").count().filter("count >= 2").select("anchor"), "again")
+    flagged = work.save(runs.df.join(again.df, "anchor", "left_semi"), "flagged")
+    work.drop(runs, again)
     contents = flagged.df.groupBy("anchor", "content").agg(
         F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "row_key", "first", "windows")).alias("at")
     )
@@ -318,7 +319,8 @@ def repeated_intervals(docs: DataFrame, work: Workspace) -> DataFrame:
     )
     count = max(1, -(-pieces.measures["words"] // SHARD_WORDS))
     dealt = single.unionByName(split).withColumn("shard", F.pmod("anchor", F.lit(count)))
-    spans = work.save(_search(dealt.repartition(count, "shard").sortWithinPartitions("shard")), "spans").df
+    found = work.save(_search(dealt.repartition(count, "shard").sortWithinPartitions("shard")), "spans")
+    spans = found.df
     whole = spans.select("anchor", F.col("piece").alias("content"), "span_start", "span_end")
     windows = (
         pieces.df.filter("hot")
@@ -327,7 +329,7 @@ def repeated_intervals(docs: DataFrame, work: Workspace) -> DataFrame:
         .select("anchor", "content", F.col("place").alias("span_start"), (F.col("place") + WINDOW).alias("span_end"))
     )
     covered = whole.unionByName(windows)
-    return (
+    intervals = (
         flagged.df.join(covered, ["anchor", "content"])
         .groupBy("doc_id", "row_key")
         .agg(
@@ -336,6 +338,9 @@ def repeated_intervals(docs: DataFrame, work: Workspace) -> DataFrame:
             ).alias("spans")
         )
     )
+    intervals = work.save(intervals, "intervals").df
+    work.drop(flagged, pieces, found)
+    return intervals
 
 
 def _joined(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -382,7 +387,9 @@ def strip_documents(docs: DataFrame) -> DataFrame:
     Texts without a repeated window stay as they are. `n_chars`, where it exists, follows the text.
     """
     work = Workspace(docs.sparkSession, "substrings")
-    joined = _joined(docs, repeated_intervals(docs, work))
+    # The row travels as one column, so that no name of it can clash.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    joined = _joined(docs.select("doc_id", "text", row), repeated_intervals(docs, work)).select("row", "spans")
 
     def strip(texts: pa.Array, lists: pa.Array) -> pa.Array:
         out = []
@@ -399,12 +406,12 @@ def strip_documents(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [
-                strip(batch.column(i), batch.column(batch.num_columns - 1)) if name == "text" else batch.column(i)
-                for i, name in enumerate(batch.schema.names[:-1])
-            ]
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
+            columns = batch.column("row").flatten()
+            at = docs_columns.index("text")
+            columns[at] = strip(columns[at], batch.column("spans"))
+            yield pa.RecordBatch.from_arrays(columns, docs_columns)
 
+    docs_columns = docs.columns
     stripped = joined.mapInArrow(run, docs.schema)
     if "n_chars" in docs.columns:
         length = F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from knitgraph.llm import text as T
 from knitgraph.llm.arrays import summed_counts
-from knitgraph.plans import Workspace
+from knitgraph.plans import Staged, Workspace
 
 BUCKETS = 1 << 18
 FEATURES = 1024
@@ -110,7 +110,7 @@ def remainder(doc_id: Column, of: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % of
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, work: Workspace) -> DataFrame:
+def _labelled(docs: DataFrame, labels: DataFrame, work: Workspace) -> Staged:
     """At most FIT_ROWS labelled rows of `docs`, chosen by a hash of their ids.
 
     The chosen ids have a proven bound and are broadcast, so that no text is shuffled.
@@ -120,7 +120,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, work: Workspace) -> DataFrame:
     )
     share = min(1.0, FIT_ROWS / max(marked.count(), 1))
     chosen = marked.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) <= int(share * (1 << 20))).limit(FIT_ROWS)
-    return work.save(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "labelled").df
+    return work.save(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "labelled")
 
 
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
@@ -153,7 +153,8 @@ def choose_features(labelled: DataFrame) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Train on labelled rows of `docs`; the caller leaves out what is held out."""
     work = Workspace(docs.sparkSession, "toxicity")
-    labelled = _labelled(docs, labels, work)
+    staged = _labelled(docs, labels, work)
+    labelled = staged.df
     chosen = choose_features(labelled)
     if not len(chosen):
         return Model(np.zeros(BUCKETS), -20.0)
@@ -187,6 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     schema = "label int, sentences long, pairs binary"
     fitted = labelled.mapInArrow(bags, schema).coalesce(1).mapInArrow(_fit_bags(len(chosen)), "weights binary, bias double")
     row = fitted.first()
+    work.drop(staged)
     weights, bias = np.frombuffer(row["weights"]), row["bias"]
     full = np.zeros(BUCKETS)
     full[chosen] = weights
