@@ -3,17 +3,19 @@
 A document is the set of its distinct 5-word shingles (A-Z lower-cased). Two documents link when
 100 * |x & y| >= 75 * |x | y|. Documents with one set are a class; the join works on classes.
 
-1. Shingles that a slice of the texts shows in a `HOT_SHARE` of its documents are counted; the
-   hot ones (at most mean set size / HOT_SHARE, whatever the number of documents) are ordered last.
+1. Shingles that a task finds in a share `HOT_SHARE` of its documents are counted; the hot ones (at
+   most mean set size / HOT_SHARE, whatever the number of documents) are ordered last.
 2. Sets that link share a shingle among the first n - ceil(0.75 n) + 1 of either in that order.
-   Classes that share such a shingle form a block; blocks of equal members are one block.
+   Classes that share such a shingle form a block, cut where the sizes and the places of the shingle rule
+   out a link between its sides; blocks of equal members are one block.
 3. Most links are found first: each class is compared with one class of equal min-hash. Blocks whose
    members these links already connect need no further look, and no pair inside a component is
-   emitted, so a group of thousands of near copies costs one comparison a member.
+   emitted.
 4. In every other block, the shingles of a class are hashed into groups; the group counts are a
    point, and the points are bulk-loaded into an R-tree. Overlap is at most the sum of coordinate minima,
    for boxes (over their upper corners) as for points. Pairs that may reach the needed overlap
-   survive and are verified on their whole sets.
+   survive and are verified on their whole sets: first the nearest of each member, then those that are
+   still between two components. So a group of thousands of near copies costs a few comparisons a member.
 
 Blocks beyond `BLOCK` members are dealt out as pairs of sub-blocks. Links give components by
 alternating stars.
@@ -29,20 +31,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from knitgraph.llm import text as T
 from knitgraph.llm.components import components
-from knitgraph.plans import Workspace
+from knitgraph.plans import Staged, Workspace
 
 WIDTH = 5
 #: Shingles in this share of the documents are ordered last.
-HOT_SHARE = 0.005
+HOT_SHARE = 0.0005
 HOT_LIMIT = 200_000
 MIN_HASHES = 4
 #: Members of a block that one task compares.
-BLOCK = 20_000
+BLOCK = 5_000
 #: Members of a leaf of the R-tree, and comparisons of one star that one task makes.
 LEAF = 16
 STAR = 20_000
@@ -68,17 +71,28 @@ def shingle_sets(x: T.Texts) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _hot_shingles(docs: DataFrame) -> np.ndarray:
-    """Shingles of very many documents, ascending."""
+    """Shingles of very many documents, ascending. Any choice gives the same links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = rows = 0
+
+        def often() -> pa.RecordBatch:
+            found, counts = np.unique(np.concatenate(held), return_counts=True)
+            kept = counts >= max(2, HOT_SHARE * rows / 2)
+            return pa.RecordBatch.from_arrays([pa.array(found[kept].view(np.int64)), pa.array(counts[kept])], ["shingle", "n"])
+
         for batch in batches:
             for part in T.slices(batch):
                 grams, _ = shingle_sets(T.Texts(part.column("text")))
-                found, counts = np.unique(grams, return_counts=True)
-                often = counts >= max(2, HOT_SHARE * part.num_rows / 2)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(found[often].view(np.int64)), pa.array(counts[often])], ["shingle", "n"]
-                )
+                held.append(grams)
+                size, rows = size + len(grams), rows + part.num_rows
+                if size > 1 << 22:
+                    yield often()
+                    held.clear()
+                    size = rows = 0
+        if held:
+            yield often()
 
     counts = docs.select("text").mapInArrow(run, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
     least = max(20.0, HOT_SHARE * docs.count())
@@ -87,132 +101,167 @@ def _hot_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def groups_of(n: np.ndarray) -> np.ndarray:
-    """Coordinates of a count vector: a power of two, a quarter to half of the set size."""
-    return 1 << np.clip(np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64) - 2, 2, 16)
+    """Coordinates of a count vector: the next power of two of the set size, up to 4096."""
+    return 1 << np.clip(np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64), 2, 12)
 
 
-def _summaries(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """Per row: the class (a hash of the set), its size, min-hashes, prefix and count vector."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
+def class_keys(grams: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A hash of each set."""
+    sums = np.zeros(len(grams) + 1, dtype=np.uint64)
+    np.cumsum(T.mix(grams), out=sums[1:])
+    n = np.diff(offsets).astype(np.uint64)
+    return T.mix(sums[offsets[1:]] - sums[offsets[:-1]] + T.mix(n)).view(np.int64)
+
+
+def count_vectors(grams: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles per group of each set, one after the other; 255 stands for that or more."""
+    n = np.diff(offsets)
+    groups = groups_of(n)
+    ends = np.cumsum(groups)
+    doc = np.repeat(np.arange(len(n)), n)
+    slot = (ends - groups)[doc] + (grams & (groups[doc] - 1).astype(np.uint64)).astype(np.int64)
+    return np.minimum(np.bincount(slot, minlength=int(groups.sum())), 255).astype(np.uint8), np.append(0, ends)
+
+
+def _with_key(docs: DataFrame) -> DataFrame:
+    row = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("text").isNull(), F.col("text")]
+    return docs.withColumns({"k1": F.xxhash64(*row), "k2": F.hash(*row)})
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """Per row: the class (a hash of the set), its size and min-hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = shared.value
         for batch in batches:
             for part in T.slices(batch):
                 x = T.Texts(part.column("text"))
                 grams, offsets = shingle_sets(x)
                 n = np.diff(offsets)
-                doc = np.repeat(np.arange(x.n), n)
-                sums = np.zeros(len(grams) + 1, dtype=np.uint64)
-                np.cumsum(T.mix(grams), out=sums[1:])
-                key = T.mix(sums[offsets[1:]] - sums[offsets[:-1]] + T.mix(n.astype(np.uint64)))
                 full = np.flatnonzero(n)
                 mins = np.zeros((x.n, MIN_HASHES), dtype=np.uint64)
                 for j in range(MIN_HASHES):
                     if len(full):
                         hashed = T.mix(grams ^ np.uint64(0x5851F42D4C957F2D * (j + 1) & (2**64 - 1)))
                         mins[full, j] = T.mix(np.minimum.reduceat(hashed, offsets[full]) + np.uint64(j))
-                groups = groups_of(n)
-                base = np.cumsum(groups) - groups
-                slot = base[doc] + (grams & (groups[doc] - 1).astype(np.uint64)).astype(np.int64)
-                vector = np.bincount(slot, minlength=int(groups.sum())).astype(np.uint16)
-                late = np.isin(grams, hot) if len(hot) else np.zeros(len(grams), dtype=bool)
-                order = np.lexsort((late, doc))
-                prefix = np.where(n > 0, n - (3 * n + 3) // 4 + 1, 0)
-                chosen = grams[order[T.ranges(offsets[:-1], prefix)]]
+                lists = pa.ListArray.from_arrays(
+                    pa.array(np.arange(x.n + 1, dtype=np.int32) * MIN_HASHES), pa.array(mins.reshape(-1).view(np.int64))
+                )
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("doc_id"),
-                        part.column("k1"),
-                        part.column("k2"),
-                        pa.array(key.view(np.int64)),
+                        *[part.column(c) for c in ("doc_id", "k1", "k2")],
+                        pa.array(class_keys(grams, offsets)),
                         pa.array(n.astype(np.int64)),
-                        T.binary_rows(mins.reshape(-1), np.arange(x.n + 1) * MIN_HASHES),
-                        T.binary_rows(chosen, np.append(0, np.cumsum(prefix))),
-                        T.binary_rows(vector, np.append(0, np.cumsum(groups))),
+                        lists,
                     ],
-                    ["doc_id", "k1", "k2", "cls", "n", "mins", "prefix", "vector"],
+                    ["doc_id", "k1", "k2", "cls", "n", "mins"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(
-        run, f"doc_id {kind}, k1 bigint, k2 int, cls bigint, n bigint, mins binary, prefix binary, vector binary"
-    )
+    return docs.mapInArrow(run, f"doc_id {kind}, k1 bigint, k2 int, cls bigint, n bigint, mins array<bigint>")
 
 
-def _with_key(docs: DataFrame) -> DataFrame:
-    row = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("text").isNull(), F.col("text")]
-    return docs.withColumns({"k1": F.xxhash64(*row), "k2": F.hash(*row)})
-
+def _prefixes(docs: DataFrame, hot: np.ndarray) -> DataFrame:
+    """(value, n, reach, cls) for the prefix shingles of each class, once a task.
 
-def _exploded(classes: DataFrame, column: str) -> DataFrame:
-    """A row for each 64-bit value of a binary column."""
+    A class whose first common shingle with another stands at place p shares at most n - p with it; so it
+    links with no set of more than `reach` shingles.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, seen = shared.value, set()
         for batch in batches:
-            blob = batch.column(column).cast(pa.large_binary())
-            if not len(blob):
-                continue
-            offsets = np.frombuffer(blob.buffers()[1], dtype=np.int64)[blob.offset : blob.offset + len(blob) + 1]
-            values = np.frombuffer(blob.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]].view(np.int64)
-            owner = np.repeat(np.arange(len(blob)), np.diff(offsets) // 8)
-            for at in range(0, len(owner), 1 << 18):
-                some = pa.array(owner[at : at + (1 << 18)])
+            for part in T.slices(batch):
+                grams, offsets = shingle_sets(T.Texts(part.column("text")))
+                n, cls = np.diff(offsets), class_keys(grams, offsets)
+                fresh = np.zeros(len(n), dtype=bool)
+                for i, key in enumerate(cls.tolist()):
+                    fresh[i] = key not in seen
+                    seen.add(key)
+                late = np.zeros(len(grams), dtype=bool)
+                if len(hot):
+                    late = hot[np.minimum(np.searchsorted(hot, grams), len(hot) - 1)] == grams
+                order = np.lexsort((late, np.repeat(np.arange(len(n)), n)))
+                prefix = np.where(fresh & (n > 0), n - (3 * n + 3) // 4 + 1, 0)
+                chosen = grams[order[T.ranges(offsets[:-1], prefix)]]
+                size = np.repeat(n, prefix)
+                place = T.ranges(np.zeros(len(n), dtype=np.int64), prefix)
+                reach = (_SCALE * (size - place) - 3 * size) // 3
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(values[at : at + (1 << 18)]), batch.column("cls").take(some), batch.column("n").take(some)],
-                    ["value", "cls", "n"],
+                    [
+                        pa.array(chosen.view(np.int64)),
+                        pa.array(size.astype(np.int32)),
+                        pa.array(reach.astype(np.int32)),
+                        pa.array(np.repeat(cls, prefix)),
+                    ],
+                    ["value", "n", "reach", "cls"],
                 )
 
-    return classes.select("cls", "n", column).mapInArrow(run, "value bigint, cls bigint, n bigint")
+    return docs.select("text").mapInArrow(run, "value bigint, n int, reach int, cls bigint")
 
 
 def _blocks(prefixes: DataFrame) -> DataFrame:
-    """(block, cls) for the classes that share a shingle; equal blocks come once a task.
+    """(block, cls) for the classes that share a shingle and may link; equal blocks come once a task.
 
-    Rows arrive sorted by shingle and class; a block is named by the hash of its members. A block
-    beyond BLOCK members is emitted in parts under the name of its shingle, unmerged.
+    Rows arrive sorted by shingle, size and class; a block is named by the hash of its members. The members
+    of one beyond BLOCK rows are emitted in parts under the name of its shingle, uncut.
     """
+    columns = ("value", "n", "reach", "cls")
+
+    def named(value: np.ndarray, cls: np.ndarray, name: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(cls)], ["block", "cls"])
+
+    def emit(rows: list[np.ndarray]) -> pa.RecordBatch:
+        value, n, reach, cls = rows
+        new = np.append(True, value[1:] != value[:-1])[: len(value)]
+        # The farthest reach so far within the shingle: a larger size starts a block of its own.
+        base = (np.cumsum(new) - 1) << 33
+        far = np.maximum.accumulate(base + np.maximum(reach, 0)) - base if len(value) else reach
+        new[1:] |= n[1:] > far[:-1]
+        start = np.flatnonzero(new)
+        size = np.diff(np.append(start, len(value)))
+        sums = np.zeros(len(cls) + 1, dtype=np.uint64)
+        np.cumsum(T.mix(cls.view(np.uint64)), out=sums[1:])
+        names = T.mix(sums[start + size] - sums[start] + size.astype(np.uint64))
+        kept = np.repeat(size >= 2, size)
+        return named(value[kept], cls[kept], np.repeat(names, size)[kept])
+
+    def emit_whole(rows: list[np.ndarray]) -> pa.RecordBatch:
+        value, _, _, cls = rows
+        return named(value, cls, T.mix(value.view(np.uint64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest_v, rest_c, whole = np.zeros(0, np.int64), np.zeros(0, np.int64), None
-
-        def emit(values: np.ndarray, classes: np.ndarray, name: np.uint64 | None) -> pa.RecordBatch:
-            start = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, int)
-            size = np.diff(np.append(start, len(values)))
-            sums = np.zeros(len(classes) + 1, dtype=np.uint64)
-            np.cumsum(T.mix(classes.view(np.uint64)), out=sums[1:])
-            names = T.mix(sums[start + size] - sums[start] + size.astype(np.uint64))
-            if name is not None:
-                names[:] = name
-                keep = np.ones(len(start), dtype=bool)
-            else:
-                keep = size >= 2
-            row = np.repeat(keep, size)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(names, size)[row].view(np.int64)), pa.array(classes[row])], ["block", "cls"]
-            )
-
+        rest = [np.zeros(0, np.int64) for _ in columns]
+        whole, last = None, None
         for batch in batches:
-            v = np.concatenate([rest_v, batch.column("value").to_numpy()])
-            c = np.concatenate([rest_c, batch.column("cls").to_numpy()])
-            if not len(v):
+            rows = [batch.column(c).to_numpy().astype(np.int64) for c in columns]
+            if not len(rows[0]):
                 continue
+            # Each task that saw a copy of a class sent its rows.
+            value, cls = rows[0], rows[3]
+            new = np.append((value[0], cls[0]) != last, (value[1:] != value[:-1]) | (cls[1:] != cls[:-1]))
+            last = (value[-1], cls[-1])
+            rows = [np.append(r, column[new]) for r, column in zip(rest, rows, strict=True)]
+            value = rows[0]
             if whole is not None:  # the rest of a very large block
-                stop = int(np.searchsorted(v != whole, True)) if v[-1] != whole else len(v)
-                yield emit(v[:stop], c[:stop], T.mix(np.array([whole], np.int64).view(np.uint64))[0])
-                v, c = v[stop:], c[stop:]
-                if not len(v):
-                    rest_v, rest_c = v, c
-                    continue
-                whole = None
-            last = int(np.flatnonzero(np.append(True, v[1:] != v[:-1]))[-1])
-            yield emit(v[:last], c[:last], None)
-            rest_v, rest_c = v[last:], c[last:]
-            if len(rest_v) > BLOCK:
-                whole = rest_v[0]
-                yield emit(rest_v, rest_c, T.mix(np.array([whole], np.int64).view(np.uint64))[0])
-                rest_v, rest_c = rest_v[:0], rest_c[:0]
-        yield emit(rest_v, rest_c, None)
+                stop = int(np.count_nonzero(value == whole))
+                if stop:
+                    yield emit_whole([r[:stop] for r in rows])
+                if stop < len(value):
+                    whole = None
+                rows = [r[stop:] for r in rows]
+                value = rows[0]
+            rest = rows
+            if not len(value):
+                continue
+            tail = int(np.flatnonzero(np.append(True, value[1:] != value[:-1]))[-1])
+            yield emit([r[:tail] for r in rows])
+            rest = [r[tail:] for r in rows]
+            if len(rest[0]) > BLOCK:
+                whole = rest[0][0]
+                yield emit_whole(rest)
+                rest = [r[:0] for r in rest]
+        yield emit(rest)
 
     return prefixes.mapInArrow(run, "block bigint, cls bigint")
 
@@ -222,25 +271,38 @@ def _fold(vectors: np.ndarray) -> np.ndarray:
     return vectors[:, :half] + vectors[:, half:]
 
 
-def close_pairs(sizes: np.ndarray, vectors: list[np.ndarray], owner: np.ndarray, side: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of members whose overlap may reach the threshold, as places in the input.
+def close_pairs(
+    sizes: np.ndarray, vectors: list[np.ndarray], owner: np.ndarray, side: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of members whose overlap may reach the threshold, and whether one is the other's nearest.
 
     Pairs of one owner are left out; of members on sides 0 and 1 only pairs across are wanted.
     """
-    out = []
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     groups = groups_of(sizes)
     for g in np.unique(groups):
-        low = np.flatnonzero(groups == g)
-        high = np.flatnonzero(groups == 2 * g)
-        points = np.stack([vectors[i] for i in low]).astype(np.int32)
-        trees = [(low, points)]
-        if len(high):
-            trees.append((high, _fold(np.stack([vectors[i] for i in high]).astype(np.int32))))
-        loaded = [_bulk_load(which, rows, sizes) for which, rows in trees]
-        out += _tree_join(loaded[0], loaded[0], sizes, owner, side)
+        low, high = np.flatnonzero(groups == g), np.flatnonzero(groups == 2 * g)
+        mine = _bulk_load(low, _points(vectors, low), sizes)
+        found += _tree_join(mine, mine, sizes, owner, side)
         if len(high):
-            out += _tree_join(loaded[0], loaded[1], sizes, owner, side)
-    return out
+            found += _tree_join(mine, _bulk_load(high, _fold(_points(vectors, high)), sizes), sizes, owner, side)
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    x, y, bound = (np.concatenate(part) for part in zip(*found, strict=True))
+    bound = np.minimum(bound, np.minimum(sizes[x], sizes[y]))
+    share = bound / (sizes[x] + sizes[y] - bound)
+    ends, pair = np.append(x, y), np.tile(np.arange(len(x)), 2)
+    order = np.lexsort((pair, -share[pair], ends))
+    _, first = np.unique(ends[order], return_index=True)
+    nearest = np.zeros(len(x), dtype=bool)
+    nearest[pair[order[first]]] = True
+    return x, y, nearest
+
+
+def _points(vectors: list[np.ndarray], which: np.ndarray) -> np.ndarray:
+    rows = np.stack([vectors[i] for i in which]).astype(np.uint16)
+    rows[rows == 255] = 1 << 12
+    return rows
 
 
 def _bulk_load(which: np.ndarray, rows: np.ndarray, sizes: np.ndarray):  # noqa: ANN202
@@ -257,7 +319,7 @@ def _reach(minima: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np.ndarray:
     return _SCALE * minima >= 3 * (nx + ny)
 
 
-def _tree_join(a, b, sizes, owner, side) -> list[tuple[np.ndarray, np.ndarray]]:  # noqa: ANN001
+def _tree_join(a, b, sizes, owner, side) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:  # noqa: ANN001
     which_a, rows_a, cuts_a, top_a, small_a, large_a = a
     which_b, rows_b, cuts_b, top_b, small_b, large_b = b
     out = []
@@ -265,7 +327,7 @@ def _tree_join(a, b, sizes, owner, side) -> list[tuple[np.ndarray, np.ndarray]]:
         first = i if a is b else 0
         near = (4 * large_a[i] >= 3 * small_b[first:]) & (4 * large_b[first:] >= 3 * small_a[i])
         leaves = first + np.flatnonzero(near)
-        box = np.minimum(top_a[i], top_b[leaves]).sum(axis=1)
+        box = np.minimum(top_a[i], top_b[leaves]).sum(axis=1, dtype=np.int64)
         leaves = leaves[_reach(box, small_a[i], small_b[leaves])]
         if not len(leaves):
             continue
@@ -277,9 +339,10 @@ def _tree_join(a, b, sizes, owner, side) -> list[tuple[np.ndarray, np.ndarray]]:
             q = q[(owner[y] != owner[x]) & ((side[y] != side[x]) | (side[x] == 2))]
             if len(q):
                 y = which_b[q]
-                ok = _reach(np.minimum(rows_a[p], rows_b[q]).sum(axis=1), sizes[x], sizes[y])
+                bound = np.minimum(rows_a[p], rows_b[q]).sum(axis=1, dtype=np.int64)
+                ok = _reach(bound, sizes[x], sizes[y])
                 if ok.any():
-                    out.append((np.full(int(ok.sum()), x), y[ok]))
+                    out.append((np.full(int(ok.sum()), x), y[ok], bound[ok]))
     return out
 
 
@@ -295,11 +358,14 @@ def _candidates(members: DataFrame) -> DataFrame:
             rows = pa.Table.from_batches(held).combine_chunks()
             held.clear()
             cls = rows.column("cls").to_numpy()
-            vectors = [np.frombuffer(v, dtype=np.uint16) for v in rows.column("vector").to_pylist()]
-            found = close_pairs(rows.column("n").to_numpy(), vectors, rows.column("comp").to_numpy(), rows.column("side").to_numpy())
-            if found:
-                x, y = (cls[np.concatenate(s)] for s in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
+            vectors = [np.frombuffer(v, dtype=np.uint8) for v in rows.column("vector").to_pylist()]
+            x, y, nearest = close_pairs(
+                rows.column("n").to_numpy(), vectors, rows.column("comp").to_numpy(), rows.column("side").to_numpy()
+            )
+            x, y = cls[x], cls[y]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y)), pa.array(nearest)], ["a", "b", "nearest"]
+            )
 
         last = None
         for batch in batches:
@@ -314,29 +380,44 @@ def _candidates(members: DataFrame) -> DataFrame:
                 held.append(batch.slice(at, stop - at))
         yield from close()
 
-    return members.mapInArrow(run, "a bigint, b bigint")
+    return members.mapInArrow(run, "a bigint, b bigint, nearest boolean")
 
 
 def _sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """(cls, grams): the whole sets of the classes in `needed`, from the text of one row each."""
+    """(cls, n, grams, vector): the whole sets of the classes in `needed`, from the text of one row each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
             for part in T.slices(batch):
+                # Rows that repeat a document follow one another and give one set.
+                cls = part.column("cls").to_numpy()
+                new = np.append(cls[0] != last, cls[1:] != cls[:-1])
+                last = cls[-1]
+                part = part.filter(pa.array(new))
                 grams, offsets = shingle_sets(T.Texts(part.column("text")))
-                yield pa.RecordBatch.from_arrays([part.column("cls"), T.binary_rows(grams, offsets)], ["cls", "grams"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("cls"),
+                        pa.array(np.diff(offsets).astype(np.int64)),
+                        T.binary_rows(grams, offsets),
+                        T.binary_rows(*count_vectors(grams, offsets)),
+                    ],
+                    ["cls", "n", "grams", "vector"],
+                )
 
     found = docs.select("k1", "k2", "text").join(needed.select("k1", "k2", "cls"), ["k1", "k2"])
-    return found.select("cls", "text").mapInArrow(run, "cls bigint, grams binary")
+    return found.select("cls", "text").sortWithinPartitions("cls").mapInArrow(
+        run, "cls bigint, n bigint, grams binary, vector binary"
+    )
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, work: Workspace) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, work: Workspace) -> Staged:
     """The pairs (a, b) whose whole sets reach the threshold.
 
     Pairs are gathered as stars around a: its set is sent once a task, the others' sets stream by.
     """
-    named = pairs.select("a").union(pairs.select("b")).distinct().toDF("cls")
-    sets = work.save(_sets(docs, classes.join(named, "cls", "left_semi")), "sets").df
+    sets = sets.select("cls", "grams")
     width = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("parts"))
     others = (
         pairs.join(width, "a")
@@ -367,26 +448,23 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, work: Works
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     gathered = stars.repartition("a", "part").sortWithinPartitions("a", "part", "role")
-    return work.save(gathered.mapInArrow(run, "a bigint, b bigint"), "verified").df
+    return work.save(gathered.mapInArrow(run, "a bigint, b bigint"), "verified")
 
 
 def link_documents(docs: DataFrame) -> DataFrame:
     """doc_id, k1, k2 (which tell rows apart), n_shingles and component_id of every row."""
     work = Workspace(docs.sparkSession, "jaccard")
     keyed = _with_key(docs.select("doc_id", "text"))
-    rows = work.save(_summaries(keyed, _hot_shingles(docs)), "rows")
+    rows = work.save(_rows(keyed), "rows").df
     classes = work.save(
-        rows.df.filter("n > 0").groupBy("cls").agg(
+        rows.filter("n > 0").groupBy("cls").agg(
             F.first("n").alias("n"), F.min("doc_id").alias("least"), F.min("k1").alias("k1"),
             F.min_by("k2", "k1").alias("k2"), F.first("mins").alias("mins"),
-            F.first("prefix").alias("prefix"), F.first("vector").alias("vector"),
         ),
         "classes",
     ).df
-    of_row = work.save(rows.df.select("doc_id", "k1", "k2", "cls", "n"), "classes-of-rows").df
-    work.drop(rows)
 
-    hashes = _exploded(classes, "mins")
+    hashes = classes.select("cls", "n", F.explode("mins").alias("value"))
     center = hashes.groupBy("value").agg(F.min(F.struct("cls", "n")).alias("center"), F.count(F.lit(1)).alias("m"))
     stars = (
         hashes.join(center.filter("m > 1"), "value")
@@ -395,11 +473,18 @@ def link_documents(docs: DataFrame) -> DataFrame:
         .agg(F.min("center.cls").alias("a"))
         .select("a", F.col("cls").alias("b"))
     )
-    first = _verified(work.save(stars, "stars").df, classes, keyed, work)
-    labels = components(first, work)
-
-    prefixes = _exploded(classes, "prefix").repartition("value").sortWithinPartitions("value", "cls")
-    members = work.save(_blocks(prefixes).distinct(), "blocks").df
+    starred = work.save(stars, "stars")
+    stars = starred.df
+    prefixes = _prefixes(keyed, _hot_shingles(docs)).repartition("value").sortWithinPartitions("value", "n", "cls")
+    blocks = work.save(_blocks(prefixes).distinct(), "blocks")
+    members = blocks.df
+    named = members.select("cls").union(stars.select("a")).union(stars.select("b")).distinct()
+    # Kept on the executors' disks as they are dealt out, so that the joins below need not deal them again;
+    # what a lost executor held is made anew.
+    sets = _sets(keyed, classes.join(named, "cls", "left_semi")).repartition("cls").persist(StorageLevel.DISK_ONLY)
+
+    first = _verified(stars, sets, work)
+    labels = components(first.df, work)
     known = members.join(labels, members["cls"] == labels["node"], "left").select(
         "block", "cls", F.coalesce("root", "cls").alias("comp")
     )
@@ -416,21 +501,33 @@ def link_documents(docs: DataFrame) -> DataFrame:
             # Which side of its pair of sub-blocks a member is on; 2: both sides are one.
             F.when(F.col("part") == F.col("other"), 2).when(F.col("part") < F.col("other"), 0).otherwise(1).alias("side"),
         )
-        .join(classes.select("cls", "n", "vector"), "cls")
+        .join(sets.select("cls", "n", "vector"), "cls")
         .repartition("block", "low", "high")
         .sortWithinPartitions("block", "low", "high")
     )
-    survivors = work.save(_candidates(dealt).distinct(), "survivors").df
-    links = first.union(_verified(survivors, classes, keyed, work))
-    roots = components(links, work)
+    survivors = work.save(_candidates(dealt).groupBy("a", "b").agg(F.max("nearest").alias("nearest")), "survivors")
+    second = _verified(survivors.df.filter("nearest").select("a", "b"), sets, work)
+    labels = components(first.df.union(second.df), work)
+    apart = (
+        survivors.df.filter("NOT nearest")
+        .join(labels.toDF("a", "root_a"), "a", "left")
+        .join(labels.toDF("b", "root_b"), "b", "left")
+        .filter("coalesce(root_a, a) <> coalesce(root_b, b)")
+        .select("a", "b")
+    )
+    left = work.save(apart, "apart")
+    third = _verified(left.df, sets, work)
+    sets.unpersist()
+    roots = components(first.df.union(second.df).union(third.df), work)
+    work.drop(starred, blocks, survivors, left, first, second, third)
 
     root_of = classes.select("cls", "least").join(roots, F.col("cls") == F.col("node"), "left").select(
         "cls", "least", F.coalesce("root", "cls").alias("root")
     )
     ids = root_of.groupBy("root").agg(F.min("least").alias("component_id"))
     named = root_of.join(ids, "root").select("cls", "component_id")
-    empty = of_row.filter("n = 0").select("doc_id", "k1", "k2", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    full = of_row.filter("n > 0").join(named, "cls").select("doc_id", "k1", "k2", F.col("n").alias("n_shingles"), "component_id")
+    empty = rows.filter("n = 0").select("doc_id", "k1", "k2", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    full = rows.filter("n > 0").join(named, "cls").select("doc_id", "k1", "k2", F.col("n").alias("n_shingles"), "component_id")
     return full.unionByName(empty)
 
 
@@ -449,8 +546,9 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     )
     wordless = linked.filter("n_shingles = 0").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.lit(True).alias("_all")).distinct()
     kept = kept.select("_k1", "_k2", F.lit(False).alias("_all")).union(wordless)
-    row = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("text").isNull(), F.col("text")]
-    marked = docs.withColumns({"_h1": F.xxhash64(*row), "_h2": F.hash(*row)})
-    found = marked.join(kept, (F.col("_h1") == F.col("_k1")) & (F.col("_h2") == F.col("_k2")))
-    once = found.filter("NOT _all").dropDuplicates(["_h1", "_h2"])
-    return once.unionByName(found.filter("_all")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # The row travels as one column, so that no name of it can clash.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    marked = _with_key(docs.select("doc_id", "text", row)).select("row", "k1", "k2")
+    found = marked.join(kept, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")))
+    once = found.filter("NOT _all").dropDuplicates(["k1", "k2"])
+    return once.select("row.*").unionByName(found.filter("_all").select("row.*"))
