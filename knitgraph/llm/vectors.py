@@ -6,8 +6,8 @@ two matrix products: with lower and upper cell edges per sign of the query. Rows
 whole in the order of their upper bounds until the k-th best score is at least the next bound, so
 the result is exact. The best of each row block are merged by a window over k rows a block.
 
-Queries and rows meet block by block: each block of rows is sent once to each block of queries. Nothing
-is broadcast.
+Queries and rows meet block by block: each block of rows is sent once to each block of queries. No broadcast
+is asked for.
 
 Defined cases: vectors that are null, empty, or hold a null or non-finite component take no part, and
 neither do rows with a null id; vectors of another length than a query's are no candidates of it; rows
