@@ -1,20 +1,25 @@
-"""License scans: winnowed fingerprints pick candidates, banded alignment reports them.
-
-Texts are runs of letters and digits, A-Z lower-cased. Of every `WINNOW` consecutive hashes of
-`GRAM` words the smallest is a fingerprint, so any common run of GRAM + WINNOW - 1 words shares
-one. Fingerprints of the templates form an inverted index (template, place); it is the size of the template
-list, checked against `MAX_TEMPLATE_WORDS`, and broadcast. Fingerprints of a document that hit it
-are grouped by template and diagonal; each group is aligned with the template in a band of `BAND`
-words to either side. Alignments that match at least `MIN_COVERAGE` of the template's words
-are reported with their span.
-
-Defined cases: null and empty texts have no match; templates that are null or shorter than one gram
-are left out; rows that repeat a document each report; overlapping matches of one template are one
-match, the best; ties go to the earlier one. Other columns are not read.
+"""License scans: an inverted index of word fingerprints counts candidates, bit-parallel alignment reports them.
+
+Texts are runs of letters and digits, A-Z lower-cased. A match of a template of n words is a span of at most
+n + `extra_words(n)` words that holds at least `MIN_COVERAGE` of the template's words in order, whatever is
+changed or put between them. No gram of several words must survive such changes, so the fingerprints
+are the single words: an inverted index (word, template, occurrences), broadcast after its size is checked against
+`MAX_TEMPLATE_WORDS`. A document is a candidate of a template if it shares enough occurrences of words with it,
+and so must each span that is aligned; both are necessary for a match, so none is lost. Alignment is the longest
+common subsequence, in one integer of n bits that each word of the span updates.
+
+From left to right, the first span that reaches the coverage gives a match: from the last start that its
+alignment allows, the most words of the template that the allowed length holds, the earliest end with that many and
+the last start. The search goes on behind it. Every template reports for itself, with its coverage.
+
+Defined cases: null and empty texts have no match; templates that are null or have no word
+are left out; rows that repeat a document each report; matches of one template do not overlap.
+Other columns are not read.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +28,6 @@ from pyspark.sql import DataFrame
 
 from knitgraph.llm import text as T
 
-GRAM = 3
-WINNOW = 3
 BAND = 6
 MIN_COVERAGE = 0.8
 MAX_TEMPLATE_WORDS = 1_000_000
@@ -59,101 +62,123 @@ class Tokens:
         self.first = np.searchsorted(start, offsets)
         self.n = len(offsets) - 1
 
-    def fingerprints(self) -> tuple[np.ndarray, np.ndarray]:
-        """Places (first words) and hashes of the winnowed grams of all texts."""
-        counts = np.maximum(np.diff(self.first) - GRAM + 1, 0)
-        place = T.ranges(self.first[:-1], counts)
-        grams = T.word_window_hashes(self.words, place, GRAM)
-        doc = np.repeat(np.arange(self.n), counts)
-        chosen = np.zeros(len(grams), dtype=bool)
-        # A gram is the least of some window if it is so among the grams before or behind it.
-        for shift in range(WINNOW):
-            least = np.ones(len(grams), dtype=bool)
-            for other in range(shift - WINNOW + 1, shift + 1):
-                if not other:
-                    continue
-                at = np.arange(len(grams)) + other
-                valid = (at >= 0) & (at < len(grams))
-                at = np.clip(at, 0, max(len(grams) - 1, 0))
-                same = valid & (doc[at] == doc)
-                least &= ~same | (grams <= grams[at])
-            chosen |= least
-        return place[chosen], grams[chosen]
+
+def extra_words(n: int) -> int:
+    """How many words more than the template a match may span, as for the name of a holder."""
+    return max(2 * BAND, n // 4)
+
+
+def _places(words: list[int]) -> dict[int, int]:
+    """The places of each word, as bits."""
+    out: dict[int, int] = {}
+    for i, word in enumerate(words):
+        out[word] = out.get(word, 0) | 1 << i
+    return out
+
+
+def _common(places: dict[int, int], n: int, words: list[int]) -> tuple[int, int]:
+    """Length of the longest common subsequence with `words`, and the words up to the first place that reaches it."""
+    full = (1 << n) - 1
+    free, steps = full, []
+    for word in words:
+        hit = free & places.get(word, 0)
+        if hit:
+            free = ((free + hit) | (free - hit)) & full
+        steps.append(free)
+    end = bisect.bisect_left(steps, -free.bit_count(), key=lambda v: -v.bit_count())
+    return n - free.bit_count(), end + 1 if free != full else 0
+
+
+def _aligned(there: dict[int, int], back: dict[int, int], n: int, words: list[int]) -> tuple[int, int, int]:
+    """Most words of the template matched in order, and their span: its earliest end, and from that the last start."""
+    matched, end = _common(there, n, words)
+    return matched, end - _common(back, n, words[:end][::-1])[1], end
 
 
 def align(template: np.ndarray, words: np.ndarray, shift: int) -> tuple[int, int, int]:
-    """Most words of the template matched in order along the diagonal `shift`, and their span.
-
-    The longest common subsequence within BAND words of the diagonal; of equal ones the shortest span.
-    """
-    width = 2 * BAND + 1
-    # Cell d of row i stands for template word i against word i + shift + d - BAND.
-    best: list[tuple[int, int, int]] = [(0, 0, 0)] * (width + 1)  # (matched, -span, start)
-    top = (0, 0, 0, 0)
-    for i in range(len(template)):
-        row = [(0, 0, 0)] * (width + 1)
-        for d in range(width):
-            j = i + shift + d - BAND
-            cell = max(best[d + 1], row[d - 1] if d else (0, 0, 0))
-            if 0 <= j < len(words) and template[i] == words[j]:
-                matched, _, start = best[d]
-                start = start if matched else j
-                cell = max(cell, (matched + 1, start - j - 1, start))
-                top = max(top, (matched + 1, start - j - 1, -start, j + 1))
-            row[d] = cell
-        best = row
-    return top[0], -top[2], top[3]
+    """Most words of the template matched in order by the words from `shift` on, and their span."""
+    own, text = np.asarray(template).tolist(), np.asarray(words)[shift:].tolist()
+    matched, start, end = _aligned(_places(own), _places(own[::-1]), len(own), text)
+    return matched, start + shift, end + shift
 
 
 class TemplateIndex:
-    """Template words and the inverted index of their fingerprints."""
+    """The inverted index of the words of the templates, and the places of the words of each."""
 
-    def __init__(self, templates: list[tuple[str, str]]) -> None:
-        kept = sorted((name, body) for name, body in templates if name is not None and body)
+    def __init__(self, wanted: list[tuple[str, str]]) -> None:
+        kept = sorted((name, body) for name, body in wanted if name is not None and body)
         tokens = Tokens(pa.array([body for _, body in kept], pa.string()))
         if len(tokens.words) > MAX_TEMPLATE_WORDS:
             raise ValueError("the template list is too large to send to every task")
         self.names = [name for name, _ in kept]
-        self.words = [tokens.words[a:b] for a, b in zip(tokens.first[:-1], tokens.first[1:], strict=True)]
-        place, grams = tokens.fingerprints()
-        owner = np.searchsorted(tokens.first, place, side="right") - 1
-        order = np.argsort(grams, kind="stable")
-        self.grams, self.owner, self.place = grams[order], owner[order], (place - tokens.first[owner])[order]
+        self.vocabulary, ids = np.unique(tokens.words, return_inverse=True)
+        self.size = np.diff(tokens.first)
+        # At least one, so that a template without words has no candidates.
+        self.needed = np.maximum(np.ceil(MIN_COVERAGE * self.size - 1e-9).astype(np.int64), 1)
+        bodies = [ids[a:b].tolist() for a, b in zip(tokens.first[:-1], tokens.first[1:], strict=True)]
+        self.places = [(_places(body), _places(body[::-1])) for body in bodies]
+        owner = np.repeat(np.arange(len(kept)), self.size)
+        pairs, self.occurrences = np.unique(ids * max(len(kept), 1) + owner, return_counts=True)
+        word, self.owner = np.divmod(pairs, max(len(kept), 1))
+        self.first = np.searchsorted(word, np.arange(len(self.vocabulary) + 1))
+
+    def candidates(self, x: Tokens, word: np.ndarray, doc: np.ndarray) -> list[tuple[int, int]]:
+        """(text, template) pairs that share as many occurrences of words as a match needs."""
+        keys, counts = np.unique(doc * len(self.vocabulary) + word, return_counts=True)
+        doc, word = np.divmod(keys, len(self.vocabulary))
+        postings = self.first[word + 1] - self.first[word]
+        at = T.ranges(self.first[word], postings)
+        shared = np.minimum(np.repeat(counts, postings), self.occurrences[at])
+        pairs, inverse = np.unique(np.repeat(doc, postings) * len(self.names) + self.owner[at], return_inverse=True)
+        total = np.bincount(inverse, shared, minlength=len(pairs))
+        pairs = pairs[total >= self.needed[pairs % len(self.names)]]
+        return list(zip(*(v.tolist() for v in np.divmod(pairs, len(self.names))), strict=True))
 
     def matches(self, x: Tokens) -> list[tuple[int, int, float, int, int, int]]:
         """(text, template, coverage, matched words, first word, end) of every match."""
-        place, grams = x.fingerprints()
-        low, high = np.searchsorted(self.grams, grams), np.searchsorted(self.grams, grams, side="right")
-        hit = T.ranges(low, high - low)
-        at = np.repeat(place, high - low)
-        doc = np.searchsorted(x.first, at, side="right") - 1
-        shift = at - x.first[doc] - self.place[hit]
-        order = np.lexsort((shift, self.owner[hit], doc))
+        if not len(self.vocabulary) or not len(x.words):
+            return []
+        word = np.searchsorted(self.vocabulary, x.words)
+        word[word == len(self.vocabulary)] = 0
+        known = self.vocabulary[word] == x.words
+        word[~known] = -1
+        doc = np.repeat(np.arange(x.n), np.diff(x.first))
         found: list[tuple[int, int, float, int, int, int]] = []
-        last = None
-        for d, t, s in zip(doc[order].tolist(), self.owner[hit][order].tolist(), shift[order].tolist(), strict=True):
-            if last and last[:2] == (d, t) and s - last[2] <= BAND // 2:
-                continue  # the band of the first diagonal holds this one
-            last = (d, t, s)
-            template = self.words[t]
-            low_word = max(0, s - BAND)
-            words = x.words[x.first[d] + low_word : min(x.first[d + 1], x.first[d] + s + len(template) + BAND)]
-            matched, start, end = align(template, words, s - low_word)
-            if matched >= MIN_COVERAGE * len(template):
-                found.append((d, t, matched / len(template), matched, start + low_word, end + low_word))
-        # Of overlapping matches of one template the best stays.
-        found.sort(key=lambda m: (m[0], m[1], -m[2], m[5] - m[4], m[4]))
-        out: list[tuple[int, int, float, int, int, int]] = []
-        for m in found:
-            same = (o for o in reversed(out) if o[:2] == m[:2])
-            if all(m[5] <= o[4] or o[5] <= m[4] for o in same):
-                out.append(m)
-        return out
-
-
-def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None) -> DataFrame:
+        for d, t in self.candidates(x, word[known], doc[known]):
+            n = int(self.size[t])
+            for matched, start, end in self._spans(t, word[x.first[d] : x.first[d + 1]]):
+                found.append((d, t, matched / n, matched, start, end))
+        return found
+
+    def _spans(self, t: int, words: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        there, back = self.places[t]
+        n, needed = int(self.size[t]), int(self.needed[t])
+        width = n + extra_words(n)
+        own = np.zeros(len(self.vocabulary) + 1, dtype=bool)  # the last is for words of no template
+        own[list(there)] = True
+        place = np.flatnonzero(own[words])  # all other words only take up room
+        words = words[place].tolist()
+        enough = np.flatnonzero(np.searchsorted(place, place + width) - np.arange(len(place)) >= needed)
+        at, next_start = 0, 0
+        while at < len(enough):
+            s = int(enough[at])
+            if s < next_start:
+                at = int(np.searchsorted(enough, next_start))
+                continue
+            matched, first, end = _aligned(there, back, n, words[s : int(np.searchsorted(place, place[s] + width))])
+            if matched < needed:
+                # A span that starts k words later takes in k words at most.
+                next_start = max(s + 1, int(np.searchsorted(place, place[s] + needed - matched)))
+                continue
+            first += s
+            matched, begin, end = _aligned(there, back, n, words[first : int(np.searchsorted(place, place[first] + width))])
+            yield matched, int(place[first + begin]), int(place[first + end - 1]) + 1
+            next_start = first + end
+
+
+def scan(docs: DataFrame, wanted: list[tuple[str, str]] | None = None) -> DataFrame:
     """doc_id, license, coverage, matched words and span (in words of letters and digits) of each match."""
-    index = TemplateIndex(list(NOTICES.items()) if templates is None else templates)
+    index = TemplateIndex(list(NOTICES.items()) if wanted is None else wanted)
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -101,3 +101,38 @@ def test_license_lines_of_the_table(spark, smallest):
         if notice in r.text.split("\n")
     }
     assert expected and expected <= found
+
+
+def _brute_lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_no_match_depends_on_where_a_notice_is_changed(documents):
+    """One changed word at each place, and each long insertion, are judged as brute-force alignment does."""
+    long = "w".join(f" {i} " for i in range(30)).replace(" ", "z").split("w")
+    templates = [*((n, b) for n, b in licenses.NOTICES.items()), ("long", " ".join(long))]
+    pairs = []
+    for _, body in templates:
+        own = "".join(c if c.isalnum() else " " for c in body).lower().split()
+        for i in range(len(own)):
+            pairs.append(("so it is", own[:i] + ["changed"] + own[i + 1 :]))
+            pairs.append(("and", own[:i] + "A B C Holder and Many Sons of Town".lower().split() + own[i:]))
+    docs = [(k, f"{head} {' '.join(words)} and more") for k, (head, words) in enumerate(pairs)]
+    found = {(r.doc_id, r.license): r for r in licenses.scan(documents(docs), templates).collect()}
+    expected = set()
+    for k, text in docs:
+        words = text.split()
+        for name, body in templates:
+            own = "".join(c if c.isalnum() else " " for c in body).lower().split()
+            width = len(own) + licenses.extra_words(len(own))
+            best = max(_brute_lcs(own, words[s : s + width]) for s in range(len(words)))
+            if best >= licenses.MIN_COVERAGE * len(own):
+                expected.add((k, name))
+                r = found[k, name]
+                assert r.matched_words == best == _brute_lcs(own, words[r.start_word : r.end_word])
+    assert set(found) == expected and len(expected) >= len(pairs) * 0.9
