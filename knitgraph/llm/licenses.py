@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import bisect
 from collections.abc import Iterator
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,13 @@ NOTICES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 
+
+def templates() -> list[tuple[str, str]]:
+    """The short notices, and the public license texts, preambles and standard headers of `license_texts`."""
+    files = resources.files(__package__).joinpath("license_texts").iterdir()
+    return list(NOTICES.items()) + sorted((f.name.removesuffix(".txt"), f.read_text(encoding="utf-8")) for f in files)
+
+
 _PART = T.table(bytes(range(48, 58)) + bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256)))
 
 
@@ -178,7 +186,7 @@ class TemplateIndex:
 
 def scan(docs: DataFrame, wanted: list[tuple[str, str]] | None = None) -> DataFrame:
     """doc_id, license, coverage, matched words and span (in words of letters and digits) of each match."""
-    index = TemplateIndex(list(NOTICES.items()) if wanted is None else wanted)
+    index = TemplateIndex(templates() if wanted is None else wanted)
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -136,3 +136,13 @@ def test_no_match_depends_on_where_a_notice_is_changed(documents):
                 r = found[k, name]
                 assert r.matched_words == best == _brute_lcs(own, words[r.start_word : r.end_word])
     assert set(found) == expected and len(expected) >= len(pairs) * 0.9
+
+
+def test_license_texts_are_templates(documents):
+    mit = dict(licenses.templates())["MIT text"]
+    bodies = [(name, body) for name, body in licenses.templates() if name.endswith((" text", " header", " preamble"))]
+    assert len(bodies) > 30 and sum(len(body.split()) for _, body in bodies) < licenses.MAX_TEMPLATE_WORDS
+    some = [b for b in bodies if b[0] in ("Apache-2.0 header", "BSD-3-Clause text", "ISC text", "GPL-3.0 preamble", "MPL-2.0 text")]
+    docs = documents([(0, "The MIT License (MIT)\n\nCopyright (c) 2020 A. Person\n\n" + mit)] + [(i, b) for i, (_, b) in enumerate(some, 1)])
+    found = {(r.doc_id, r.license) for r in licenses.scan(docs).collect() if r.coverage == 1}
+    assert {(0, "MIT text")} | {(i, name) for i, (name, _) in enumerate(some, 1)} <= found
