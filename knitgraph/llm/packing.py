@@ -1,9 +1,12 @@
 """Lexical retrieval packing of documents into token sequences.
 
 Texts are tokenized and closed with one id. Every full window of a document is a sequence of its own; what is
-left of it (or all of a short one) is a unit. Units are dealt to shards of `SHARD_TOKENS`
-tokens by a hash. Each shard builds an inverted index with BM25 weights over token ids; document
-frequencies are those of the whole corpus. A seed's unused neighbours fill its window in the order of their
+left of it (or all of a short one) is a unit. Units are dealt to shards of about `SHARD_TOKENS`
+tokens by content: a unit's place is `_DRAWS` of its terms, drawn by weighted min-hashing with their BM25 weights,
+so two units agree in a draw as often as their weighted terms overlap. Shards are ranges of places that cut a
+sample of all units evenly, so a hot term is split by the next draw and a hot text by a hash of the row.
+Each shard builds an inverted index with BM25 weights over token ids; document
+frequencies and the mean length are those of the whole documents. A seed's unused neighbours fill its window in the order of their
 scores: those that fit stay whole, then the best of the others is cut to fill the window, and its rest is
 the next seed. So all windows but the last of each shard are full.
 
@@ -31,6 +34,11 @@ from knitgraph.plans import Workspace
 WINDOW = 4096
 CLOSE = 2
 SHARD_TOKENS = 1 << 20
+#: What a unit counts besides its tokens, so that a shard of tiny units has a bounded number of them.
+_UNIT_COST = 64
+_DRAWS = 3
+#: Units that are looked at for each shard, about, to cut the ranges.
+_SAMPLED = 64
 K1, B = 1.2, 0.75
 #: Ids have 16 bits; the vocabulary must be smaller.
 _IDS = 1 << 16
@@ -124,7 +132,7 @@ def ids_crc32(ids: np.ndarray) -> int:
 
 
 def _units(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Full windows (without ids) and units (with ids) of every row."""
+    """Full windows (without ids) and units (with ids) of every row; a first full window has the terms of its document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = WordTokenizer.of(tokenizer)
@@ -137,10 +145,11 @@ def _units(docs: DataFrame, tokenizer: str) -> DataFrame:
                     copy = copies[key] = copies.get(key, -1) + 1
                     full = len(ids) // WINDOW * WINDOW
                     for at in range(0, full, WINDOW):
-                        out.append((place, copy, at, WINDOW, ids_crc32(ids[at : at + WINDOW]), len(ids), None))
+                        terms = None if at else np.unique(ids).tobytes()
+                        out.append((place, copy, at, WINDOW, ids_crc32(ids[at : at + WINDOW]), len(ids), None, terms))
                     if full < len(ids):
-                        out.append((place, copy, full, len(ids) - full, None, len(ids), ids[full:].tobytes()))
-                place, copy, start, length, crc, total, ids = zip(*out, strict=True)
+                        out.append((place, copy, full, len(ids) - full, None, len(ids), ids[full:].tobytes(), None))
+                place, copy, start, length, crc, total, ids, terms = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id").take(pa.array(place)),
@@ -150,13 +159,14 @@ def _units(docs: DataFrame, tokenizer: str) -> DataFrame:
                         pa.array(crc, pa.int64()),
                         pa.array(total, pa.int64()),
                         pa.array(ids, pa.binary()),
+                        pa.array(terms, pa.binary()),
                     ],
-                    ["doc_id", "copy", "start", "length", "ids_crc32", "doc_tokens", "ids"],
+                    ["doc_id", "copy", "start", "length", "ids_crc32", "doc_tokens", "ids", "terms"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, copy int, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
+        run, f"doc_id {kind}, copy int, start long, length long, ids_crc32 long, doc_tokens long, ids binary, terms binary"
     )
 
 
@@ -180,16 +190,85 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
     return counts.reshape(1, -1)
 
 
+def _bm25(
+    units: list[np.ndarray], weight_of_term: np.ndarray, mean_length: float
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(unit, term, weight) of the terms that have a weight, in order."""
+    lengths = np.array([len(u) for u in units])
+    unit, term, counts = distinct_terms(units)
+    # Terms of half of all documents or more have no weight, so they need no postings.
+    useful = weight_of_term[term] > 0
+    unit, term, counts = unit[useful], term[useful], counts[useful]
+    return unit, term, weight_of_term[term] * counts * (K1 + 1) / (counts + K1 * (1 - B + B * lengths[unit] / mean_length))
+
+
+def content_places(units: list[np.ndarray], weight_of_term: np.ndarray, mean_length: float) -> np.ndarray:
+    """Per unit the terms drawn by weighted min-hashing, 16 bits each, above 16 free bits."""
+    unit, term, weight = _bm25(units, weight_of_term, mean_length)
+    out = np.zeros(len(units), dtype=np.uint64)
+    if not len(unit):
+        return out
+    first = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
+    owner = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(unit))))
+    for draw in range(_DRAWS):
+        spread = T.mix(np.arange(draw * _IDS + 1, (draw + 1) * _IDS + 1, dtype=np.uint64))
+        wait = -np.log((spread.astype(np.float64) + 1) / 2.0**64.0 * (1 - 1e-12))[term] / weight
+        least = np.flatnonzero(wait == np.minimum.reduceat(wait, first)[owner])
+        _, chosen = np.unique(owner[least], return_index=True)
+        out[unit[first]] |= term[least[chosen]].astype(np.uint64) << np.uint64(16 * (_DRAWS - draw))
+    return out
+
+
+def _placed(units: DataFrame, weight_of_term: np.ndarray, mean_length: float, bounds: np.ndarray | None) -> DataFrame:
+    """`units` with their places or, where the bounds of the shards are given, with their shards."""
+    shared = units.sparkSession.sparkContext.broadcast((weight_of_term, bounds))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, cuts = shared.value
+        for batch in batches:
+            place = batch.column("row_hash").to_numpy().view(np.uint64).copy()
+            blobs = batch.column("ids").to_pylist()
+            whole = np.array([b is None for b in blobs], dtype=bool)
+            with_ids = np.flatnonzero(~whole)
+            for at in range(0, len(with_ids), 500):
+                some = with_ids[at : at + 500]
+                terms = content_places([np.frombuffer(blobs[i], dtype=np.uint16) for i in some], weights, mean_length)
+                place[some] = terms | place[some] & np.uint64(0xFFFF)
+            if cuts is None:
+                yield pa.RecordBatch.from_arrays([batch.column("length"), pa.array(place.view(np.int64))], ["length", "place"])
+                continue
+            shard = np.searchsorted(cuts, place, side="right")
+            shard[whole] = (place[whole] % np.uint64(len(cuts) + 1)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shard, pa.int64())], [*batch.schema.names, "shard"])
+
+    if bounds is None:
+        return units.select("length", "ids", "row_hash").mapInArrow(run, "length long, place long")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in units.schema.fields)
+    return units.mapInArrow(run, f"{fields}, shard long")
+
+
+def _shard_bounds(units: DataFrame, n: int, shards: int, weight_of_term: np.ndarray, mean_length: float) -> np.ndarray:
+    """The first places of all shards but one, from a sample of bounded size that hashes of the rows choose."""
+    if shards == 1:
+        return np.zeros(0, dtype=np.uint64)
+    share = min(1.0, max(_SAMPLED * shards, 2000) / n)
+    sample = units.filter("ids IS NOT NULL").filter(F.pmod(F.xxhash64("row_hash"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    rows = _placed(sample, weight_of_term, mean_length, None).toArrow()
+    place = rows.column("place").to_numpy().view(np.uint64)
+    cost = rows.column("length").to_numpy() + _UNIT_COST
+    order = np.lexsort((cost, place))
+    if not len(order):
+        return np.zeros(0, dtype=np.uint64)
+    sums = np.cumsum(cost[order])
+    at = np.searchsorted(sums, sums[-1] * np.arange(1, shards) / shards)
+    return place[order][at]
+
+
 class Bm25Index:
     """Postings of the units of one shard: per term the units that hold it and their weights."""
 
     def __init__(self, units: list[np.ndarray], weight_of_term: np.ndarray, mean_length: float) -> None:
-        lengths = np.array([len(u) for u in units])
-        unit, term, counts = distinct_terms(units)
-        # Terms of half of all units or more have no weight, so they need no postings.
-        useful = weight_of_term[term] > 0
-        unit, term, counts = unit[useful], term[useful], counts[useful]
-        weight = weight_of_term[term] * counts * (K1 + 1) / (counts + K1 * (1 - B + B * lengths[unit] / mean_length))
+        unit, term, weight = _bm25(units, weight_of_term, mean_length)
         order = np.argsort(term, kind="stable")
         self._unit, self._weight, self._n = unit[order], weight[order], len(units)
         self._start = np.searchsorted(term[order], np.arange(_IDS + 1))
@@ -296,11 +375,18 @@ def pack_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     units = work.save(
         _units(docs, tokenizer), "units",
         units=F.count("ids"), tokens=F.sum(F.when(F.col("ids").isNotNull(), F.col("length"))),
+        documents=F.count(F.when(F.col("start") == 0, 1)), all_tokens=F.sum("length"),
     )
-    n, tokens = units.measures["units"], units.measures["tokens"]
-    df = summed_counts(units.df.filter("ids IS NOT NULL").select("ids"), _document_frequencies, 1, _IDS)[0]
-    weight = np.where(df > 0, np.maximum(np.log((n - df + 0.5) / (df + 0.5)), 0), 0)
-    shards = max(1, -(-tokens // SHARD_TOKENS))
+    n, tokens, documents = (units.measures[k] for k in ("units", "tokens", "documents"))
+    terms = units.df.filter("start = 0").select(F.coalesce("terms", "ids").alias("ids"))
+    df = summed_counts(terms, _document_frequencies, 1, _IDS)[0]
+    weight = np.where(df > 0, np.maximum(np.log((documents - df + 0.5) / (df + 0.5)), 0), 0)
+    mean_length = units.measures["all_tokens"] / max(documents, 1)
+    shards = max(1, -(-(tokens + _UNIT_COST * n) // SHARD_TOKENS))
     row = [F.col("doc_id").isNull(), "doc_id", "start", "copy"]
-    dealt = units.df.withColumn("shard", F.pmod(F.xxhash64(*row), F.lit(shards))).repartition(shards, "shard")
-    return _pack(dealt.sortWithinPartitions("shard", F.xxhash64(*row), *row[1:]), weight, tokens / max(n, 1))
+    keyed = units.df.drop("terms").withColumn("row_hash", F.xxhash64(*row))
+    # A term of one document brings no neighbours, so it is no place.
+    shared_weight = np.where(df > 1, weight, 0)
+    bounds = _shard_bounds(keyed, n, shards, shared_weight, mean_length)
+    dealt = _placed(keyed, shared_weight, mean_length, bounds).repartition(shards, "shard")
+    return _pack(dealt.sortWithinPartitions("shard", "row_hash", *row[1:]), weight, mean_length)

@@ -66,6 +66,35 @@ def test_pieces_hold_each_id_once(monkeypatch, documents, tokenizers_folder):
     assert packing.pack_documents(docs.limit(0), path).count() == 0
 
 
+def test_neighbours_share_a_shard(monkeypatch, documents, tokenizers_folder):
+    """Each of 60 documents has a copy with a few other words; by a hash one pair in some 30 would meet."""
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 3000)
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=4)) for _ in range(3000)]
+    pairs = []
+    for i in range(60):
+        text = rng.sample(words, 200)
+        pairs += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(text[:190] + rng.sample(words, 10)))]
+    found = packing.pack_documents(documents(pairs), os.path.join(tokenizers_folder, "word_bpe_49k.json")).collect()
+    shard = {r.doc_id: r.sequence_id >> 32 for r in found}
+    assert len(set(shard.values())) >= 8
+    assert sum(shard[2 * i] == shard[2 * i + 1] for i in range(60)) >= 40
+
+
+def test_frequencies_count_whole_documents(monkeypatch, documents, tokenizers_folder):
+    seen = []
+    pack = packing._pack
+    monkeypatch.setattr(packing, "_pack", lambda dealt, weight, mean: seen.append((weight, mean)) or pack(dealt, weight, mean))
+    path = os.path.join(tokenizers_folder, "word_bpe_49k.json")
+    pairs = [(0, "rare " + "a b " * 5000)] + [(i, f"dog {i}") for i in range(1, 20)]
+    packing.pack_documents(documents(pairs), path).count()
+    ids = [packing.WordTokenizer(path)([t.encode()], np.uint16(packing.CLOSE).tobytes())[0] for _, t in pairs]
+    df = np.bincount(np.concatenate([np.unique(x) for x in ids]), minlength=1 << 16)
+    expected = np.where(df > 0, np.maximum(np.log((20 - df + 0.5) / (df + 0.5)), 0), 0)
+    weight, mean = seen[0]
+    assert np.allclose(weight, expected) and mean == sum(map(len, ids)) / 20
+
+
 def test_neighbours_follow_bm25():
     units = [np.array(u, dtype=np.uint16) for u in ([1, 2, 3, 9], [4, 5, 6, 9], [1, 2, 7, 9], [4, 5, 8, 9], [20, 21, 22, 9])]
     df = np.bincount(np.concatenate([np.unique(u) for u in units]), minlength=1 << 16)
