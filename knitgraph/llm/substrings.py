@@ -333,7 +333,8 @@ def repeated_intervals(docs: DataFrame, work: Workspace) -> DataFrame:
         flagged.df.join(covered, ["anchor", "content"])
         .groupBy("doc_id", "row_key")
         .agg(
-            F.collect_list(
+            # A set, as rows that repeat an id and a text all bring the same spans.
+            F.collect_set(
                 F.struct((F.col("first") + F.col("span_start")).alias("start"), (F.col("first") + F.col("span_end")).alias("end"))
             ).alias("spans")
         )

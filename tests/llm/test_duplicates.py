@@ -134,3 +134,15 @@ def test_words_and_hashes_of_odd_texts():
     assert found == [plain.words(t) for t in texts]
     again = T.Texts(pa.array(["pad a", "a"]))
     assert again.word_hashes()[1] == again.word_hashes()[2] == x.word_hashes()[0]
+
+
+def test_spans_of_repeated_rows_are_kept_once(spark, documents):
+    """3,000 rows of one id and text gather the spans of one row, not 3,000 times them."""
+    rng = random.Random(5)
+    text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(300))
+    docs = documents([(1, text)] * 3000 + [(2, text), (3, "another text")])
+    work = Workspace(spark, "spans")
+    sizes = {r.doc_id: r.n for r in substrings.repeated_intervals(docs, work).select("doc_id", F.size("spans").alias("n")).collect()}
+    assert sizes[1] == sizes[2] <= 300 and 3 not in sizes
+    removed = {(r.doc_id, r.n_removed) for r in substrings.removed_words(docs).collect()}
+    assert removed == {(1, 300), (2, 300), (3, 0)}
