@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knitgraph.llm import jaccard, languages, licenses, packing, pieces, quality, substrings, toxicity, vectors, warc
+from knitgraph.llm import (
+    centroids, extraction, jaccard, languages, licenses, packing, pieces, quality, substrings, toxicity, variants, vectors, warc,
+)
 from knitgraph.llm.ship import ship
 from knitgraph.plans import Workspace
 
@@ -179,3 +181,55 @@ WITH RECURSIVE d AS (
 )
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM d JOIN least USING (r) LEFT JOIN sizes USING (r)
 """
+
+
+@query("op11_centroid_clustering")
+def centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.cluster_report(*centroids.cluster_vectors(table(spark, folder, "embeddings")))
+
+
+def _clustering_sql(rounds: int = centroids.ROUNDS) -> str:
+    """Lloyd's rounds written out one after the other."""
+    gap = "CAST(list_sum([(z[1] - z[2]) * (z[1] - z[2]) for z in list_zip(v, m)]) AS BIGINT)"
+    parts = [f"""
+v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, [CAST(floor({centroids.SCALE} * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS v
+  FROM embeddings
+  WHERE len(embedding) = {centroids.DIM} AND len([1 for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v AS m
+  FROM (SELECT v, sha256('{centroids.SEED}:' || vec_id) AS h FROM v WHERE vec_id IS NOT NULL ORDER BY h, v LIMIT {centroids.CENTROIDS})
+)"""]
+    for i in range(rounds + 1):
+        parts.append(f"""
+a{i} AS MATERIALIZED (
+  SELECT r, min({{'d': {gap}, 'c': c}}) AS best FROM v, c{i} GROUP BY r
+)""")
+        if i < rounds:
+            parts.append(f"""
+s{i} AS (
+  SELECT best.c AS c, p, CAST(sum(x) AS BIGINT) AS s, count(*) AS n
+  FROM (SELECT best, unnest(v) AS x, generate_subscripts(v, 1) AS p FROM a{i} JOIN v USING (r)) GROUP BY ALL
+), c{i + 1} AS MATERIALIZED (
+  SELECT c, coalesce(k, m) AS m
+  FROM c{i} LEFT JOIN (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY p) AS k FROM s{i} GROUP BY c) USING (c)
+)""")
+    return "WITH " + ",".join(parts) + f"""
+SELECT vec_id, CAST(best.c AS INTEGER) AS cluster, best.d AS distance,
+       CAST(sum(best.d) OVER (PARTITION BY best.c) AS BIGINT) AS cluster_inertia, CAST(sum(best.d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a{rounds} JOIN v USING (r) JOIN c{rounds} ON c{rounds}.c = best.c
+"""
+
+
+ORACLES["op11_centroid_clustering"] = _clustering_sql()
+
+
+@query("op12_spelling_variants")
+def spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, folder, "documents"))
+
+
+@query("op13_main_text")
+def main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return extraction.extract_pages(table(spark, folder, "pages"), extraction.fit(extraction.labelled_pages(spark)))
