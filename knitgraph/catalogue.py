@@ -13,13 +13,15 @@ from knitgraph.operators import levels as L
 from knitgraph.operators import peeling as P
 from knitgraph.operators import triangles as T
 from knitgraph.oracles import ORACLES
-from knitgraph.plans import Limits, Workspace
+from knitgraph.plans import Limits, Staged, Workspace
 from knitgraph.sources import GRAPHS, read_edge_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 # With these limits the plans meant for large graphs run on every graph.
-LARGE = Limits(broadcast_rows=0, single_task_rows=200, rewrite_rows=1, heavy_keys=100)
+LARGE = Limits(broadcast_rows=0, single_task_rows=200, rewrite_rows=1, heavy_keys=100, wedge_ids=5_000)
+# Hot lists in ranges of a few thousand rows.
+RANGES = Limits(single_task_rows=200, heavy_keys=100, range_rows=20_000)
 
 QUERIES: dict[str, Query] = {}
 
@@ -42,11 +44,14 @@ class _Prepared:
         self.count = staged.rows
         self.degrees = self.work.save(E.vertex_degrees(self.edges), "degrees").df
 
-    def oriented(self) -> DataFrame:
-        return E.oriented_edges(self.edges, self.degrees, self.count)
+    def oriented(self, limits: Limits = Limits()) -> DataFrame:
+        return E.oriented_edges(self.edges, self.degrees, self.count, limits)
 
-    def directed_triangles(self) -> DataFrame:
-        return T.directed_triangles(self.oriented(), self.count)
+    def lists(self, limits: Limits = Limits()) -> Staged:
+        return T.stage_lists(self.work, self.oriented(limits))
+
+    def directed_triangles(self, limits: Limits = Limits()) -> DataFrame:
+        return T.directed_triangles(self.lists(limits), limits)
 
     def triangles(self) -> DataFrame:
         return T.triangles_by_id(self.directed_triangles())
@@ -119,6 +124,14 @@ def adjacency_lists_parts(spark: SparkSession, folder: str) -> DataFrame:
     return lists.select("vertex", "degree", F.explode("neighbors").alias("neighbor"))
 
 
+@_query("adjacency_list_ranges")
+def adjacency_list_ranges(spark: SparkSession, folder: str) -> DataFrame:
+    """Lists cut into parts of 50 consecutive neighbors."""
+    graph = _Prepared(spark, folder, "shipments")
+    lists = E.adjacency_lists(graph.edges, graph.degrees, graph.count, 50, RANGES)
+    return lists.withColumn("neighbors", joined_ids("neighbors"))
+
+
 @_query("oriented_edges")
 def oriented_edges(spark: SparkSession, folder: str) -> DataFrame:
     return _Prepared(spark, folder, "shipments").oriented()
@@ -136,7 +149,7 @@ def ordered_adjacency(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query("wedge_candidates")
 def wedge_candidates(spark: SparkSession, folder: str) -> DataFrame:
-    wedges = T.wedge_candidates(_Prepared(spark, folder, "users").oriented())
+    wedges = T.wedge_candidates(_Prepared(spark, folder, "users").lists())
     return wedges.withColumn("candidates", joined_ids("candidates"))
 
 
@@ -147,9 +160,7 @@ def triangle_list(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query("triangle_list_salted")
 def triangle_list_salted(spark: SparkSession, folder: str) -> DataFrame:
-    graph = _Prepared(spark, folder, "shipments")
-    oriented = E.oriented_edges(graph.edges, graph.degrees, graph.count, LARGE)
-    return T.triangles_by_id(T.directed_triangles(oriented, graph.count, LARGE))
+    return T.triangles_by_id(_Prepared(spark, folder, "shipments").directed_triangles(LARGE))
 
 
 @_query("triangle_count")
@@ -178,12 +189,23 @@ def triangle_partners(spark: SparkSession, folder: str) -> DataFrame:
 def triangle_partner_lists(spark: SparkSession, folder: str) -> DataFrame:
     graph = _Prepared(spark, folder, "users")
     directed = graph.work.save(graph.directed_triangles(), "triangles")
-    lists = T.triangle_partner_lists(directed.df, directed.rows)
+    return _joined(T.triangle_partner_lists(graph.work, directed.df, directed.rows))
+
+
+def _joined(lists: DataFrame) -> DataFrame:
     for role in T.ROLES:
         lists = lists.withColumn(role, joined_ids(role))
     return lists
 
 
+@_query("triangle_partner_ranges")
+def triangle_partner_ranges(spark: SparkSession, folder: str) -> DataFrame:
+    """Third vertices of hubs in parts of 50 consecutive ones."""
+    graph = _Prepared(spark, folder, "shipments")
+    directed = graph.work.save(graph.directed_triangles(), "triangles")
+    return _joined(T.triangle_partner_lists(graph.work, directed.df, directed.rows, 50, RANGES))
+
+
 @_query("triangle_partner_sizes")
 def triangle_partner_sizes(spark: SparkSession, folder: str) -> DataFrame:
     return T.triangle_partner_sizes(_Prepared(spark, folder, "shipments").directed_triangles())
@@ -271,6 +293,37 @@ def truss_partner_sizes(spark: SparkSession, folder: str) -> DataFrame:
     return P.truss_partner_sizes(spark, GRAPHS["users"](spark, folder), 5)
 
 
+@_query("truss_partner_lists")
+def truss_partner_lists(spark: SparkSession, folder: str) -> DataFrame:
+    return _joined(P.truss_partner_lists(spark, GRAPHS["users"](spark, folder), 5))
+
+
+# On the graphs without a cap on links: truss cells and their third vertices.
+QUERIES["truss_triangles_orders"] = lambda spark, folder: P.truss_triangles(
+    spark, GRAPHS["orders"](spark, folder), 4
+)
+QUERIES["truss_partner_sizes_events"] = lambda spark, folder: P.truss_partner_sizes(
+    spark, GRAPHS["events"](spark, folder), 4
+)
+QUERIES["truss_partner_lists_orders"] = lambda spark, folder: _joined(
+    P.truss_partner_lists(spark, GRAPHS["orders"](spark, folder), 4, max_thirds=50, limits=RANGES)
+)
+QUERIES["truss_subgraph_orders_shuffled"] = lambda spark, folder: P.truss_subgraph(
+    spark, GRAPHS["orders"](spark, folder), 4, limits=LARGE
+)
+QUERIES["core_subgraph_orders_shuffled"] = lambda spark, folder: P.core_subgraph(
+    spark, GRAPHS["orders"](spark, folder), 6, limits=LARGE
+)
+
+
+QUERIES["truss_subgraph_stripped"] = lambda spark, folder: P.stripped_truss(
+    spark, GRAPHS["orders"](spark, folder), 4
+)
+QUERIES["truss_subgraph_stripped_shuffled"] = lambda spark, folder: P.stripped_truss(
+    spark, GRAPHS["events"](spark, folder), 4, limits=LARGE
+)
+
+
 # --- truss levels ----------------------------------------------------------
 
 
@@ -294,6 +347,28 @@ def level_rounds(spark: SparkSession, folder: str) -> DataFrame:
     return L.level_rounds(spark, GRAPHS["users"](spark, folder))
 
 
+QUERIES["truss_levels_stripped"] = lambda spark, folder: L.stripped_levels(
+    spark, GRAPHS["shipments"](spark, folder)
+)
+QUERIES["truss_levels_stripped_shuffled"] = lambda spark, folder: L.stripped_levels(
+    spark, GRAPHS["events"](spark, folder), limits=LARGE
+)
+
+
+@_query("truss_level_report")
+def truss_level_report(spark: SparkSession, folder: str) -> DataFrame:
+    """The two lowest levels and the number of edges of all, from one decomposition."""
+    return L.level_report(_levels(spark, folder, "events"), size=2)
+
+
+QUERIES["level_rounds_events"] = lambda spark, folder: L.level_rounds(
+    spark, GRAPHS["events"](spark, folder)
+)
+QUERIES["truss_levels_orders_shuffled"] = lambda spark, folder: L.truss_levels(
+    spark, GRAPHS["orders"](spark, folder), limits=LARGE
+)
+
+
 @_query("level_histogram_per_edge")
 def level_histogram_per_edge(spark: SparkSession, folder: str) -> DataFrame:
     """Triangles of each edge by their lowest support: one step's messages."""

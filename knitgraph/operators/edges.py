@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from knitgraph.functions import edge_heads_up, larger_id, smaller_id
+from knitgraph.plans.ranks import ranked_rows
 from knitgraph.plans.skew import DEFAULT_LIMITS, Limits, heavy_keys, lookup
+from knitgraph.plans.workspace import Workspace
 
 
 def canonical_edges(pairs: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -120,9 +122,9 @@ def adjacency_lists(
 ) -> DataFrame:
     """``(vertex, part, degree, neighbors)`` with neighbors sorted by id.
 
-    A vertex of degree up to ``max_neighbors`` has the one part 0. The list of
-    a larger hub is split by neighbor hash into parts of about that size, since
-    it would not fit into one row or one task.
+    A vertex of degree up to ``max_neighbors`` has the one part 0. The neighbors of a larger hub, which would
+    not fit into one row or one task, are ranked by id: part p holds those of ranks p * max_neighbors to
+    (p + 1) * max_neighbors - 1.
     """
     both = symmetric_edges(edges)
     heavy = heavy_keys(degrees, "degree", 2 * edge_count, limits)
@@ -134,15 +136,15 @@ def adjacency_lists(
         how="inner",
         heavy=heavy,
         limits=limits,
-    )
-    parts = F.ceil(F.col("degree") / F.lit(max_neighbors)).cast("long")
-    return (
-        known.select(
-            F.col("src").alias("vertex"),
-            F.pmod(F.xxhash64("dst"), parts).alias("part"),
-            "degree",
-            "dst",
-        )
-        .groupBy("vertex", "part", "degree")
-        .agg(F.sort_array(F.collect_list("dst")).alias("neighbors"))
+    ).select(F.col("src").alias("vertex"), "degree", "dst")
+    is_hub = F.col("degree") > max_neighbors
+    parts = known.filter(~is_hub).withColumn("part", F.lit(0).cast("long"))
+    # A degree is at most the number of edges: a small graph has no hub.
+    hub_rows = degrees.filter(is_hub).agg(F.sum("degree")).first()[0] if edge_count > max_neighbors else None
+    if hub_rows:
+        work = Workspace(edges.sparkSession, "lists")
+        ranked = ranked_rows(work, known.filter(is_hub), ["vertex"], ["dst"], hub_rows, limits.range_rows)
+        parts = parts.unionByName(ranked.select("vertex", "degree", "dst", F.expr(f"rank div {max_neighbors}").alias("part")))
+    return parts.groupBy("vertex", "part", "degree").agg(
+        F.sort_array(F.collect_list("dst")).alias("neighbors")
     )

@@ -6,7 +6,12 @@ is in at least s of its triangles. It is the fix-point of
     tau(e) <- H { min(tau(e1), tau(e2)) : triangle (e, e1, e2) }
 
 starting from the edge support, where H is the h-index (Sariyuce, Seshadhri and
-Pinar, PVLDB 12(1), 2018). Values only fall, so the loop ends when none changes.
+Pinar, PVLDB 12(1), 2018). Values only fall, so the loop ends when none changes. A round may also fall short of
+the h-index, as long as it lowers every edge whose h-index is lower: the limit is the same.
+
+`stripped_levels` finds the same levels from the bottom up (see `stripping`): settled edges and their triangles
+leave, so the work of a round follows what it removes. It takes more rounds, which on graphs that fit a few tasks cost
+more than they save.
 """
 
 from __future__ import annotations
@@ -19,8 +24,9 @@ from knitgraph.operators.peeling import (
     MAX_PATCHES,
     triangles_in_core,
 )
+from knitgraph.operators.stripping import stage_incidence, strip
 from knitgraph.plans.skew import DEFAULT_LIMITS, Limits, heavy_keys, lookup
-from knitgraph.plans.workspace import Staged, Workspace
+from knitgraph.plans.workspace import Staged, Workspace, workspace
 
 _SHAPE = EDGES_OF_TRIANGLE
 _KEYS = list(_SHAPE.keys)
@@ -105,27 +111,53 @@ def refine_all(
     return h_index_per_edge(level_histogram_per_edge(levelled))
 
 
+# Distances below the level of an edge at which its triangles are counted.
+GAPS = (0, 1, 2, 4, 8, 16, 64, 256, 4096, 1 << 20, 1 << 30)
+
+
+def lower_all(levelled: DataFrame) -> DataFrame:
+    """``(src, dst, level)``: a level between the h-index of every edge and its present level, below the latter
+    if the h-index is.
+
+    The triangles of an edge that reach its level, or that minus a gap, are counted in one map-side
+    aggregation. At the first gap g where as many triangles as the level minus g reach that, the h-index is at most
+    the level minus the gap before, minus one; for the first gaps that is the h-index itself. So a fall of any
+    size takes a few rounds, and there are no values to sort.
+    """
+    lowest = f"least({', '.join(f'tau_{side}' for side in _SIDES)})"
+    sides = ", ".join(
+        f"struct({_SHAPE.key_struct(member)} AS edge, tau_{side} AS tau, {lowest} AS value)"
+        for side, member in enumerate(_SHAPE.members)
+    )
+    counted = levelled.selectExpr(f"inline(array({sides}))").selectExpr("edge.*", "tau", "value").groupBy(*_KEYS, "tau").agg(
+        *[F.count_if(F.col("value") >= F.col("tau") - gap).alias(f"from_{gap}") for gap in GAPS]
+    )
+    steps = [f"WHEN from_{gap} >= tau - {gap} THEN tau - {before + 1}" for before, gap in zip(GAPS, GAPS[1:], strict=False)]
+    fallen = f"CASE WHEN from_0 >= tau THEN tau {' '.join(steps)} ELSE tau - {GAPS[-1] + 1} END"
+    return counted.selectExpr(*_KEYS, f"greatest(1, {fallen}) AS level")
+
+
 def _latest(log: DataFrame) -> DataFrame:
     """The newest row of each edge in a log of falling levels."""
     return log.groupBy(*_KEYS).agg(F.min("tau").alias("tau"), F.max("support").alias("support"))
 
 
 def _affected_edges(
-    triangles: DataFrame, log: DataFrame, changed: DataFrame, small: bool
+    triangles: DataFrame, log: DataFrame, changed: DataFrame, small: bool, themselves: bool
 ) -> DataFrame:
     """``(src, dst, tau, support)`` of the edges that a change may lower: they
-    share a triangle with a changed edge whose new level is below their own."""
+    share a triangle with a changed edge whose new level is below their own. The changed edges ``themselves``
+    are among them if they did not fall to their h-index."""
     hit = _attach(triangles, changed, "tau", "new_", broadcast=True)
     # `least` skips nulls, that is partners that did not change.
     lowest = [
         f"least({', '.join(f'new_{other}' for other in _SIDES if other != side)})"
         for side in _SIDES
     ]
-    reached = (
-        _edge_rows(hit, [(f"{value} IS NOT NULL", value) for value in lowest])
-        .groupBy(*_KEYS)
-        .agg(F.min("value").alias("reached_by"))
-    )
+    reached = _edge_rows(hit, [(f"{value} IS NOT NULL", value) for value in lowest])
+    if themselves:
+        reached = reached.unionByName(changed.select(*_KEYS, F.lit(0).cast("long").alias("value")))
+    reached = reached.groupBy(*_KEYS).agg(F.min("value").alias("reached_by"))
     return (
         log.join(F.broadcast(reached) if small else reached, _KEYS)
         .groupBy(*_KEYS)
@@ -179,12 +211,14 @@ def support_levels(triangles: DataFrame) -> DataFrame:
     return _SHAPE.member_counts(triangles, "tau")
 
 
-def _settle(work: Workspace, triangles: Staged, limits: Limits) -> tuple[DataFrame, list[int]]:
+def _settle(
+    work: Workspace, triangles: Staged, limits: Limits, exact_steps: bool = False
+) -> tuple[DataFrame, list[int]]:
     """Refine until no level changes; also the number of changes per round.
 
     Levels are a log like the counts of the peeling loop. While many edges
-    change, a round refines all of them and rewrites the log. Once few change,
-    a round reads the triangles around the changed edges and adds a patch.
+    change, a round lowers all of them and rewrites the log, by whole h-index steps if ``exact_steps`` are
+    asked for. Once few change, a round takes the h-index of the edges around the changed ones and adds a patch.
     """
 
     def save(df: DataFrame, name: str = "levels") -> Staged:
@@ -205,6 +239,7 @@ def _settle(work: Workspace, triangles: Staged, limits: Limits) -> tuple[DataFra
     few = min(limits.broadcast_rows, log[0].rows // 4)
     changes: list[int] = []
     to_notify = log[0].rows
+    stepped = exact_steps
     while to_notify:
         newest = log[-1]
         everything = work.read(*log)
@@ -215,7 +250,7 @@ def _settle(work: Workspace, triangles: Staged, limits: Limits) -> tuple[DataFra
             small = 2 * newest.measures["reach"] <= limits.broadcast_rows
             changed = newest.df.filter("fell")
             affected = work.save(
-                _affected_edges(triangles.df, everything, changed, small),
+                _affected_edges(triangles.df, everything, changed, small, themselves=not stepped),
                 "affected",
                 triangles=F.sum("support"),
             )
@@ -226,12 +261,17 @@ def _settle(work: Workspace, triangles: Staged, limits: Limits) -> tuple[DataFra
             work.drop(affected)
         if patch is not None:
             log.append(patch)
+            stepped = True
         else:
+            stepped = exact_steps
             levels = everything.drop("fell") if len(log) == 1 else _latest(everything)
             heavy = None
             if heavy_edges is not None and heavy_edges.rows:
                 heavy = levels.join(F.broadcast(heavy_edges.df), _KEYS)
-            proposed = refine_all(triangles.df, levels, heavy, limits)
+            if exact_steps:
+                proposed = refine_all(triangles.df, levels, heavy, limits)
+            else:
+                proposed = lower_all(attach_levels(triangles.df, levels, heavy, limits))
             rewritten = save(
                 levels.join(proposed, _KEYS).selectExpr(
                     *_KEYS, "level AS tau", "support", "level < tau AS fell"
@@ -257,16 +297,47 @@ def truss_levels(
     min_core: int = 0,
     prefilter_rounds: int | None = None,
     limits: Limits = DEFAULT_LIMITS,
+    work: Workspace | None = None,
 ) -> DataFrame:
     """``(src, dst, tau)`` of every edge in at least one triangle.
 
     With ``min_core`` the decomposition runs inside that core only: edges
     outside it are missing and low levels are relative to it.
     """
-    work = Workspace(spark, "levels")
-    triangles = triangles_in_core(work, spark, edges, min_core, prefilter_rounds, limits)
-    settled, _ = _settle(work, triangles, limits)
-    return settled.select(*_KEYS, "tau")
+    with workspace(spark, "levels", work) as work:
+        triangles = triangles_in_core(work, spark, edges, min_core, prefilter_rounds, limits)
+        settled, _ = _settle(work, triangles, limits)
+        return settled.select(*_KEYS, "tau")
+
+
+def stripped_levels(
+    spark: SparkSession,
+    edges: DataFrame,
+    min_core: int = 0,
+    prefilter_rounds: int | None = None,
+    limits: Limits = DEFAULT_LIMITS,
+    work: Workspace | None = None,
+) -> DataFrame:
+    """The rows of :func:`truss_levels`, from the lowest level up. A named run in ``work`` goes on after a lost driver."""
+    with workspace(spark, "levels", work) as work:
+
+        def first() -> tuple[Staged, int]:
+            triangles = triangles_in_core(work, spark, edges, min_core, prefilter_rounds, limits)
+            incidence = stage_incidence(work, triangles.df, triangles.rows, limits)
+            if work.run is None:
+                work.drop(triangles)
+            return incidence
+
+        return strip(work, first, 2, rising=True, limits=limits, step="levels").levels(work)
+
+
+def level_report(levels: DataFrame, size: int | None = None) -> DataFrame:
+    """``(tau, edges, total)``: the histogram in ascending order, at most ``size`` levels, each with the number of
+    edges of all levels, listed or not. One pass over the levels, whose histogram is small."""
+    whole = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    counted = levels.groupBy("tau").agg(F.count(F.lit(1)).alias("edges"))
+    listed = counted.withColumn("total", F.sum("edges").over(whole)).orderBy("tau")
+    return listed if size is None else listed.limit(size)
 
 
 def level_rounds(
@@ -277,10 +348,9 @@ def level_rounds(
     limits: Limits = DEFAULT_LIMITS,
 ) -> DataFrame:
     """``(round, changed)``: edges whose level each refinement round lowered, the last with 0."""
-    work = Workspace(spark, "levels")
-    triangles = triangles_in_core(work, spark, edges, min_core, prefilter_rounds, limits)
-    _, changes = _settle(work, triangles, limits)
-    work.close()
+    with Workspace(spark, "levels") as work:
+        triangles = triangles_in_core(work, spark, edges, min_core, prefilter_rounds, limits)
+        _, changes = _settle(work, triangles, limits, exact_steps=True)
     return spark.createDataFrame(
         list(enumerate(changes, start=1)), "round bigint, changed bigint"
     )

@@ -21,6 +21,7 @@ What is written in a round is proportional to what dies in it:
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,12 +30,15 @@ from pyspark.sql import functions as F
 from knitgraph.operators.edges import canonical_edges, oriented_edges
 from knitgraph.operators.triangles import (
     directed_triangles,
+    stage_lists,
     triangle_partner_lists,
     triangle_partner_sizes,
     triangles_by_id,
+    triangles_by_role,
 )
+from knitgraph.operators.stripping import stage_incidence, strip
 from knitgraph.plans.skew import DEFAULT_LIMITS, Limits, heavy_keys, lookup
-from knitgraph.plans.workspace import Staged, Workspace
+from knitgraph.plans.workspace import Staged, Workspace, workspace
 
 
 @dataclass(frozen=True)
@@ -85,6 +89,7 @@ class Peeled:
     threshold: int
     masked: int  # removed elements that counts and cells still contain
     removed: list[int]  # elements removed per round
+    tables: tuple[Staged, ...] = ()  # what cells and counts are read from
 
     def _gone(self):
         return (F.col("live") < self.threshold) & (F.col("round") <= len(self.removed))
@@ -155,17 +160,19 @@ def _losses(dying: DataFrame, shape: CellShape) -> DataFrame:
 
 def peel(
     work: Workspace,
-    cells: Staged,
+    first_cells: Callable[[], Staged],
     shape: CellShape,
     threshold: int,
     max_rounds: int | None = None,
     limits: Limits = DEFAULT_LIMITS,
+    step: str = "peel",
 ) -> Peeled:
     """Remove elements in fewer than ``threshold`` live cells until none is left
     to remove, or for ``max_rounds`` rounds.
 
     Elements without live cells stay until the next round removes them, and
-    count as removed by that round.
+    count as removed by that round. In a named run each round is noted under ``step`` before the tables it
+    replaces are deleted; a later driver goes on after the last noted round.
     """
     keys = list(shape.keys)
     others = len(shape.members) - 1
@@ -179,14 +186,35 @@ def peel(
             lost=F.sum("lost"),
         )
 
-    first = shape.member_counts(cells.df, "live")
-    log = [save_counts(first.select("*", F.lit(1).alias("round"), _zero().alias("lost")))]
-    leaving = log[0].measures["below"]
     removed: list[int] = []
     masked = dead = 0
+
+    def note(leaving: int, replaced: list[Staged]) -> None:
+        work.note(
+            step,
+            {
+                "threshold": threshold, "cells": work.described(cells), "log": [work.described(t) for t in log], "removed": removed,
+                "masked": masked, "dead": dead, "leaving": leaving,
+            },
+        )
+        work.drop(*replaced)
+
+    # The first cells are asked for only if no driver of this run has begun: later rounds delete them.
+    if noted := work.noted(step):
+        if noted["threshold"] != threshold:
+            raise ValueError(f"this run was begun with a threshold of {noted['threshold']}")
+        cells, log = work.found(noted["cells"]), [work.found(t) for t in noted["log"]]
+        removed, masked, dead, leaving = noted["removed"], noted["masked"], noted["dead"], noted["leaving"]
+    else:
+        cells = first_cells()
+        first = shape.member_counts(cells.df, "live")
+        log = [save_counts(first.select("*", F.lit(1).alias("round"), _zero().alias("lost")))]
+        leaving = log[0].measures["below"]
+        note(leaving, [])
     while leaving and (max_rounds is None or len(removed) < max_rounds):
         past = len(removed)
         this_round = past + 1
+        replaced: list[Staged] = []
         counts = work.read(*log)
         half_dead = cells.rows >= limits.rewrite_rows and 2 * dead > cells.rows
         if masked and (half_dead or masked + leaving > limits.broadcast_rows):
@@ -194,7 +222,7 @@ def peel(
             smaller = work.save(_without(cells.df, shape, gone), "cells")
             newest = _latest(counts, shape).filter(~below | (F.col("round") > past))
             fresh = save_counts(newest)
-            work.drop(cells, *log)
+            replaced += [cells, *log]
             cells, log, counts = smaller, [fresh], fresh.df
             masked = dead = 0
 
@@ -232,13 +260,10 @@ def peel(
             if heavy is not None:
                 heavy = heavy.withColumn("round", F.lit(None).cast("int"))
             marked = _mark(cells.df, shape, gone, heavy=heavy, limits=limits)
-            split = work.save(
-                marked.withColumn("dies", F.coalesce(*_hits(shape)).isNotNull()),
-                "cells",
-                partition_by="dies",
-                live=F.count_if(~F.col("dies")),
+            live, dying = work.save_split(
+                marked.withColumn("dies", F.coalesce(*_hits(shape)).isNotNull()), "cells", "dies", cells.df.schema
             )
-            lost = _losses(split.df.filter("dies"), shape)
+            lost = _losses(dying.df, shape)
             lowered = (
                 counts.drop("lost")
                 .filter(~below)
@@ -251,34 +276,34 @@ def peel(
                 )
             )
             fresh = save_counts(lowered)
-            work.drop(cells, *log)
-            log = [fresh]
-            cells = Staged(
-                df=split.df.filter("not dies").drop("dies", *_hits(shape)),
-                path=split.path,
-                rows=split.measures["live"],
-                measures={},
-            )
+            replaced += [cells, *log, dying]
+            cells, log = live, [fresh]
         leaving = fresh.measures["below"]
         if len(log) > MAX_PATCHES:
             merged = save_counts(_latest(work.read(*log[1:]), shape))
-            work.drop(*log[1:])
+            replaced += log[1:]
             log = [log[0], merged]
-    return Peeled(work.read(*log), cells, shape, threshold, masked, removed)
+        note(leaving, replaced)
+    return Peeled(work.read(*log), cells, shape, threshold, masked, removed, (cells, *log))
 
 
 def stage_edges(work: Workspace, edges: DataFrame) -> Staged:
     """Canonical edges as a table with a known size: they are read many times."""
-    return work.save(canonical_edges(edges), "edges")
+    return work.once("edges", lambda: work.save(canonical_edges(edges), "edges"))
 
 
 def stage_triangles(
-    work: Workspace, edges: DataFrame, degrees: DataFrame, edge_count: int, limits: Limits
+    work: Workspace,
+    edges: DataFrame,
+    degrees: DataFrame,
+    edge_count: int,
+    limits: Limits,
+    roles: bool = False,
 ) -> Staged:
-    oriented = oriented_edges(edges, degrees, edge_count, limits)
-    return work.save(
-        triangles_by_id(directed_triangles(oriented, edge_count, limits)), "triangles"
-    )
+    lists = stage_lists(work, oriented_edges(edges, degrees, edge_count, limits))
+    found = work.save(triangles_by_id(directed_triangles(lists, limits), roles), "triangles")
+    work.drop(lists)
+    return found
 
 
 def core_peel(
@@ -290,8 +315,8 @@ def core_peel(
     work: Workspace | None = None,
 ) -> Peeled:
     """Drop vertices with fewer than ``k`` remaining neighbors, round by round."""
-    work = work or Workspace(spark, "core")
-    return peel(work, stage_edges(work, edges), VERTICES_OF_EDGE, k, max_rounds, limits)
+    with workspace(spark, "core", work) as work:
+        return peel(work, lambda: stage_edges(work, edges), VERTICES_OF_EDGE, k, max_rounds, limits, "core")
 
 
 def core_subgraph(
@@ -300,16 +325,15 @@ def core_subgraph(
     k: int,
     max_rounds: int | None = None,
     limits: Limits = DEFAULT_LIMITS,
+    work: Workspace | None = None,
 ) -> DataFrame:
     """``(vertex, degree)`` of the k-core, degrees counted inside it.
 
     With ``max_rounds`` the graph may be only partly peeled: vertices that the
     next round would remove are included, even those with degree 0.
     """
-    work = Workspace(spark, "core")
-    peeled = core_peel(spark, edges, k, max_rounds, limits, work)
-    work.drop(peeled.cells)
-    return peeled.survivors("degree")
+    with workspace(spark, "core", work) as work:
+        return core_peel(spark, edges, k, max_rounds, limits, work).survivors("degree")
 
 
 def core_edges(
@@ -318,18 +342,18 @@ def core_edges(
     k: int,
     max_rounds: int | None = None,
     limits: Limits = DEFAULT_LIMITS,
+    work: Workspace | None = None,
 ) -> DataFrame:
     """The edges of the (possibly partly peeled) k-core."""
-    return core_peel(spark, edges, k, max_rounds, limits).live_cells()
+    return core_peel(spark, edges, k, max_rounds, limits, work).live_cells()
 
 
 def core_rounds(
     spark: SparkSession, edges: DataFrame, k: int, limits: Limits = DEFAULT_LIMITS
 ) -> DataFrame:
     """``(round, removed)`` of the k-core peeling."""
-    work = Workspace(spark, "core")
-    removed = core_peel(spark, edges, k, None, limits, work).removed
-    work.close()
+    with Workspace(spark, "core") as work:
+        removed = core_peel(spark, edges, k, None, limits, work).removed
     return rounds_table(spark, removed)
 
 
@@ -340,18 +364,28 @@ def triangles_in_core(
     core: int,
     max_rounds: int | None,
     limits: Limits,
+    roles: bool = False,
 ) -> Staged:
-    """The triangles of the ``core``-core; of the whole graph if ``core`` < 2."""
-    rounds = max_rounds if core >= 2 else 0
-    peeled = core_peel(spark, edges, core, rounds, limits, work)
-    remaining, degrees = peeled.cells, peeled.survivors("degree")
-    if peeled.removed:
-        # The edges are read three times below: apply the mask once.
-        remaining = work.save(peeled.live_cells(), "edges")
-        degrees = work.save(degrees, "degrees").df
-        work.drop(peeled.cells)
-    found = stage_triangles(work, remaining.df, degrees, remaining.rows, limits)
-    work.drop(remaining)
+    """The triangles of the ``core``-core; of the whole graph if ``core`` < 2. With ``roles`` they keep
+    the order (degree, id) of their vertices in that core."""
+
+    done: list[Staged] = []
+
+    def build() -> Staged:
+        rounds = max_rounds if core >= 2 else 0
+        peeled = core_peel(spark, edges, core, rounds, limits, work)
+        remaining, degrees = peeled.cells, peeled.survivors("degree")
+        done.extend(peeled.tables)
+        if peeled.removed:
+            # The edges are read three times below: apply the mask once.
+            remaining = work.save(peeled.live_cells(), "edges")
+            staged = work.save(degrees, "degrees")
+            degrees = staged.df
+            done.extend([remaining, staged])
+        return stage_triangles(work, remaining.df, degrees, remaining.rows, limits, roles)
+
+    found = work.once("triangles", build)
+    work.drop(*done)
     return found
 
 
@@ -362,6 +396,7 @@ def truss_peel(
     prefilter_rounds: int | None = None,
     limits: Limits = DEFAULT_LIMITS,
     work: Workspace | None = None,
+    roles: bool = False,
 ) -> Peeled:
     """Drop edges in fewer than ``k - 2`` remaining triangles, round by round.
 
@@ -371,9 +406,12 @@ def truss_peel(
     """
     if k < 3:
         raise ValueError("a truss needs k >= 3: below, no triangle is asked for")
-    work = work or Workspace(spark, "truss")
-    triangles = triangles_in_core(work, spark, edges, k - 1, prefilter_rounds, limits)
-    return peel(work, triangles, EDGES_OF_TRIANGLE, k - 2, None, limits)
+    with workspace(spark, "truss", work) as work:
+
+        def triangles() -> Staged:
+            return triangles_in_core(work, spark, edges, k - 1, prefilter_rounds, limits, roles)
+
+        return peel(work, triangles, EDGES_OF_TRIANGLE, k - 2, None, limits, "truss")
 
 
 def truss_subgraph(
@@ -382,13 +420,38 @@ def truss_subgraph(
     k: int,
     prefilter_rounds: int | None = None,
     limits: Limits = DEFAULT_LIMITS,
+    work: Workspace | None = None,
 ) -> DataFrame:
     """``(src, dst, support)``: the largest subgraph whose every edge is in at
-    least ``k - 2`` triangles of that subgraph, with those triangle counts."""
-    work = Workspace(spark, "truss")
-    peeled = truss_peel(spark, edges, k, prefilter_rounds, limits, work)
-    work.drop(peeled.cells)
-    return peeled.survivors("support")
+    least ``k - 2`` triangles of that subgraph, with those triangle counts.
+
+    The tables that back it live in ``work`` until that is closed, or else until the session ends. With a
+    named run in ``work``, a driver that was lost may be followed by one that calls this again."""
+    return truss_peel(spark, edges, k, prefilter_rounds, limits, work).survivors("support")
+
+
+def stripped_truss(
+    spark: SparkSession,
+    edges: DataFrame,
+    k: int,
+    prefilter_rounds: int | None = None,
+    limits: Limits = DEFAULT_LIMITS,
+    work: Workspace | None = None,
+) -> DataFrame:
+    """The rows of :func:`truss_subgraph`, by a loop over incidence rows in folders by edge (see `stripping`): late
+    rounds read the folders of the edges that leave. A named run in ``work`` goes on after a lost driver."""
+    if k < 3:
+        raise ValueError("a truss needs k >= 3: below, no triangle is asked for")
+    with workspace(spark, "truss", work) as work:
+
+        def first() -> tuple[Staged, int]:
+            triangles = triangles_in_core(work, spark, edges, k - 1, prefilter_rounds, limits)
+            incidence = stage_incidence(work, triangles.df, triangles.rows, limits)
+            if work.run is None:
+                work.drop(triangles)
+            return incidence
+
+        return strip(work, first, k - 2, limits=limits, step="stripped").survivors(work, limits, "support")
 
 
 def truss_rounds(
@@ -399,9 +462,8 @@ def truss_rounds(
     limits: Limits = DEFAULT_LIMITS,
 ) -> DataFrame:
     """``(round, removed)`` of the truss peeling, after the prefilter."""
-    work = Workspace(spark, "truss")
-    removed = truss_peel(spark, edges, k, prefilter_rounds, limits, work).removed
-    work.close()
+    with Workspace(spark, "truss") as work:
+        removed = truss_peel(spark, edges, k, prefilter_rounds, limits, work).removed
     return rounds_table(spark, removed)
 
 
@@ -411,9 +473,10 @@ def truss_triangles(
     k: int,
     prefilter_rounds: int | None = None,
     limits: Limits = DEFAULT_LIMITS,
+    work: Workspace | None = None,
 ) -> DataFrame:
     """``(a, b, c)``: the triangles of the truss subgraph, with ascending ids."""
-    return truss_peel(spark, edges, k, prefilter_rounds, limits).live_cells()
+    return truss_peel(spark, edges, k, prefilter_rounds, limits, work).live_cells()
 
 
 def truss_partner_sizes(
@@ -422,11 +485,13 @@ def truss_partner_sizes(
     k: int,
     prefilter_rounds: int | None = None,
     limits: Limits = DEFAULT_LIMITS,
+    work: Workspace | None = None,
 ) -> DataFrame:
-    """``(src, dst, support, n_high, n_mid, n_low)`` of the edges of the truss: its third
-    vertices that are still valid in it, by their place among the ids of the triangle."""
-    inside = truss_triangles(spark, edges, k, prefilter_rounds, limits)
-    return triangle_partner_sizes(inside.toDF("low", "mid", "high"))
+    """``(src, dst, support, n_high, n_mid, n_low)`` of the edges of the truss: its third vertices that are
+    still valid in it, by role. Roles follow the order (degree, id) in the graph whose triangles were listed,
+    which is the prefiltered one; they travel with the triangles through the peeling."""
+    inside = truss_peel(spark, edges, k, prefilter_rounds, limits, work, roles=True).live_cells()
+    return triangle_partner_sizes(triangles_by_role(inside))
 
 
 def truss_partner_lists(
@@ -434,12 +499,15 @@ def truss_partner_lists(
     edges: DataFrame,
     k: int,
     prefilter_rounds: int | None = None,
+    max_thirds: int = 100_000,
     limits: Limits = DEFAULT_LIMITS,
+    work: Workspace | None = None,
 ) -> DataFrame:
     """``(src, dst, part, support, high, mid, low)``: those third vertices as sorted arrays."""
-    work = Workspace(spark, "truss")
-    inside = work.save(truss_peel(spark, edges, k, prefilter_rounds, limits, work).live_cells(), "inside")
-    return triangle_partner_lists(inside.df.toDF("low", "mid", "high"), inside.rows, limits=limits)
+    with workspace(spark, "truss", work) as work:
+        peeled = truss_peel(spark, edges, k, prefilter_rounds, limits, work, roles=True)
+        inside = work.save(triangles_by_role(peeled.live_cells()), "inside")
+        return triangle_partner_lists(work, inside.df, inside.rows, max_thirds, limits)
 
 
 def truss_edge_count(spark: SparkSession, edges: DataFrame, k: int) -> DataFrame:

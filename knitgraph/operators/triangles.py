@@ -2,64 +2,104 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from knitgraph.functions import larger_id, middle_id, smaller_id
 from knitgraph.operators.edges import higher_neighbors
-from knitgraph.plans.skew import DEFAULT_LIMITS, Limits, fits_hash_join, heavy_keys, lookup
+from knitgraph.plans.ranks import ranked_rows
+from knitgraph.plans.skew import DEFAULT_LIMITS, Limits, heavy_keys, lookup
+from knitgraph.plans.workspace import Staged, Workspace
 
+_SIZE = "cast(size(higher) as bigint)"
+#: Candidate ids of a vertex: its i-th higher neighbor is followed by size - i - 1 others.
+_IDS = f"{_SIZE} * ({_SIZE} - 1) div 2"
+#: Candidate ids before those of the neighbor at `place`.
+_IDS_BEFORE = f"place * (2 * {_SIZE} - place - 1) div 2"
 
-def _open_wedges(oriented: DataFrame) -> DataFrame:
-    placed = higher_neighbors(oriented).select(
-        "low", "higher", F.posexplode("higher").alias("place", "mid")
-    )
-    later = F.slice(
-        "higher", F.col("place") + 2, F.size("higher") - F.col("place") - 1
+
+def stage_lists(work: Workspace, oriented: DataFrame) -> Staged:
+    """The higher neighbors of every vertex as a table, with the candidate ids of all and of the largest."""
+    return work.save(
+        higher_neighbors(oriented), "higher", ids=F.expr(f"sum({_IDS})"), largest=F.expr(f"max({_IDS})")
     )
-    return placed.filter(F.col("place") < F.size("higher") - 1).select(
-        "low",
-        F.col("mid.id").alias("mid"),
-        F.col("mid.degree").alias("mid_degree"),
-        later.getField("id").alias("candidates"),
+
+
+def triangle_partitions(ids: int, limits: Limits = DEFAULT_LIMITS) -> int:
+    """Partitions of the triangle stage for so many candidate ids, times the factor asked for."""
+    return max(1, -(-ids // limits.wedge_ids)) * limits.triangle_multiplier
+
+
+def _open_wedges(lists: Staged, limits: Limits) -> DataFrame:
+    """``(low, mid, candidates)``: per edge low-mid the structs that follow ``mid`` in the list of ``low``.
+
+    A vertex with n higher neighbors has n (n - 1) / 2 candidate ids. One that has more than
+    ``limits.wedge_ids`` is expanded in ranges of its places that hold about so many ids each (less than one
+    list more), and the ranges are dealt out: a range carries its list once.
+    """
+
+    def expanded(rows: DataFrame, within: str) -> DataFrame:
+        placed = rows.select("*", F.posexplode("higher").alias("place", "mid"))
+        later = F.slice("higher", F.col("place") + 2, F.size("higher") - F.col("place") - 1)
+        return placed.filter(f"place < size(higher) - 1 AND {within}").select(
+            "low", F.col("mid.id").alias("mid"), later.getField("id").alias("candidates")
+        )
+
+    if lists.measures["largest"] <= limits.wedge_ids:
+        return expanded(lists.df, "true")
+    light = expanded(lists.df.filter(f"{_IDS} <= {limits.wedge_ids}"), "true")
+    cut = (
+        lists.df.filter(f"{_IDS} > {limits.wedge_ids}")
+        .selectExpr("low", "higher", f"explode(sequence(0, {_IDS} div {limits.wedge_ids})) AS range")
+        .repartition(triangle_partitions(lists.measures["ids"], limits), "low", "range")
     )
+    heavy = expanded(cut, f"({_IDS_BEFORE}) div {limits.wedge_ids} = range")
+    return light.unionByName(heavy)
 
 
-def wedge_candidates(oriented: DataFrame) -> DataFrame:
+def wedge_candidates(lists: Staged, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
     """``(low, mid, candidates)``: for each edge low-mid the higher neighbors of
     ``low`` that come after ``mid``, sorted by id.
 
     They stay packed in one array per edge: open wedges are never rows.
     """
-    return _open_wedges(oriented).select(
-        "low", "mid", F.sort_array("candidates").alias("candidates")
-    )
+    return _open_wedges(lists, limits).withColumn("candidates", F.sort_array("candidates"))
 
 
-def directed_triangles(
-    oriented: DataFrame, edge_count: int, limits: Limits = DEFAULT_LIMITS
-) -> DataFrame:
+def _loads(lists: Staged, limits: Limits) -> DataFrame:
+    """``(mid, salts)`` of the middle vertices that receive too many candidate ids for one task.
+
+    All ids together are known, and fewer than ``limits.heavy_keys`` vertices can each have more than
+    1/``heavy_keys`` of them, so the result has a proven size; below that share a vertex is no hot key.
+    """
+    share = max(limits.wedge_ids, lists.measures["ids"] // limits.heavy_keys)
+    placed = lists.df.select(F.size("higher").cast("long").alias("n"), F.posexplode("higher").alias("place", "mid"))
+    received = placed.groupBy(F.col("mid.id").alias("mid")).agg(F.sum(F.expr("n - place - 1")).alias("ids"))
+    return received.filter(F.col("ids") > share).selectExpr("mid", f"cast(ids div {share} AS bigint) + 1 AS salts")
+
+
+def directed_triangles(lists: Staged, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
     """Each triangle once, as ``(low, mid, high)`` in the order (degree, id).
 
-    Candidates of low-mid are intersected with the higher neighbors of ``mid``.
-    A hub is the middle vertex of many edges, so its candidate rows are spread
-    over as many salts as its degree calls for; its own list, which is short
-    because few vertices rank above a hub, is repeated once per salt.
+    Candidates of low-mid are intersected with the higher neighbors of ``mid``. The stage has a
+    partition per ``limits.wedge_ids`` candidate ids, times
+    ``limits.triangle_multiplier``. A middle vertex that receives more ids
+    than that is spread over as many salts as its ids call for; its own list is repeated once per salt.
     """
-    candidates = _open_wedges(oriented)
-    targets = higher_neighbors(oriented).select(
-        F.col("low").alias("mid"),
-        F.col("low_degree").alias("mid_degree"),
-        F.col("higher.id").alias("targets"),
-    )
+    candidates = _open_wedges(lists, limits)
+    targets = lists.df.select(F.col("low").alias("mid"), F.col("higher.id").alias("targets"))
     keys = ["mid"]
-    if edge_count > limits.single_task_rows:
-        last_salt = F.floor(F.col("mid_degree") / F.lit(limits.single_task_rows)).cast("long")
-        candidates = candidates.withColumn("salt", F.pmod(F.xxhash64("low"), last_salt + 1))
-        targets = targets.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), last_salt)))
+    if lists.measures["ids"] > limits.wedge_ids:
+        loads = F.broadcast(_loads(lists, limits))
+        last = F.coalesce("salts", F.lit(1).cast("long")) - 1
+        candidates = candidates.join(loads, "mid", "left").withColumn("salt", F.pmod(F.xxhash64("low"), last + 1))
+        targets = targets.join(loads, "mid", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), last)))
         keys.append("salt")
-    targets = targets.drop("mid_degree")
-    if fits_hash_join(oriented.sparkSession, edge_count, limits):
+    partitions = triangle_partitions(lists.measures["ids"], limits)
+    candidates = candidates.select("low", *keys, "candidates").repartition(partitions, *keys)
+    targets = targets.select(*keys, "targets").repartition(partitions, *keys)
+    # The lists hold one id per edge: hashing a partition's share of them spares both sides the sort.
+    if lists.rows <= partitions * limits.hash_join_rows:
         targets = targets.hint("shuffle_hash")
     closed = candidates.join(targets, keys)
     return closed.select(
@@ -67,13 +107,30 @@ def directed_triangles(
     )
 
 
-def triangles_by_id(directed: DataFrame) -> DataFrame:
-    """Triangles as ``(a, b, c)`` with ascending ids."""
-    return directed.select(
+def triangles_by_id(directed: DataFrame, roles: bool = False) -> DataFrame:
+    """Triangles as ``(a, b, c)`` with ascending ids; ``roles`` adds which of them are low and mid, as
+    ``order``, from which :func:`triangles_by_role` restores the degree order."""
+    by_id = directed.select(
         F.least("low", "mid", "high").alias("a"),
         middle_id("low", "mid", "high").alias("b"),
         F.greatest("low", "mid", "high").alias("c"),
+        "low",
+        "mid",
     )
+    place = lambda v: F.when(F.col(v) == F.col("a"), 0).when(F.col(v) == F.col("b"), 1).otherwise(2)
+    order = (3 * place("low") + place("mid")).cast("tinyint").alias("order")
+    return by_id.select("a", "b", "c", *[order] * roles)
+
+
+def triangles_by_role(cells: DataFrame) -> DataFrame:
+    """``(low, mid, high)`` from ``(a, b, c, order)``."""
+
+    def at(place: Column) -> Column:
+        return F.when(place == 0, F.col("a")).when(place == 1, F.col("b")).otherwise(F.col("c"))
+
+    low = F.floor(F.col("order") / 3).cast("int")
+    mid = F.col("order") % 3
+    return cells.select(at(low).alias("low"), at(mid).alias("mid"), at(3 - low - mid).alias("high"))
 
 
 # Which vertex of its triangle the third vertex is.
@@ -128,6 +185,7 @@ def triangle_partner_sizes(directed: DataFrame) -> DataFrame:
 
 
 def triangle_partner_lists(
+    work: Workspace,
     directed: DataFrame,
     triangle_count: int,
     max_thirds: int = 100_000,
@@ -136,31 +194,31 @@ def triangle_partner_lists(
     """``(src, dst, part, support, high, mid, low)``: the third vertices as one
     array per role, sorted by id.
 
-    An edge in up to ``max_thirds`` triangles has the one part 0. Those of a
-    hotter edge are split by hash into parts of about that size; ``support``
+    An edge in up to ``max_thirds`` triangles has the one part 0. The third vertices of a hotter edge are ranked
+    by id, and part p holds those of ranks p * max_thirds to (p + 1) * max_thirds - 1; ``support``
     always counts all of them.
     """
     partners = triangle_partners(directed)
-    support = partners.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("support"))
+    support = work.save(
+        partners.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("support")),
+        "support",
+        hot=F.sum(F.when(F.col("support") > max_thirds, F.col("support"))),
+    )
     known = lookup(
         partners,
-        support,
+        support.df,
         {"src": "src", "dst": "dst"},
         {"support": "support"},
         how="inner",
-        heavy=heavy_keys(support, "support", 3 * triangle_count, limits),
+        heavy=heavy_keys(support.df, "support", 3 * triangle_count, limits),
         limits=limits,
     )
-    parts = F.ceil(F.col("support") / F.lit(max_thirds)).cast("long")
-    return (
-        known.withColumn("part", F.pmod(F.xxhash64("third"), parts))
-        .groupBy("src", "dst", "part", "support")
-        .agg(
-            *[
-                F.sort_array(
-                    F.collect_list(F.when(F.col("role") == role, F.col("third")))
-                ).alias(role)
-                for role in ROLES
-            ]
-        )
+    parts = known.filter(F.col("support") <= max_thirds).withColumn("part", F.lit(0).cast("long"))
+    if hot := support.measures["hot"]:
+        cut = known.filter(F.col("support") > max_thirds)
+        ranked = ranked_rows(work, cut, ["src", "dst"], ["third"], hot, limits.range_rows)
+        part = F.expr(f"rank div {max_thirds}").alias("part")
+        parts = parts.unionByName(ranked.select(*known.columns, part))
+    return parts.groupBy("src", "dst", "part", "support").agg(
+        *[F.sort_array(F.collect_list(F.when(F.col("role") == role, F.col("third")))).alias(role) for role in ROLES]
     )

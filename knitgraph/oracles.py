@@ -119,6 +119,11 @@ peel(r, u, v) as (
 rest as (select u, v from peel where r = (select max(r) from peel) and u is not null)"""
 
 
+def _core_rest(graph: str, k: int) -> str:
+    """Both directions of the edges of the k-core, as a query of its own over `e`."""
+    return f"""with recursive {_core_peel(graph, k).replace(_edges(graph) + ",", "", 1)} select u, v from rest where v is not null"""
+
+
 def core_subgraph(graph: str, k: int, cap: int | None = None) -> str:
     return f"""with recursive {_core_peel(graph, k, cap)}
 select u as vertex, count(v) as degree from rest group by u"""
@@ -176,13 +181,41 @@ def truss_triangles(graph: str, k: int) -> str:
 select u as a, v as b, w as c from rest where w is not null"""
 
 
+def _truss_partners(graph: str, k: int) -> str:
+    """Third vertices of the triangles of the truss; roles by (degree, id) in the (k-1)-core."""
+    return f"""{_truss_peel(graph, k)},
+inner_sym as (select p.u, p.v from ({_core_rest(graph, k - 1)}) p),
+inner_deg as materialized (select u as vertex, count(*) as degree from inner_sym group by u),
+ranked as (
+  select t.u, t.v, t.w, row(x.degree, t.u) as ru, row(y.degree, t.v) as rv, row(z.degree, t.w) as rw from rest t
+  join inner_deg x on x.vertex = t.u join inner_deg y on y.vertex = t.v join inner_deg z on z.vertex = t.w where t.w is not null),
+thirds as (
+  select u as src, v as dst, w as third, (rw > ru)::int + (rw > rv)::int as above from ranked
+  union all select u, w, v, (rv > ru)::int + (rv > rw)::int from ranked
+  union all select v, w, u, (ru > rv)::int + (ru > rw)::int from ranked),
+partners as (select src, dst, third, case above when 2 then 'high' when 1 then 'mid' else 'low' end as role from thirds)"""
+
+
 def truss_partner_sizes(graph: str, k: int) -> str:
-    return f"""with recursive {_truss_peel(graph, k)}
+    return f"""with recursive {_truss_partners(graph, k)}
 select src, dst, count(*) as support, count(*) filter (where role = 'high') as n_high,
        count(*) filter (where role = 'mid') as n_mid, count(*) filter (where role = 'low') as n_low
-from (select u as src, v as dst, 'high' as role from rest where w is not null
-      union all select u, w, 'mid' from rest where w is not null
-      union all select v, w, 'low' from rest where w is not null) group by src, dst"""
+from partners group by src, dst"""
+
+
+def _partner_lists(size: int) -> str:
+    """Lists by role over `partners`, in parts of `size` consecutive third vertices."""
+    return f"""select src, dst, cast((n - 1) // {size} as bigint) as part, max(support) as support,
+       coalesce(string_agg(third, ',' order by third) filter (where role = 'high'), '') as high,
+       coalesce(string_agg(third, ',' order by third) filter (where role = 'mid'), '') as mid,
+       coalesce(string_agg(third, ',' order by third) filter (where role = 'low'), '') as low
+from (select *, row_number() over (partition by src, dst order by third) as n,
+             count(*) over (partition by src, dst) as support from partners)
+group by src, dst, (n - 1) // {size}"""
+
+
+def truss_partner_lists(graph: str, k: int, size: int) -> str:
+    return f"with recursive {_truss_partners(graph, k)} {_partner_lists(size)}"
 
 
 def truss_rounds(graph: str, k: int) -> str:
@@ -228,6 +261,32 @@ def levels_in_core(graph: str, k: int) -> str:
 
 
 ORACLES: dict[str, str] = {
+    "adjacency_list_ranges": f"""with {_degrees('shipments')}
+select vertex, cast((n - 1) // 50 as bigint) as part, max(degree) as degree, string_agg(dst, ',' order by dst) as neighbors
+from (select s.src as vertex, s.dst, d.degree, row_number() over (partition by s.src order by s.dst) as n
+      from sym s join deg d on d.vertex = s.src) group by vertex, (n - 1) // 50""",
+    "triangle_partner_ranges": f"with {_partners('shipments')} {_partner_lists(50)}",
+    "truss_subgraph_stripped": truss_subgraph("orders", 4),
+    "truss_subgraph_stripped_shuffled": truss_subgraph("events", 4),
+    "truss_levels_stripped": _levels("shipments", "select src, dst, tau from levels"),
+    "truss_levels_stripped_shuffled": _levels("events", "select src, dst, tau from levels"),
+    "truss_level_report": _levels(
+        "events",
+        """select tau, edges, cast(sum(edges) over () as bigint) as total
+from (select tau, count(*) as edges from levels group by tau) order by tau limit 2""",
+    ),
+    "truss_partner_lists": truss_partner_lists("users", 5, 100_000),
+    "truss_partner_lists_orders": truss_partner_lists("orders", 4, 50),
+    "truss_partner_sizes_events": truss_partner_sizes("events", 4),
+    "truss_triangles_orders": truss_triangles("orders", 4),
+    "truss_subgraph_orders_shuffled": truss_subgraph("orders", 4),
+    "core_subgraph_orders_shuffled": core_subgraph("orders", 6),
+    "truss_levels_orders_shuffled": _levels("orders", "select src, dst, tau from levels"),
+    "level_rounds_events": _levels(
+        "events",
+        """select cast(x.r as bigint) as round, count(*) filter (where x.tau <> y.tau) as changed
+from it x join it y on y.a = x.a and y.b = x.b and y.r = x.r - 1 group by x.r""",
+    ),
     "graph_shipments": SHIPMENTS,
     "graph_users": USERS,
     "graph_customers": CUSTOMERS,

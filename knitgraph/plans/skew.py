@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _SPREAD = "_spread"
@@ -36,18 +36,19 @@ class Limits:
     heavy_keys: int = 10_000
     # Rows per shuffle partition that a task may hold in an in-memory hash map.
     hash_join_rows: int = 2_000_000
+    # Candidate ids of wedges that one task expands or intersects.
+    wedge_ids: int = 4_000_000
+    # Partitions of the triangle stage over those that its candidate ids call for.
+    triangle_multiplier: int = 1
+    # Incidence rows of a folder, about.
+    bucket_rows: int = 500_000
+    # Rows of hot keys that one task ranks.
+    range_rows: int = 250_000
 
 
 DEFAULT_LIMITS = Limits()
 
 
-def fits_hash_join(spark: SparkSession, rows: int, limits: Limits = DEFAULT_LIMITS) -> bool:
-    """Whether a table of ``rows`` evenly shuffled rows may be hashed per task,
-    which spares both sides of the join the sort."""
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return rows <= partitions * limits.hash_join_rows
-
-
 def heavy_keys(
     counts: DataFrame, count: str, total_rows: int, limits: Limits = DEFAULT_LIMITS
 ) -> DataFrame | None:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter
+from dataclasses import replace
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,16 +14,18 @@ import brute
 from knitgraph.operators import edges as E
 from knitgraph.operators import levels as L
 from knitgraph.operators import peeling as P
+from knitgraph.operators import stripping as S
 from knitgraph.operators import triangles as T
 from knitgraph.plans import Limits, Workspace
+from knitgraph.plans.ranks import ranked_rows
 from knitgraph.plans.skew import heavy_keys, lookup
 
 # Every size-dependent branch is taken on small graphs with these limits.
 NO_BROADCAST = Limits(
-    broadcast_rows=0, single_task_rows=10, rewrite_rows=1, heavy_keys=5
+    broadcast_rows=0, single_task_rows=10, rewrite_rows=1, heavy_keys=5, wedge_ids=20, range_rows=15
 )
 SMALL_MASK = Limits(
-    broadcast_rows=40, single_task_rows=30, rewrite_rows=1, heavy_keys=8
+    broadcast_rows=40, single_task_rows=30, rewrite_rows=1, heavy_keys=8, wedge_ids=100, triangle_multiplier=3, range_rows=7
 )
 # Many keys count as heavy: the cut lies below the thresholds, so heavy elements leave.
 LOW_CUT = Limits(broadcast_rows=0, single_task_rows=10, rewrite_rows=1, heavy_keys=100)
@@ -40,11 +45,14 @@ def expected_edges(counts):
     return sorted((a, b, n) for (a, b), n in counts.items())
 
 
-def directed(graph, pairs, limits):
+def oriented(graph, pairs, limits):
     edges = E.canonical_edges(graph(pairs))
-    count = len(brute.canonical(pairs))
-    oriented = E.oriented_edges(edges, E.vertex_degrees(edges), count, limits)
-    return T.directed_triangles(oriented, count, limits)
+    return E.oriented_edges(edges, E.vertex_degrees(edges), len(brute.canonical(pairs)), limits)
+
+
+def directed(graph, pairs, limits):
+    found = oriented(graph, pairs, limits)
+    return T.directed_triangles(T.stage_lists(Workspace(found.sparkSession, "test"), found), limits)
 
 
 @pytest.fixture(params=list(VARIANTS))
@@ -70,21 +78,29 @@ def test_oriented_edges_order_by_degree_then_id(graph, limits):
     )
 
 
-def test_adjacency_of_hubs_is_split_without_loss(graph, limits):
+def test_adjacency_of_hubs_is_cut_at_exact_ranks(graph, limits):
     pairs = brute.random_graph(2, 40, 50)
     plain = brute.canonical(pairs)
     edges = E.canonical_edges(graph(pairs))
     found = E.adjacency_lists(
         edges, E.vertex_degrees(edges), len(plain), max_neighbors=10, limits=limits
-    ).collect()
-    together = {}
-    for row in found:
-        assert row.neighbors == sorted(row.neighbors)
-        together.setdefault(row.vertex, []).extend(row.neighbors)
-    near = brute.neighbors(plain)
-    assert {v: sorted(n) for v, n in together.items()} == {v: sorted(n) for v, n in near.items()}
-    assert max(row.part for row in found) > 0
-    assert all(row.degree == len(near[row.vertex]) for row in found)
+    )
+    assert rows(found) == sorted(
+        (v, p, len(near), sorted(near)[10 * p : 10 * p + 10])
+        for v, near in brute.neighbors(plain).items()
+        for p in range(-(-len(near) // 10))
+    )
+
+
+def test_ranks_of_a_hub_are_found_by_many_tasks(spark):
+    """One key with all rows: its ranges hold a bounded part each, and its ranks are exact."""
+    rows_ = spark.range(20_000).selectExpr("1 AS k", "(id * 7919) % 20011 AS v", "'x' AS extra")
+    work = Workspace(spark, "test")
+    found = ranked_rows(work, rows_, ["k"], ["v"], 20_000, 1_000)
+    got = sorted((r.v, r["rank"]) for r in found.collect())
+    assert [rank for _, rank in got] == list(range(20_000)) and found.columns == ["k", "v", "extra", "rank"]
+    ranges = spark.read.parquet(f"{work.path}/0001-ranges").groupBy("_range").count().collect()
+    assert len(ranges) > 15 and max(r["count"] for r in ranges) < 2_500
 
 
 def test_ordered_adjacency_keeps_vertices_without_higher_neighbors(graph):
@@ -108,19 +124,80 @@ def test_triangles_support_and_partners(graph, limits, seed):
     assert Counter(p.role for p in partners) == {role: len(cells) for role in T.ROLES}
 
 
-def test_partner_lists_of_hot_edges_are_split_without_loss(graph, limits):
+def test_partner_lists_of_hot_edges_are_cut_at_exact_ranks(spark, graph, limits):
     pairs = [(0, 1)] + [(hub, v) for hub in (0, 1) for v in range(2, 60)]
     found = directed(graph, pairs, limits)
-    lists = T.triangle_partner_lists(found, 58, max_thirds=10, limits=limits)
-    hot = lists.filter("src = 0 AND dst = 1").collect()
-    assert len(hot) > 1 and {row.support for row in hot} == {58}
-    assert sorted(v for row in hot for role in T.ROLES for v in row[role]) == list(range(2, 60))
+    lists = T.triangle_partner_lists(Workspace(spark, "test"), found, 58, max_thirds=10, limits=limits)
+    hot = sorted(lists.filter("src = 0 AND dst = 1").collect(), key=lambda r: r.part)
+    assert [r.part for r in hot] == list(range(6)) and {r.support for r in hot} == {58}
+    assert [sorted(v for role in T.ROLES for v in r[role]) for r in hot] == [
+        list(range(2 + 10 * p, min(12 + 10 * p, 60))) for p in range(6)
+    ]
+    assert lists.filter("NOT (src = 0 AND dst = 1)").agg(F.max("part")).first()[0] == 0
+
+
+def test_wedges_of_a_large_list_are_dealt_out(spark):
+    """A vertex with 5,000 higher neighbors has 12.5 million candidate ids: no task expands more than a few ranges."""
+    n, bound = 5_000, 250_000
+    degrees = spark.range(1, n + 1).selectExpr("0 AS low", "id AS high", f"{n} AS low_degree", f"{n} + id AS high_degree")
+    limits = Limits(wedge_ids=bound)
+    lists = T.stage_lists(Workspace(spark, "test"), degrees)
+    assert lists.measures == {"ids": n * (n - 1) // 2, "largest": n * (n - 1) // 2}
+    wedges = T.wedge_candidates(lists, limits)
+    sizes = wedges.select("mid", F.size("candidates").alias("n"), F.spark_partition_id().alias("p")).collect()
+    assert {r.mid: r.n for r in sizes} == {mid: n - mid for mid in range(1, n)}
+    held = Counter()
+    for r in sizes:
+        held[r.p] += r.n
+    assert len(held) > 20 and max(held.values()) <= 4 * (bound + n)
+
+
+def test_middle_vertices_are_salted_by_their_candidate_ids(spark, graph):
+    """One vertex receives nearly all candidate ids, though its degree is far from the largest."""
+    ends = [(v, 10_000) for v in range(1, 400)] + [(v, 10_000 + s) for v in range(1, 400) for s in range(1, 12)]
+    top = [(10_000 + s, 20_000 + 500 * s + i) for s in range(12) for i in range(100 + s)]
+    limits = Limits(wedge_ids=500, heavy_keys=50)
+    lists = T.stage_lists(Workspace(spark, "test"), oriented(graph, ends + top, limits))
+    loads = {r.mid: r.salts for r in T._loads(lists, limits).collect()}
+    assert loads[10_000] >= 399 * 11 // 500
+    found = T.directed_triangles(lists, limits)
+    assert rows(T.triangles_by_id(found)) == brute.triangles(brute.canonical(ends + top))
+
+
+@pytest.mark.parametrize("multiplier", [1, 5])
+def test_triangle_stage_has_its_own_partitions(spark, graph, multiplier):
+    limits = Limits(wedge_ids=20, triangle_multiplier=multiplier)
+    lists = T.stage_lists(Workspace(spark, "test"), oriented(graph, brute.random_graph(3, 40, 150), limits))
+    wanted = -(-lists.measures["ids"] // 20) * multiplier
+    assert T.triangle_partitions(lists.measures["ids"], limits) == wanted > 8
+    plan = T.directed_triangles(lists, limits)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(f", {wanted}), REPARTITION_BY_NUM") >= 2
+
+
+def test_roles_survive_the_peeling(spark, graph, limits):
+    pairs = brute.random_graph(6, 45, 220)
+    plain = brute.canonical(pairs)
+    left, _ = brute.truss(plain, 5)
+    inner, _ = brute.core(plain, 4)
+    degree = {v: len(n) for v, n in brute.neighbors([e for e in plain if set(e) <= set(inner)]).items()}
+    expected = {}
+    for cell in brute.triangles(sorted(left)):
+        order = sorted(cell, key=lambda v: (degree[v], v))
+        for role, third in zip(("low", "mid", "high"), order):
+            edge = tuple(sorted(set(cell) - {third}))
+            expected.setdefault(edge, {r: [] for r in T.ROLES})[role].append(third)
+    found = P.truss_partner_lists(spark, graph(pairs), 5, limits=limits)
+    assert rows(found) == sorted(
+        (a, b, 0, left[a, b], *(sorted(by[role]) for role in T.ROLES)) for (a, b), by in expected.items()
+    )
+    sizes = P.truss_partner_sizes(spark, graph(pairs), 5, limits=limits)
+    assert rows(sizes) == sorted((a, b, left[a, b], *(len(by[role]) for role in T.ROLES)) for (a, b), by in expected.items())
 
 
 def test_no_salt_owns_a_hub(graph):
     """A vertex in a third of all edges: its candidate rows go to many salts."""
     pairs = [(0, v) for v in range(1, 400)] + [(v, v + 1) for v in range(1, 800)]
-    limits = Limits(single_task_rows=20)
+    limits = Limits(single_task_rows=20, wedge_ids=50)
     assert rows(T.triangles_by_id(directed(graph, pairs, limits))) == [
         (0, v, v + 1) for v in range(1, 399)
     ]
@@ -248,6 +325,9 @@ def test_levels_against_brute_force(spark, graph, limits, seed):
     assert [tuple(r) for r in L.level_histogram(found).collect()] == sorted(histogram.items())
     assert [tuple(r) for r in L.level_histogram(found, 1).collect()] == sorted(histogram.items())[:1]
     assert rows(L.level_total(found)) == [(len(tau),)]
+    whole = [(level, n, len(tau)) for level, n in sorted(histogram.items())]
+    assert [tuple(r) for r in L.level_report(found, 1).collect()] == whole[:1]
+    assert [tuple(r) for r in L.level_report(found).collect()] == whole
     low = L.settled_below(found, 2)
     high = L.remaining_after(found, low)
     assert rows(low) == [e for e in expected_edges(tau) if e[2] < 2]
@@ -271,6 +351,108 @@ def test_levels_name_every_truss(spark, graph):
         assert rows(found.filter(F.col("tau") >= k - 2).select("src", "dst")) == part
 
 
+@pytest.mark.parametrize("name", ["default", "no_broadcast", "small_mask"])
+def test_stripping_against_brute_force(spark, graph, name):
+    pairs = brute.random_graph(8, 30, 110)
+    plain = brute.canonical(pairs)
+    small = replace(VARIANTS[name], bucket_rows=150)
+    assert rows(L.stripped_levels(spark, graph(pairs), limits=small)) == expected_edges(brute.levels(plain))
+    left, removed = brute.truss(plain, 5)
+    work = Workspace(spark, "test")
+    cells = work.save(spark.createDataFrame(brute.triangles(plain), "a bigint, b bigint, c bigint").withColumn("order", F.col("a") % 5), "t")
+    state = S.strip(work, lambda: S.stage_incidence(work, cells.df, cells.rows, small), 3, limits=small)
+    assert state.removed == removed and rows(state.survivors(work, small, "support")) == expected_edges(left)
+    assert rows(state.live_triangles(work)) == [(*t, t[0] % 5) for t in brute.triangles(sorted(left))]
+    assert rows(P.stripped_truss(spark, graph(pairs), 5, limits=small)) == expected_edges(left)
+
+
+def test_stripping_of_graphs_without_a_level(spark, graph):
+    assert rows(L.stripped_levels(spark, graph(STAR))) == []
+    assert rows(P.stripped_truss(spark, graph(TWO_K4), 6)) == []
+    assert {r.tau for r in L.stripped_levels(spark, graph(brute.cliques(tuple(range(9))))).collect()} == {7}
+    with pytest.raises(ValueError):
+        P.stripped_truss(spark, graph(STAR), 2)
+
+
+def files_read(df):
+    """Data files that the scans of a plan read."""
+    df.collect()
+    plan, found = df._jdf.queryExecution().executedPlan(), []
+
+    def walk(node):
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            node = node.executedPlan()
+        if node.nodeName().startswith("Scan parquet"):
+            found.append(node.metrics().apply("numFiles").value())
+        if "QueryStage" in node.nodeName():
+            return walk(node.plan())
+        for at in range(node.children().length()):
+            walk(node.children().apply(at))
+
+    walk(plan)
+    return found
+
+
+def test_late_rounds_read_a_share_of_the_files(spark, graph):
+    """A lookup of two edges opens the folders of these two."""
+    pairs = brute.random_graph(6, 60, 500)
+    cells = brute.triangles(brute.canonical(pairs))
+    work = Workspace(spark, "test")
+    limits = Limits(bucket_rows=50)
+    table = spark.createDataFrame(cells, "a bigint, b bigint, c bigint")
+    incidence, buckets = S.stage_incidence(work, table, len(cells), limits)
+    assert incidence.rows == 3 * len(cells) and buckets > 20
+    two = sorted({t[:2] for t in cells})[:2]
+    gone = work.save(S.bucketed(spark.createDataFrame(two, "src bigint, dst bigint"), buckets).withColumn("live", F.lit(1)), "gone")
+    hit = incidence.df.join(F.broadcast(gone.df.filter("live < 2").select("bucket", *S.EDGE)), ["bucket", *S.EDGE])
+    assert hit.count() == sum(e in two for t in cells for e in ((t[0], t[1]), (t[0], t[2]), (t[1], t[2])))
+    opened = [n for n in files_read(hit) if n]
+    assert max(opened) <= 4 < buckets
+    # Edges of one folder are in one file, in order.
+    folder = Path(incidence.path)
+    assert all(len(list(f.glob("*.parquet"))) == 1 for f in folder.glob("bucket=*"))
+
+
+def test_stripping_goes_on_after_a_lost_driver(spark, graph, monkeypatch, tmp_path):
+    pairs = brute.random_graph(8, 25, 70)
+    expected = expected_edges(brute.levels(brute.canonical(pairs)))
+    limits = Limits(broadcast_rows=40, single_task_rows=30, rewrite_rows=1, bucket_rows=200)
+    lost = 0
+    written = Workspace._written
+    for writes in (4, 7, 9, 200):
+        left = [writes]
+
+        def counted(self, *args):
+            left[0] -= 1
+            if left[0] < 0:
+                raise Lost
+            return written(self, *args)
+
+        with monkeypatch.context() as patch:
+            patch.setattr(Workspace, "_written", counted)
+            work = Workspace(spark, "levels", f"strip-{tmp_path.name}")
+            try:
+                found = L.stripped_levels(spark, graph(pairs), limits=limits, work=work)
+            except Lost:
+                lost += 1
+    assert lost >= 2 and rows(found) == expected
+    work.close()
+
+
+def test_lowered_levels_lie_between_the_h_index_and_the_level(spark):
+    """Falls of every size: never below the h-index, and always lower where that is."""
+    rng = random.Random(4)
+    cells = [(0, 1, c, rng.choice([3, 900, 5000]), rng.randint(1, 4000), rng.randint(1, 4000)) for c in range(2, 1500)]
+    cells = [(a, b, c, 2500, x, y) for a, b, c, _, x, y in cells]
+    frame = spark.createDataFrame(cells, "a bigint, b bigint, c bigint, tau_0 bigint, tau_1 bigint, tau_2 bigint")
+    exact = dict(((a, b), h) for a, b, h in rows(L.h_index_per_edge(L.level_histogram_per_edge(frame))))
+    found = {(a, b): h for a, b, h in rows(L.lower_all(frame))}
+    own = {(0, 1): 2500} | {(0, c): x for _, _, c, _, x, _ in cells} | {(1, c): y for _, _, c, _, _, y in cells}
+    assert found.keys() == exact.keys()
+    for edge, level in found.items():
+        assert exact[edge] <= level <= own[edge] and (level < own[edge]) == (exact[edge] < own[edge])
+
+
 def test_h_index_step(spark):
     values = spark.createDataFrame(
         [(1, 2, 5, 2), (1, 2, 4, 2), (1, 2, 1, 1), (1, 3, 1, 3)],
@@ -294,3 +476,77 @@ def test_staged_tables_are_dropped_once_superseded(spark, graph):
     work.drop(table)
     with pytest.raises(Exception):
         table.df.count()
+
+
+class Lost(Exception):
+    """Stands for a driver that is gone."""
+
+
+def losing(monkeypatch, saves):
+    """Workspaces whose driver is lost before a later save."""
+    left = [saves]
+    save, split = Workspace.save, Workspace.save_split
+
+    def counted(method):
+        def run(self, *args, **kwargs):
+            left[0] -= 1
+            if left[0] < 0:
+                raise Lost
+            return method(self, *args, **kwargs)
+
+        return run
+
+    monkeypatch.setattr(Workspace, "save", counted(save))
+    monkeypatch.setattr(Workspace, "save_split", counted(split))
+
+
+@pytest.mark.parametrize("name", ["default", "no_broadcast"])
+def test_a_named_run_goes_on_after_a_lost_driver(spark, graph, name, monkeypatch, tmp_path):
+    limits = VARIANTS[name]
+    pairs = brute.random_graph(2, 80, 700)
+    left, removed = brute.truss(brute.canonical(pairs), 6)
+    assert len(removed) > 8
+    run = f"{name}-{tmp_path.name}"
+    steps = []
+    for saves in (1, 4, 5, 6, 100):
+        with monkeypatch.context() as patch:
+            losing(patch, saves)
+            work = Workspace(spark, "truss", run)
+            try:
+                peeled = P.truss_peel(spark, graph(pairs), 6, 0, limits, work)
+            except Lost:
+                noted = work.noted("truss")
+                steps.append(len(noted["removed"]) if noted else -1)
+    assert steps == sorted(steps) and any(3 <= s < len(removed) for s in steps)
+    assert peeled.removed == removed and rows(peeled.survivors("support")) == expected_edges(left)
+    # A driver that comes after the end finds the result.
+    with monkeypatch.context() as patch:
+        losing(patch, 0)
+        again = P.truss_peel(spark, graph(pairs), 6, 0, limits, Workspace(spark, "truss", run))
+    assert again.removed == removed and rows(again.survivors("support")) == expected_edges(left)
+    with pytest.raises(ValueError):
+        P.truss_peel(spark, graph(pairs), 7, 0, limits, Workspace(spark, "truss", run))
+    work.close()
+    assert not Path(work.path).exists()
+
+
+def test_results_own_their_tables(spark, graph, monkeypatch):
+    pairs = brute.random_graph(2, 30, 100)
+    with Workspace(spark, "owned") as work:
+        found = P.truss_subgraph(spark, graph(pairs), 4, work=work)
+        assert rows(found) == expected_edges(brute.truss(brute.canonical(pairs), 4)[0])
+        assert Path(work.path).exists()
+    assert not Path(work.path).exists()
+    root = Path(work.path).parent
+    before = set(root.iterdir())
+    operators = [
+        lambda: P.truss_subgraph(spark, graph(pairs), 4), lambda: P.core_subgraph(spark, graph(pairs), 3),
+        lambda: L.truss_levels(spark, graph(pairs)), lambda: P.truss_partner_lists(spark, graph(pairs), 4),
+        lambda: P.truss_rounds(spark, graph(pairs), 4),
+    ]
+    for operator in operators:
+        with monkeypatch.context() as patch:
+            losing(patch, 1)
+            with pytest.raises(Lost):
+                operator()
+    assert set(root.iterdir()) == before
