@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from knitgraph.llm import packing, pieces
+from knitgraph.llm import text as T
 
 ODD = [
     None, "", " ", "it's Here's a'S X'll 1234,56 don't, a., .. ,", "İstanbul ΣΣΣ. क़क, é é x y x\x1cz ▁ 한국어. ﬁ",
@@ -145,3 +146,47 @@ def test_segmentations_are_drawn_by_weight(tokenizers_folder):
     assert set(drawn) <= set(weights)
     for key, weight in weights.items():
         assert drawn[key] / n == pytest.approx(weight / total, abs=0.012)
+
+
+def unmix(value):
+    """The 64-bit integer that text.mix maps to `value`."""
+    mask = 2**64 - 1
+
+    def unshift(x, by):
+        out = x
+        for _ in range(64 // by + 1):
+            out = x ^ (out >> by)
+        return out
+
+    x = unshift(value, 31) * pow(0x94D049BB133111EB, -1, 2**64) & mask
+    x = unshift(x, 27) * pow(0xBF58476D1CE4E5B9, -1, 2**64) & mask
+    return unshift(x, 30)
+
+
+def test_extreme_draws_stay_in_their_lattice(tokenizers_folder):
+    """Row keys whose first draw is all ones, or nearly, or zero, on a cache that is full."""
+    vocabulary = pieces.Pieces(os.path.join(tokenizers_folder, "piece_bpe_32k.model"))
+    assert int(T.mix(np.array([unmix(12345)], dtype=np.uint64))[0]) == 12345
+    rng = random.Random(5)
+    words = sorted({"".join(rng.choices("abcdefghijklmnopqrstuvwxyzéß\u2581漢", k=rng.randint(1, 12))) for _ in range(270_000)})
+    vocabulary.encode(words, np.arange(len(words), dtype=np.uint64))
+    assert vocabulary._nodes > 1_900_000
+    for first in (2**64 - 1, 2**64 - 1 - 2**30, 2**64 - 2**31, 2**64 - 2**33, 0, 1):
+        start = unmix((unmix(first) - 0x9E3779B97F4A7C15) % 2**64)
+        key = (start - int(T.mix(np.zeros(1, dtype=np.uint64))[0])) % 2**64
+        some = words[:50] + words[-250:]
+        ids, offsets = vocabulary.encode(some, np.full(len(some), key, dtype=np.uint64))
+        assert [d.decode() for d in vocabulary.decode_all(ids, offsets)] == some
+
+
+def test_long_chunks_and_full_caches_are_lossless(tokenizers_folder, monkeypatch):
+    vocabulary = pieces.Pieces(os.path.join(tokenizers_folder, "piece_bpe_32k.model"))
+    texts = ["the" * 5_000 + "\u2581" * 40, "a" * 3_000, "", None, " " * 2_000, "z\U0001f600" * 500]
+    keys = np.arange(len(texts), dtype=np.uint64)
+    whole = vocabulary.encode(texts, keys)
+    assert [d.decode() for d in vocabulary.decode_all(*whole)] == [t or "" for t in texts]
+    monkeypatch.setattr(pieces, "_CACHED_NODES", 10)
+    for _ in range(2):
+        again = vocabulary.encode(texts, keys)
+        assert (again[0] == whole[0]).all() and (again[1] == whole[1]).all()
+    assert vocabulary.encode([None, ""], keys[:2])[1].tolist() == [0, 0, 0]
