@@ -233,9 +233,13 @@ def fit_forest(stats: DataFrame, labels: DataFrame) -> Forest:
         F.min("quality").alias("quality")
     )
     labelled = stats.join(quality, "doc_id")
-    share = min(1.0, SAMPLE_ROWS / max(labelled.count(), 1))
-    sample = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) <= int(share * (1 << 20)))
-    rows = np.array([list(r) for r in sample.select(RATIOS).limit(SAMPLE_ROWS).collect()])
+    # The rows of the smallest hashes, whatever the order in which tasks deliver them; the filter, which leaves twice
+    # as many as wanted, only keeps the rest out of the sort.
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    share = min(1.0, 2 * SAMPLE_ROWS / max(labelled.count(), 1))
+    near = labelled.filter(place <= int(share * (1 << 40)))
+    sample = near.orderBy(place, "doc_id", *RATIOS).limit(SAMPLE_ROWS)
+    rows = np.array([list(r) for r in sample.select(RATIOS).collect()])
     rows = rows[np.lexsort(rows.T)] if len(rows) else rows
     if not len(rows):
         rows = np.zeros((1, len(RATIOS)))

@@ -5,12 +5,13 @@ and 6 bytes, lower-cased); a document's score is the noisy-or 1 - prod(1 - p) of
 document labels are known: the model is trained through the noisy-or, so the sentences that
 explain a toxic label are found by training, and are returned as located sentences afterwards.
 
-The model is trained on at most `FIT_ROWS` labelled rows, chosen by a hash of their ids. Features
+The model is trained on at most `FIT_ROWS` labelled texts, chosen by a hash; texts that rows of one id repeat
+are one with a weight. Features
 are the `FEATURES` hash buckets whose presence differs most between their toxic and other documents.
 
 Defined cases: null and empty texts have no sentence and score `PRIOR`; null labels are ignored, of
-several labels of one document the largest counts; repeated rows each get a score; without labels
-every text scores `PRIOR`. Other columns are neither read nor changed.
+several labels of one document the largest counts; repeated rows each get a score; without labels of
+both kinds, or without a word that tells them apart, every text scores `PRIOR`. Other columns are neither read nor changed.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from knitgraph.plans import Staged, Workspace
 
 BUCKETS = 1 << 18
 FEATURES = 1024
-#: Labelled documents used for training, at most.
+#: Labelled texts used for training, at most.
 FIT_ROWS = 20_000
 #: Labelled training documents that must hold a feature.
 MIN_DOCUMENTS = 3
@@ -89,6 +90,7 @@ class Sentences:
 class Model:
     weights: np.ndarray  # by bucket
     bias: float
+    trained: bool = True
 
     def sentence_scores(self, x: Sentences) -> np.ndarray:
         if not len(x.start):
@@ -102,7 +104,7 @@ class Model:
     def document_scores(self, x: Sentences, sentences: np.ndarray) -> np.ndarray:
         spared = np.bincount(x.sentence_doc, np.log1p(-np.minimum(sentences, 1 - 1e-9)), minlength=x.n)
         empty = np.bincount(x.sentence_doc, minlength=x.n) == 0
-        return np.where(empty, PRIOR, 1 - np.exp(spared))
+        return np.where(empty | (not self.trained), PRIOR, 1 - np.exp(spared))
 
 
 def remainder(doc_id: Column, of: int) -> Column:
@@ -111,34 +113,45 @@ def remainder(doc_id: Column, of: int) -> Column:
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, work: Workspace) -> Staged:
-    """At most FIT_ROWS labelled rows of `docs`, chosen by a hash of their ids.
+    """At most FIT_ROWS labelled texts of `docs` with their weights, those of the smallest hashes.
 
-    The chosen ids have a proven bound and are broadcast, so that no text is shuffled.
+    The chosen ids have a proven bound and are broadcast, so that only their texts are shuffled. Rows that repeat
+    an id and text are one; if an id still has many texts, the texts of the smallest hashes stay.
     """
     marked = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(
         (F.max("toxic") > 0).cast("int").alias("label")
     )
-    share = min(1.0, FIT_ROWS / max(marked.count(), 1))
-    chosen = marked.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) <= int(share * (1 << 20))).limit(FIT_ROWS)
-    return work.save(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "labelled")
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    share = min(1.0, 2 * FIT_ROWS / max(marked.count(), 1))
+    chosen = marked.filter(place <= int(share * (1 << 40))).orderBy(place, "doc_id").limit(FIT_ROWS)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    weighted = rows.groupBy("doc_id", "text", "label").agg(F.count(F.lit(1)).alias("weight"))
+    staged = work.save(weighted.withColumn("place", F.xxhash64("doc_id", "text")), "labelled")
+    if staged.rows <= FIT_ROWS:
+        return staged
+    last = staged.df.select("place").orderBy("place").limit(FIT_ROWS).agg(F.max("place")).first()[0]
+    kept = work.save(staged.df.filter(F.col("place") <= last), "labelled")
+    work.drop(staged)
+    return kept
 
 
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-    """In how many clean and toxic documents each bucket occurs."""
+    """In how many clean and toxic documents each bucket occurs, by weight."""
     counts = np.zeros((2, BUCKETS), dtype=np.int64)
     for batch in batches:
         for part in T.slices(batch):
             x = Sentences(part.column("text"))
             label = part.column("label").to_numpy().astype(np.int64)
+            weight = part.column("weight").to_numpy()
             keys = [x.doc[c >= 0] * BUCKETS + c[c >= 0] for c in x.features()]
             keys = np.unique(np.concatenate(keys))
-            np.add.at(counts, (label[keys // BUCKETS], keys % BUCKETS), 1)
+            np.add.at(counts, (label[keys // BUCKETS], keys % BUCKETS), weight[keys // BUCKETS])
     return counts
 
 
 def choose_features(labelled: DataFrame) -> np.ndarray:
     counts = summed_counts(labelled, _document_counts, 2, BUCKETS)
-    totals = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
+    totals = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.sum("weight").alias("n")).collect()}
     clean, toxic = totals.get(0, 0), totals.get(1, 0)
     if not clean or not toxic:
         return np.zeros(0, dtype=np.int64)
@@ -157,7 +170,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     labelled = staged.df
     chosen = choose_features(labelled)
     if not len(chosen):
-        return Model(np.zeros(BUCKETS), -20.0)
+        work.drop(staged)
+        return Model(np.zeros(BUCKETS), -20.0, trained=False)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(chosen)
 
@@ -178,15 +192,19 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                 local = pairs - np.column_stack([np.repeat(head[:-1], np.diff(ends)), np.zeros(len(pairs), int)])
                 yield pa.RecordBatch.from_arrays(
                     [
+                        part.column("place"),
                         part.column("label"),
+                        part.column("weight"),
                         pa.array(np.diff(head)),
                         T.binary_rows(local.astype(np.int32).reshape(-1), ends * 2),
                     ],
-                    ["label", "sentences", "pairs"],
+                    ["place", "label", "weight", "sentences", "pairs"],
                 )
 
-    schema = "label int, sentences long, pairs binary"
-    fitted = labelled.mapInArrow(bags, schema).coalesce(1).mapInArrow(_fit_bags(len(chosen)), "weights binary, bias double")
+    schema = "place long, label int, weight long, sentences long, pairs binary"
+    # Texts are split by all tasks; the pairs of at most FIT_ROWS texts, in an order of their own, are fitted by one.
+    pairs = labelled.mapInArrow(bags, schema).repartition(1).sortWithinPartitions("place", "label", "sentences", "pairs")
+    fitted = pairs.mapInArrow(_fit_bags(len(chosen)), "weights binary, bias double")
     row = fitted.first()
     work.drop(staged)
     weights, bias = np.frombuffer(row["weights"]), row["bias"]
@@ -199,9 +217,10 @@ def _fit_bags(width: int):  # noqa: ANN202
     """Gradient steps (with per-weight scaling) on the likelihood of the noisy-or."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        label, sentences, owner, feature, base = [], [], [], [], 0
+        label, weight, sentences, owner, feature, base = [], [], [], [], [], 0
         for batch in batches:
             label.append(batch.column("label").to_numpy())
+            weight.append(batch.column("weight").to_numpy())
             counts = batch.column("sentences").to_numpy()
             for n, pairs in zip(counts, batch.column("pairs").to_pylist(), strict=True):
                 at = np.frombuffer(pairs, dtype=np.int32).reshape(-1, 2)
@@ -214,13 +233,15 @@ def _fit_bags(width: int):  # noqa: ANN202
             y, n = np.concatenate(label).astype(float), np.concatenate(sentences)
             doc = np.repeat(np.arange(len(y)), n)
             owner, feature = np.concatenate(owner), np.concatenate(feature)
-            weights, bias = _descend(y, doc, owner, feature, width)
+            weights, bias = _descend(y, np.concatenate(weight), doc, owner, feature, width)
         yield pa.RecordBatch.from_pydict({"weights": [weights.tobytes()], "bias": [float(bias)]})
 
     return run
 
 
-def _descend(y: np.ndarray, doc: np.ndarray, owner: np.ndarray, feature: np.ndarray, width: int) -> tuple[np.ndarray, float]:
+def _descend(
+    y: np.ndarray, weight: np.ndarray, doc: np.ndarray, owner: np.ndarray, feature: np.ndarray, width: int
+) -> tuple[np.ndarray, float]:
     weights = np.zeros(width + 1)
     weights[width] = -4.0
     moment, square = np.zeros(width + 1), np.zeros(width + 1)
@@ -230,7 +251,7 @@ def _descend(y: np.ndarray, doc: np.ndarray, owner: np.ndarray, feature: np.ndar
         spared = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=len(y))
         score = np.clip(-np.expm1(spared), 1e-9, 1 - 1e-9)
         # d loss / d logit of a sentence: p for a clean bag, -(1 - P) / P * p for a toxic one.
-        pull = np.where(y > 0, -(1 - score) / score, 1.0) / len(y)
+        pull = np.where(y > 0, -(1 - score) / score, 1.0) * weight / weight.sum()
         slope = pull[doc] * p
         gradient = np.append(np.bincount(feature, slope[owner], minlength=width), slope.sum())
         gradient[:width] += 1e-5 * weights[:width]

@@ -33,6 +33,9 @@ ARCHIVE_BYTES = 64 << 20
 #: Ranges with at most this gap are read at once, up to this many bytes.
 GAP_BYTES = 64 << 10
 READ_BYTES = 4 << 20
+#: Bytes of archives that a task reads, about, and length of the cuts of an archive that tasks share out.
+TASK_BYTES = 32 << 20
+CUT_BYTES = 8 << 20
 DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _INDEX = (
@@ -167,8 +170,15 @@ def _ranges(places: list[tuple[int, int]]) -> Iterator[tuple[int, int, list[tupl
 
 
 def read_records(index: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
-    """The records of the given index rows, read from the archives in order of their place."""
-    placed = index.select("archive", "offset", "length").repartition("archive").sortWithinPartitions("archive", "offset")
+    """The records of the given index rows, read from the archives in order of their place.
+
+    The number of tasks follows from the bytes that are read, not from the size of the index, and an archive is read by
+    several of them, cut by cut.
+    """
+    places = index.select("archive", "offset", "length")
+    total = places.agg(F.sum("length")).first()[0] or 0
+    cut = F.expr(f"offset div {CUT_BYTES}")
+    placed = places.repartition(max(1, -(-total // TASK_BYTES)), "archive", cut).sortWithinPartitions("archive", "offset")
     schema = _RECORD + (", payload binary" if with_payload else "")
     names = [part.split()[0] for part in schema.split(", ")]
     kinds = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}

@@ -54,6 +54,26 @@ def test_archives_are_gzip_members_in_order(spark):
         assert warc.parse(gzip.decompress(data[r.offset : r.offset + r.length]))["page_id"] == r.page_id
 
 
+def test_large_archives_are_read_by_several_tasks(spark, monkeypatch):
+    """Payloads above a read, archives above their size, and cuts that tasks share out."""
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 6_000)
+    monkeypatch.setattr(warc, "READ_BYTES", 1_000)
+    monkeypatch.setattr(warc, "TASK_BYTES", 4_000)
+    monkeypatch.setattr(warc, "CUT_BYTES", 2_000)
+    rng = np.random.default_rng(2)
+    bodies = ["".join(map(chr, rng.integers(33, 120, size=3_000 if i % 9 == 0 else 40))) for i in range(90)]
+    pages = spark.createDataFrame([(i, f"u{i}", b) for i, b in enumerate(bodies)], PAGES).coalesce(2)
+    index, folder = build(spark, pages)
+    assert index.select("archive").distinct().count() > 2
+    found = warc.read_records(index, folder)
+    assert {r.page_id: bytes(r.payload).decode() for r in found.collect()} == dict(enumerate(bodies))
+    tasks = found.groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) > 4 and max(r["count"] for r in tasks) < 60
+    one = index.filter(F.col("archive") == index.first().archive)
+    readers = warc.read_records(one, folder).groupBy(F.spark_partition_id()).count().count()
+    assert readers > 1
+
+
 def test_near_ranges_are_one_read():
     places = [(0, 10), (10, 5), (100, 5), (10**6, 10), (10**6 + 10, warc.READ_BYTES)]
     reads = list(warc._ranges(places))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import plain
 from knitgraph.llm import quality, toxicity
+from knitgraph.plans import Workspace
 
 TEXTS = [
     None, "", " \t\n ", "one", "a b c d e f a b c d e f", "same\nsame\n same\nsame \n\n\nsame",
@@ -73,6 +74,44 @@ def test_noisy_or_learns_from_document_labels_and_locates_sentences(spark):
     assert all(b"vilest" in texts[r.doc_id][r.start : r.end] and b"." not in texts[r.doc_id][r.start : r.end] for r in found)
 
 
+def test_samples_do_not_depend_on_partitions(spark, monkeypatch):
+    """More labelled rows than the samples hold, dealt out in two ways."""
+    monkeypatch.setattr(quality, "SAMPLE_ROWS", 100)
+    monkeypatch.setattr(toxicity, "FIT_ROWS", 200)
+    rng = random.Random(8)
+    text = lambda bad: " ".join(rng.choices(["sun", "rain", "#tree", "road"], k=30) + (["vilest"] if bad else []))
+    rows = [(i % 700, text(i % 3 == 0), 1) for i in range(900)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 != 0), int(i % 3 == 0)) for i in range(700)], "doc_id bigint, quality int, toxic int")
+    stats = quality.rule_statistics(docs).persist()
+    forests = [quality.fit_forest(stats.repartition(n, "n_words"), labels.repartition(n)) for n in (2, 7)]
+    assert all((getattr(forests[0], f) == getattr(forests[1], f)).all() for f in ("feature", "split", "path"))
+    assert forests[0].threshold == forests[1].threshold
+    models = [toxicity.fit(docs.repartition(n), labels.repartition(n)) for n in (2, 7)]
+    assert models[0].trained and (models[0].weights == models[1].weights).all() and models[0].bias == models[1].bias
+
+
+def test_repeats_of_a_labelled_row_are_one_with_a_weight(spark):
+    rng = random.Random(9)
+    text = lambda bad: " ".join(rng.choices(["sun", "rain", "tree", "road"], k=12) + (["vilest"] if bad else []))
+    rows = [(i, text(i % 3 == 0)) for i in range(300)]
+    hot = spark.range(50_000).select(F.lit(3).cast("long").alias("doc_id"), F.lit(rows[3][1]).alias("text"))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").unionByName(hot)
+    labels = spark.createDataFrame([(i, None, int(i % 3 == 0)) for i in range(300)], "doc_id bigint, quality int, toxic int")
+    staged = toxicity._labelled(docs, labels, Workspace(spark, "test"))
+    assert staged.rows == 300 and staged.df.filter("doc_id = 3").first().weight == 50_001
+    model = toxicity.fit(docs, labels)
+    assert all(r.predicted == int(r.doc_id % 3 == 0) for r in toxicity.score_documents(docs.limit(300), model).collect())
+
+
+def test_without_both_labels_all_texts_score_the_prior(spark, documents):
+    docs = documents([(i, f"some words {i}. And more") for i in range(30)])
+    labels = spark.createDataFrame([(i, None, 0) for i in range(30)], "doc_id bigint, quality int, toxic int")
+    for known in (labels, labels.limit(0)):
+        scores = toxicity.score_documents(docs, toxicity.fit(docs, known)).collect()
+        assert {r.score for r in scores} == {toxicity.PRIOR}
+
+
 def test_toxicity_of_odd_rows(spark, documents):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     docs = documents([(None, None), (1, ""), (2, "?!."), (3, "é a\n\nb"), (3, "é a\n\nb")])
