@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder of the session: ``spark.checkpoint.dir``, or else a folder of the
     warehouse, which all executors share as well."""
@@ -106,7 +109,14 @@ class Workspace:
         writer = observed.write
         if partition_by:
             writer = writer.partitionBy(*partition_by)
-        writer.parquet(path)
+        # What is written is read again from there: the shuffle files of the job that wrote it can go at once, and need not
+        # wait for the driver to forget the plan.
+        before = self.spark.conf.get(_CLEANUP)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            writer.parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         return {key: value or 0 for key, value in observation.get.items()}
 
     def save_bucketed(self, df: DataFrame, name: str, folder: str, **measures: Column) -> Staged:
