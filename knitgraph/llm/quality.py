@@ -60,7 +60,7 @@ _HEAD = ~T.table(bytes(range(0x80, 0xC0)))
 def text_statistics(column: pa.Array) -> dict[str, np.ndarray]:
     """The rule statistics of every text of a column."""
     x = T.Texts(column)
-    words = x.byte_hash()(x.start, x.end)
+    words = x.word_hashes()
     doc = x.doc_of_word()
 
     def per_text(mask: np.ndarray) -> np.ndarray:
@@ -109,7 +109,7 @@ def _lines(x: T.Texts) -> tuple[np.ndarray, np.ndarray]:
     start, end = start[worded], end[worded]
     doc = np.searchsorted(x.offsets, start, side="right") - 1
     lines = np.bincount(doc, minlength=x.n)
-    keys = T.mix(x.byte_hash()(start, end) + T.mix(doc.astype(np.uint64)))
+    keys = T.mix(x.span_hashes(start, end) + T.mix(doc.astype(np.uint64)))
     _, first = np.unique(keys, return_index=True)
     return lines, lines - np.bincount(doc[first], minlength=x.n)
 

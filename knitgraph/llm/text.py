@@ -2,11 +2,14 @@
 
 A word is a run of bytes other than 0x20 and 0x09-0x0D, which are exactly the words
 `[^\\x20\\x09-\\x0D]+` of the text. Null texts are treated as empty. Words, windows and lines
-are compared by 64-bit hashes: a polynomial over random byte values, mixed at the end.
+are compared by 64-bit hashes: a polynomial over random byte values, mixed at the end. Polynomials modulo 2**64
+have equal values on some long words for any base (those of Thue and Morse), so spans of more than `LONG_SPAN` bytes are hashed
+by a digest instead.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +18,7 @@ import pyarrow.compute as pc
 
 #: Text bytes handled at once inside a task; one longer document is handled alone.
 SLICE_BYTES = 1 << 20
+LONG_SPAN = 255
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BYTE_BASE = 0xD1342543DE82EF95
 _WORD_BASE = 0xA0761D6478BD642F
@@ -91,8 +95,16 @@ class Texts:
         return SpanHash(_BYTE_VALUES[self.data if data is None else data], _BYTE_BASE)
 
     def word_hashes(self, lower: bool = False) -> np.ndarray:
+        return self.span_hashes(self.start, self.end, lower)
+
+    def span_hashes(self, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
+        """Hashes of byte spans: equal for equal bytes, whatever their length and place."""
         data = _LOWER[self.data] if lower else self.data
-        return self.byte_hash(data)(self.start, self.end)
+        out = self.byte_hash(data)(start, end)
+        for at in np.flatnonzero(end - start > LONG_SPAN).tolist():
+            digest = hashlib.blake2b(data[start[at] : end[at]], digest_size=8).digest()
+            out[at] = int.from_bytes(digest, "little")
+        return out
 
     def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """First words of all windows of `width` words, and how many each text has."""
