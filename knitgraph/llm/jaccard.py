@@ -13,9 +13,11 @@ A document is the set of its distinct 5-word shingles (A-Z lower-cased). Two doc
    emitted.
 4. In every other block, the shingles of a class are hashed into groups; the group counts are a
    point, and the points are bulk-loaded into an R-tree. Overlap is at most the sum of coordinate minima,
-   for boxes (over their upper corners) as for points. Pairs that may reach the needed overlap
-   survive and are verified on their whole sets: first the nearest of each member, then those that are
-   still between two components. So a group of thousands of near copies costs a few comparisons a member.
+   for boxes (over their upper corners) as for points. Of the pairs that may reach the needed overlap, a
+   round verifies on their whole sets the nearest of each member outside its component, joins the components, and
+   goes on with the blocks that still have pairs between components, each time with more pairs a member, until
+   none was left out. So a group of thousands of near copies costs a few comparisons a member, and a round sends no more
+   pairs than its width times the members.
 
 Blocks beyond `BLOCK` members are dealt out as pairs of sub-blocks. Links give components by
 alternating stars.
@@ -46,6 +48,9 @@ HOT_LIMIT = 200_000
 MIN_HASHES = 4
 #: Members of a block that one task compares.
 BLOCK = 5_000
+#: Factor by which the pairs that a round sends for each member grow, and pairs of a block held before they are thinned.
+WIDER = 8
+HELD_PAIRS = 1 << 19
 #: Members of a leaf of the R-tree, and comparisons of one star that one task makes.
 LEAF = 16
 STAR = 20_000
@@ -271,38 +276,63 @@ def _fold(vectors: np.ndarray) -> np.ndarray:
     return vectors[:, :half] + vectors[:, half:]
 
 
+class _Nearest:
+    """The pairs of a block that are among the `width` best of either member, by the bound on their similarity."""
+
+    def __init__(self, sizes: np.ndarray, width: int) -> None:
+        self.sizes, self.width = sizes, width
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.n, self.cut = 0, False
+
+    def add(self, x: np.ndarray, y: np.ndarray, bound: np.ndarray) -> None:
+        small = np.minimum(bound, np.minimum(self.sizes[x], self.sizes[y]))
+        self.held.append((x, y, small / (self.sizes[x] + self.sizes[y] - small)))
+        self.n += len(x)
+        if self.n > HELD_PAIRS:
+            self.thin()
+
+    def thin(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.held:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        x, y, share = (np.concatenate(part) for part in zip(*self.held, strict=True))
+        ends, other, pair = np.append(x, y), np.append(y, x), np.tile(np.arange(len(x)), 2)
+        order = np.lexsort((other, -share[pair], ends))
+        first = np.flatnonzero(np.append(True, ends[order][1:] != ends[order][:-1]))
+        place = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+        kept = np.zeros(len(x), dtype=bool)
+        kept[pair[order[place < self.width]]] = True
+        self.cut |= not kept.all()
+        x, y, share = x[kept], y[kept], share[kept]
+        self.held, self.n = [(x, y, share)], 0
+        return x, y
+
+
 def close_pairs(
-    sizes: np.ndarray, vectors: list[np.ndarray], owner: np.ndarray, side: np.ndarray
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of members whose overlap may reach the threshold, and whether one is the other's nearest.
+    sizes: np.ndarray, vectors: list[np.ndarray], owner: np.ndarray, side: np.ndarray, width: int
+) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs of members whose overlap may reach the threshold, the `width` nearest of each, and whether there were more.
 
     Pairs of one owner are left out; of members on sides 0 and 1 only pairs across are wanted.
     """
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    found = _Nearest(sizes, width)
     groups = groups_of(sizes)
     for g in np.unique(groups):
         low, high = np.flatnonzero(groups == g), np.flatnonzero(groups == 2 * g)
-        mine = _bulk_load(low, _points(vectors, low), sizes)
-        found += _tree_join(mine, mine, sizes, owner, side)
+        mine = _bulk_load(low, _points(vectors, low, sizes), sizes)
+        _tree_join(mine, mine, sizes, owner, side, found)
         if len(high):
-            found += _tree_join(mine, _bulk_load(high, _fold(_points(vectors, high)), sizes), sizes, owner, side)
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-    x, y, bound = (np.concatenate(part) for part in zip(*found, strict=True))
-    bound = np.minimum(bound, np.minimum(sizes[x], sizes[y]))
-    share = bound / (sizes[x] + sizes[y] - bound)
-    ends, pair = np.append(x, y), np.tile(np.arange(len(x)), 2)
-    order = np.lexsort((pair, -share[pair], ends))
-    _, first = np.unique(ends[order], return_index=True)
-    nearest = np.zeros(len(x), dtype=bool)
-    nearest[pair[order[first]]] = True
-    return x, y, nearest
-
-
-def _points(vectors: list[np.ndarray], which: np.ndarray) -> np.ndarray:
-    rows = np.stack([vectors[i] for i in which]).astype(np.uint16)
-    rows[rows == 255] = 1 << 12
-    return rows
+            _tree_join(mine, _bulk_load(high, _fold(_points(vectors, high, sizes)), sizes), sizes, owner, side, found)
+    x, y = found.thin()
+    return x, y, found.cut
+
+
+def _points(vectors: list[np.ndarray], which: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Points of members; a saturated coordinate stands for the whole set, which no count exceeds."""
+    rows = np.stack([vectors[i] for i in which])
+    full = rows == 255
+    if not full.any():
+        return rows.astype(np.uint16)
+    return np.where(full, sizes[which][:, None], rows).astype(np.int32)
 
 
 def _bulk_load(which: np.ndarray, rows: np.ndarray, sizes: np.ndarray):  # noqa: ANN202
@@ -319,10 +349,9 @@ def _reach(minima: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np.ndarray:
     return _SCALE * minima >= 3 * (nx + ny)
 
 
-def _tree_join(a, b, sizes, owner, side) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:  # noqa: ANN001
+def _tree_join(a, b, sizes, owner, side, found: _Nearest) -> None:  # noqa: ANN001
     which_a, rows_a, cuts_a, top_a, small_a, large_a = a
     which_b, rows_b, cuts_b, top_b, small_b, large_b = b
-    out = []
     for i in range(len(cuts_a)):
         first = i if a is b else 0
         near = (4 * large_a[i] >= 3 * small_b[first:]) & (4 * large_b[first:] >= 3 * small_a[i])
@@ -342,12 +371,12 @@ def _tree_join(a, b, sizes, owner, side) -> list[tuple[np.ndarray, np.ndarray, n
                 bound = np.minimum(rows_a[p], rows_b[q]).sum(axis=1, dtype=np.int64)
                 ok = _reach(bound, sizes[x], sizes[y])
                 if ok.any():
-                    out.append((np.full(int(ok.sum()), x), y[ok], bound[ok]))
-    return out
+                    found.add(np.full(int(ok.sum()), x), y[ok], bound[ok])
 
 
-def _candidates(members: DataFrame) -> DataFrame:
-    """Surviving pairs of each block; rows arrive grouped by block and part."""
+def _candidates(members: DataFrame, width: int) -> DataFrame:
+    """Surviving pairs of each block, the `width` nearest of each member; rows arrive grouped by block and part.
+    `more`: pairs of the block were left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -359,12 +388,12 @@ def _candidates(members: DataFrame) -> DataFrame:
             held.clear()
             cls = rows.column("cls").to_numpy()
             vectors = [np.frombuffer(v, dtype=np.uint8) for v in rows.column("vector").to_pylist()]
-            x, y, nearest = close_pairs(
-                rows.column("n").to_numpy(), vectors, rows.column("comp").to_numpy(), rows.column("side").to_numpy()
+            x, y, more = close_pairs(
+                rows.column("n").to_numpy(), vectors, rows.column("comp").to_numpy(), rows.column("side").to_numpy(), width
             )
             x, y = cls[x], cls[y]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y)), pa.array(nearest)], ["a", "b", "nearest"]
+                [pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y)), pa.array(np.full(len(x), more))], ["a", "b", "more"]
             )
 
         last = None
@@ -380,7 +409,7 @@ def _candidates(members: DataFrame) -> DataFrame:
                 held.append(batch.slice(at, stop - at))
         yield from close()
 
-    return members.mapInArrow(run, "a bigint, b bigint, nearest boolean")
+    return members.mapInArrow(run, "a bigint, b bigint, more boolean")
 
 
 def _sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
@@ -451,6 +480,30 @@ def _verified(pairs: DataFrame, sets: DataFrame, work: Workspace) -> Staged:
     return work.save(gathered.mapInArrow(run, "a bigint, b bigint"), "verified")
 
 
+def _open_members(members: DataFrame, roots: DataFrame, vectors: DataFrame) -> DataFrame:
+    """The members of blocks with more than one component, dealt out by pairs of sub-blocks."""
+    known = members.join(roots, members["cls"] == roots["node"], "left").select(
+        "block", "cls", F.coalesce("root", "cls").alias("comp")
+    )
+    open_blocks = known.groupBy("block").agg(
+        F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"), F.min("comp").alias("c1"), F.max("comp").alias("c2")
+    ).filter("c1 <> c2")
+    part = F.pmod(F.xxhash64("cls"), "parts").cast("int")
+    return (
+        known.join(open_blocks, "block")
+        .select("block", "cls", "comp", "parts", part.alias("part"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .select(
+            "block", "cls", "comp", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"),
+            # Which side of its pair of sub-blocks a member is on; 2: both sides are one.
+            F.when(F.col("part") == F.col("other"), 2).when(F.col("part") < F.col("other"), 0).otherwise(1).alias("side"),
+        )
+        .join(vectors, "cls")
+        .repartition("block", "low", "high")
+        .sortWithinPartitions("block", "low", "high")
+    )
+
+
 def link_documents(docs: DataFrame) -> DataFrame:
     """doc_id, k1, k2 (which tell rows apart), n_shingles and component_id of every row."""
     work = Workspace(docs.sparkSession, "jaccard")
@@ -483,43 +536,24 @@ def link_documents(docs: DataFrame) -> DataFrame:
     # what a lost executor held is made anew.
     sets = _sets(keyed, classes.join(named, "cls", "left_semi")).repartition("cls").persist(StorageLevel.DISK_ONLY)
 
-    first = _verified(stars, sets, work)
-    labels = components(first.df, work)
-    known = members.join(labels, members["cls"] == labels["node"], "left").select(
-        "block", "cls", F.coalesce("root", "cls").alias("comp")
-    )
-    open_blocks = known.groupBy("block").agg(
-        F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"), F.min("comp").alias("c1"), F.max("comp").alias("c2")
-    ).filter("c1 <> c2")
-    part = F.pmod(F.xxhash64("cls"), "parts").cast("int")
-    dealt = (
-        known.join(open_blocks, "block")
-        .select("block", "cls", "comp", "parts", part.alias("part"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select(
-            "block", "cls", "comp", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"),
-            # Which side of its pair of sub-blocks a member is on; 2: both sides are one.
-            F.when(F.col("part") == F.col("other"), 2).when(F.col("part") < F.col("other"), 0).otherwise(1).alias("side"),
-        )
-        .join(sets.select("cls", "n", "vector"), "cls")
-        .repartition("block", "low", "high")
-        .sortWithinPartitions("block", "low", "high")
-    )
-    survivors = work.save(_candidates(dealt).groupBy("a", "b").agg(F.max("nearest").alias("nearest")), "survivors")
-    second = _verified(survivors.df.filter("nearest").select("a", "b"), sets, work)
-    labels = components(first.df.union(second.df), work)
-    apart = (
-        survivors.df.filter("NOT nearest")
-        .join(labels.toDF("a", "root_a"), "a", "left")
-        .join(labels.toDF("b", "root_b"), "b", "left")
-        .filter("coalesce(root_a, a) <> coalesce(root_b, b)")
-        .select("a", "b")
-    )
-    left = work.save(apart, "apart")
-    third = _verified(left.df, sets, work)
+    links = [_verified(stars, sets, work)]
+    roots = components(links[0].df, work)
+    width, tried = 1, [starred, blocks]
+    while True:
+        dealt = _open_members(members, roots, sets.select("cls", "n", "vector"))
+        pairs = _candidates(dealt, width).groupBy("a", "b").agg(F.max("more").alias("more"))
+        survivors = work.save(pairs, "survivors", more=F.count_if("more"))
+        tried.append(survivors)
+        if not survivors.rows:
+            break
+        links.append(_verified(survivors.df.select("a", "b"), sets, work))
+        if links[-1].rows:
+            roots = components(work.read(*links), work)
+        if not survivors.measures["more"]:
+            break
+        width *= WIDER
     sets.unpersist()
-    roots = components(first.df.union(second.df).union(third.df), work)
-    work.drop(starred, blocks, survivors, left, first, second, third)
+    work.drop(*tried, *links)
 
     root_of = classes.select("cls", "least").join(roots, F.col("cls") == F.col("node"), "left").select(
         "cls", "least", F.coalesce("root", "cls").alias("root")

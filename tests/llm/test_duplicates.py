@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import plain
 from knitgraph.llm import components as C
-from knitgraph.llm import jaccard, substrings
+from knitgraph.llm import jaccard, quality, substrings
 from knitgraph.llm import text as T
 from knitgraph.plans import Workspace
 
@@ -109,12 +109,65 @@ def test_group_bounds_never_fall_below_the_overlap():
         grams, offsets = np.concatenate(sets), np.array([0, len(sets[0]), len(sets[0]) + len(sets[1])])
         vectors, cuts = jaccard.count_vectors(grams, offsets)
         rows = [vectors[cuts[i] : cuts[i + 1]] for i in range(2)]
-        x, y, _ = jaccard.close_pairs(np.diff(offsets), rows, np.arange(2), np.full(2, 2))
+        x, y, _ = jaccard.close_pairs(np.diff(offsets), rows, np.arange(2), np.full(2, 2), 1)
         overlap = len(np.intersect1d(*sets))
         if 7 * overlap >= 3 * (len(sets[0]) + len(sets[1])):
             assert len(x) == 1
 
 
+def test_a_large_group_of_near_copies_sends_few_pairs(documents, monkeypatch):
+    """600 texts around two templates: far fewer pairs are sent than there are in the groups."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    templates = [[word() for _ in range(120)] for _ in range(2)]
+    pairs = []
+    for i in range(600):
+        text = list(templates[i % 2])
+        for at in rng.sample(range(120), 1 + i % 2):
+            text[at] = word()
+        pairs.append((i, " ".join(text)))
+    rows = []
+    save = Workspace.save
+
+    def counted(self, df, name, **measures):
+        staged = save(self, df, name, **measures)
+        if name == "survivors":
+            rows.append(staged.rows)
+        return staged
+
+    monkeypatch.setattr(Workspace, "save", counted)
+    monkeypatch.setattr(jaccard, "MIN_HASHES", 1)
+    found = {r.doc_id: r.component_id for r in jaccard.link_documents(documents(pairs)).collect()}
+    assert found == {i: c for i, _, c in plain.link_components(pairs)}
+    assert sum(rows) < 600 * 599 // 2 // 10
+
+
+def test_thinned_pairs_hold_the_nearest_of_each_member(monkeypatch):
+    monkeypatch.setattr(jaccard, "HELD_PAIRS", 40)
+    rng = np.random.default_rng(6)
+    sizes = rng.integers(20, 30, size=40)
+    bound = {(x, y): int(rng.integers(18, 20)) for x in range(40) for y in range(x + 1, 40)}
+    for width in (1, 3, 100):
+        found = jaccard._Nearest(sizes, width)
+        for x in range(39):
+            y = np.arange(x + 1, 40)
+            found.add(np.full(len(y), x), y, np.array([bound[x, j] for j in y]))
+        pairs = set(zip(*(part.tolist() for part in found.thin()), strict=True))
+        share = lambda x, y: bound[min(x, y), max(x, y)] / (sizes[x] + sizes[y] - bound[min(x, y), max(x, y)])
+        for x in range(40):
+            best = sorted((y for y in range(40) if y != x), key=lambda y: (-share(x, y), y))[:width]
+            assert all((min(x, y), max(x, y)) in pairs for y in best)
+        assert found.cut == (width < 39) and (width < 39 or len(pairs) == 780)
+
+
+def test_saturated_counts_bound_large_sets():
+    """More than 255 shingles in a group: the bound must not fall below the overlap."""
+    sizes = np.array([300_000, 300_000])
+    vectors = [np.full(4096, 255, dtype=np.uint8)] * 2
+    x, y, _ = jaccard.close_pairs(sizes * 100, vectors, np.arange(2), np.full(2, 2), 1)
+    assert (x.tolist(), y.tolist()) == ([0], [1])
+
+
 def test_components_of_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(40)]
     star = [(100, v) for v in range(101, 140)]
@@ -124,6 +177,23 @@ def test_components_of_chains_and_stars(spark):
     assert C.components(links.limit(0), Workspace(spark, "test")).count() == 0
 
 
+def test_long_words_with_equal_polynomials_are_told_apart(documents):
+    """The Thue-Morse word of 1,024 letters and its complement: equal under every polynomial modulo 2**64."""
+    thue = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = thue.translate(str.maketrans("ab", "ba"))
+    filler = [f"w{i}" for i in range(60)]
+    texts = [" ".join([*filler[:30], word, *filler[30:]]) for word in (thue, other)]
+    # 34 words are no window of 35; the fifth words around the long one differ.
+    pairs = [(1, " ".join([thue, *filler[:34]])), (2, " ".join([other, *filler[:34]])), (3, thue + " x y z v"), (4, other + " x y z v")]
+    found = {r.doc_id: (r.component_id, r.n_shingles) for r in jaccard.link_documents(documents(pairs)).collect()}
+    assert found == {i: (c, n) for i, n, c in plain.link_components(pairs)} and found[3][0] == 3 and found[4][0] == 4
+    removed = [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.removed_words(documents(enumerate(texts))).collect()]
+    assert sorted(removed) == sorted(plain.removed_words(list(enumerate(texts))))
+    lines = f"{thue}\n{other}\n{thue} a b c d {other} a b c d"
+    found = quality.rule_statistics(documents([(1, lines)])).first()
+    assert tuple(found[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == plain.rule_statistics(lines)
+
+
 def test_words_and_hashes_of_odd_texts():
     import pyarrow as pa
 
