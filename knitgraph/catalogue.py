@@ -13,7 +13,7 @@ from knitgraph.operators import levels as L
 from knitgraph.operators import peeling as P
 from knitgraph.operators import triangles as T
 from knitgraph.oracles import ORACLES
-from knitgraph.plans import Limits, Staged, Workspace
+from knitgraph.plans import Limits, Workspace
 from knitgraph.sources import GRAPHS, read_edge_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,8 +47,8 @@ class _Prepared:
     def oriented(self, limits: Limits = Limits()) -> DataFrame:
         return E.oriented_edges(self.edges, self.degrees, self.count, limits)
 
-    def lists(self, limits: Limits = Limits()) -> Staged:
-        return T.stage_lists(self.work, self.oriented(limits))
+    def lists(self, limits: Limits = Limits()) -> T.NeighborLists:
+        return T.neighbor_lists(self.work, self.oriented(limits), self.count, limits)
 
     def directed_triangles(self, limits: Limits = Limits()) -> DataFrame:
         return T.directed_triangles(self.lists(limits), limits)

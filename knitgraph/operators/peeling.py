@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from knitgraph.operators.edges import canonical_edges, oriented_edges
 from knitgraph.operators.triangles import (
     directed_triangles,
-    stage_lists,
+    neighbor_lists,
     triangle_partner_lists,
     triangle_partner_sizes,
     triangles_by_id,
@@ -300,9 +300,9 @@ def stage_triangles(
     limits: Limits,
     roles: bool = False,
 ) -> Staged:
-    lists = stage_lists(work, oriented_edges(edges, degrees, edge_count, limits))
+    lists = neighbor_lists(work, oriented_edges(edges, degrees, edge_count, limits), edge_count, limits)
     found = work.save(triangles_by_id(directed_triangles(lists, limits), roles), "triangles")
-    work.drop(lists)
+    work.drop(lists.table)
     return found
 
 

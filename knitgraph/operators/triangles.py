@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,11 +20,30 @@ _IDS = f"{_SIZE} * ({_SIZE} - 1) div 2"
 _IDS_BEFORE = f"place * (2 * {_SIZE} - place - 1) div 2"
 
 
-def stage_lists(work: Workspace, oriented: DataFrame) -> Staged:
-    """The higher neighbors of every vertex as a table, with the candidate ids of all and of the largest."""
-    return work.save(
-        higher_neighbors(oriented), "higher", ids=F.expr(f"sum({_IDS})"), largest=F.expr(f"max({_IDS})")
-    )
+@dataclass(frozen=True)
+class NeighborLists:
+    """The higher neighbors of every vertex, and, where they are a table, its measures."""
+
+    df: DataFrame
+    table: Staged | None
+    ids: int  # candidate ids of all lists
+    largest: int  # candidate ids of one list at most
+
+
+def neighbor_lists(
+    work: Workspace, oriented: DataFrame, edge_count: int, limits: Limits = DEFAULT_LIMITS
+) -> NeighborLists:
+    """The higher neighbors of every vertex, as a table with its measures unless the graph is small.
+
+    A list of n neighbors has n (n - 1) / 2 candidate ids. As the ends of its edges have no fewer edges than its vertex, that is
+    at most the number of edges, and the vertices above a middle vertex of degree d are at most 2 m / d, so it
+    receives at most 2 m ids: with so few edges no task can get too many.
+    """
+    lists = higher_neighbors(oriented)
+    if 2 * edge_count <= limits.wedge_ids and limits.triangle_multiplier == 1:
+        return NeighborLists(lists, None, 2 * edge_count, edge_count)
+    table = work.save(lists, "higher", ids=F.expr(f"sum({_IDS})"), largest=F.expr(f"max({_IDS})"))
+    return NeighborLists(table.df, table, table.measures["ids"], table.measures["largest"])
 
 
 def triangle_partitions(ids: int, limits: Limits = DEFAULT_LIMITS) -> int:
@@ -30,7 +51,7 @@ def triangle_partitions(ids: int, limits: Limits = DEFAULT_LIMITS) -> int:
     return max(1, -(-ids // limits.wedge_ids)) * limits.triangle_multiplier
 
 
-def _open_wedges(lists: Staged, limits: Limits) -> DataFrame:
+def _open_wedges(lists: NeighborLists, limits: Limits) -> DataFrame:
     """``(low, mid, candidates)``: per edge low-mid the structs that follow ``mid`` in the list of ``low``.
 
     A vertex with n higher neighbors has n (n - 1) / 2 candidate ids. One that has more than
@@ -45,19 +66,19 @@ def _open_wedges(lists: Staged, limits: Limits) -> DataFrame:
             "low", F.col("mid.id").alias("mid"), later.getField("id").alias("candidates")
         )
 
-    if lists.measures["largest"] <= limits.wedge_ids:
+    if lists.largest <= limits.wedge_ids:
         return expanded(lists.df, "true")
     light = expanded(lists.df.filter(f"{_IDS} <= {limits.wedge_ids}"), "true")
     cut = (
         lists.df.filter(f"{_IDS} > {limits.wedge_ids}")
         .selectExpr("low", "higher", f"explode(sequence(0, {_IDS} div {limits.wedge_ids})) AS range")
-        .repartition(triangle_partitions(lists.measures["ids"], limits), "low", "range")
+        .repartition(triangle_partitions(lists.ids, limits), "low", "range")
     )
     heavy = expanded(cut, f"({_IDS_BEFORE}) div {limits.wedge_ids} = range")
     return light.unionByName(heavy)
 
 
-def wedge_candidates(lists: Staged, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
+def wedge_candidates(lists: NeighborLists, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
     """``(low, mid, candidates)``: for each edge low-mid the higher neighbors of
     ``low`` that come after ``mid``, sorted by id.
 
@@ -66,22 +87,22 @@ def wedge_candidates(lists: Staged, limits: Limits = DEFAULT_LIMITS) -> DataFram
     return _open_wedges(lists, limits).withColumn("candidates", F.sort_array("candidates"))
 
 
-def _loads(lists: Staged, limits: Limits) -> DataFrame:
+def _loads(lists: NeighborLists, limits: Limits) -> DataFrame:
     """``(mid, salts)`` of the middle vertices that receive too many candidate ids for one task.
 
     All ids together are known, and fewer than ``limits.heavy_keys`` vertices can each have more than
     1/``heavy_keys`` of them, so the result has a proven size; below that share a vertex is no hot key.
     """
-    share = max(limits.wedge_ids, lists.measures["ids"] // limits.heavy_keys)
+    share = max(limits.wedge_ids, lists.ids // limits.heavy_keys)
     placed = lists.df.select(F.size("higher").cast("long").alias("n"), F.posexplode("higher").alias("place", "mid"))
     received = placed.groupBy(F.col("mid.id").alias("mid")).agg(F.sum(F.expr("n - place - 1")).alias("ids"))
     return received.filter(F.col("ids") > share).selectExpr("mid", f"cast(ids div {share} AS bigint) + 1 AS salts")
 
 
-def directed_triangles(lists: Staged, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
+def directed_triangles(lists: NeighborLists, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
     """Each triangle once, as ``(low, mid, high)`` in the order (degree, id).
 
-    Candidates of low-mid are intersected with the higher neighbors of ``mid``. The stage has a
+    Candidates of low-mid are intersected with the higher neighbors of ``mid``. Unless the graph is small, the stage has a
     partition per ``limits.wedge_ids`` candidate ids, times
     ``limits.triangle_multiplier``. A middle vertex that receives more ids
     than that is spread over as many salts as its ids call for; its own list is repeated once per salt.
@@ -89,20 +110,25 @@ def directed_triangles(lists: Staged, limits: Limits = DEFAULT_LIMITS) -> DataFr
     candidates = _open_wedges(lists, limits)
     targets = lists.df.select(F.col("low").alias("mid"), F.col("higher.id").alias("targets"))
     keys = ["mid"]
-    if lists.measures["ids"] > limits.wedge_ids:
+    if lists.table is None:
+        return _closed(candidates, targets.hint("shuffle_hash"), keys)
+    if lists.ids > limits.wedge_ids:
         loads = F.broadcast(_loads(lists, limits))
         last = F.coalesce("salts", F.lit(1).cast("long")) - 1
         candidates = candidates.join(loads, "mid", "left").withColumn("salt", F.pmod(F.xxhash64("low"), last + 1))
         targets = targets.join(loads, "mid", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), last)))
         keys.append("salt")
-    partitions = triangle_partitions(lists.measures["ids"], limits)
+    partitions = triangle_partitions(lists.ids, limits)
     candidates = candidates.select("low", *keys, "candidates").repartition(partitions, *keys)
     targets = targets.select(*keys, "targets").repartition(partitions, *keys)
     # The lists hold one id per edge: hashing a partition's share of them spares both sides the sort.
-    if lists.rows <= partitions * limits.hash_join_rows:
+    if lists.table.rows <= partitions * limits.hash_join_rows:
         targets = targets.hint("shuffle_hash")
-    closed = candidates.join(targets, keys)
-    return closed.select(
+    return _closed(candidates, targets, keys)
+
+
+def _closed(candidates: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
+    return candidates.join(targets, keys).select(
         "low", "mid", F.explode(F.array_intersect("candidates", "targets")).alias("high")
     )
 

@@ -51,8 +51,12 @@ def oriented(graph, pairs, limits):
 
 
 def directed(graph, pairs, limits):
+    return T.directed_triangles(lists_of(graph, pairs, limits), limits)
+
+
+def lists_of(graph, pairs, limits):
     found = oriented(graph, pairs, limits)
-    return T.directed_triangles(T.stage_lists(Workspace(found.sparkSession, "test"), found), limits)
+    return T.neighbor_lists(Workspace(found.sparkSession, "test"), found, len(brute.canonical(pairs)), limits)
 
 
 @pytest.fixture(params=list(VARIANTS))
@@ -141,8 +145,8 @@ def test_wedges_of_a_large_list_are_dealt_out(spark):
     n, bound = 5_000, 250_000
     degrees = spark.range(1, n + 1).selectExpr("0 AS low", "id AS high", f"{n} AS low_degree", f"{n} + id AS high_degree")
     limits = Limits(wedge_ids=bound)
-    lists = T.stage_lists(Workspace(spark, "test"), degrees)
-    assert lists.measures == {"ids": n * (n - 1) // 2, "largest": n * (n - 1) // 2}
+    lists = T.neighbor_lists(Workspace(spark, "test"), degrees, n * n, limits)
+    assert (lists.ids, lists.largest) == (n * (n - 1) // 2, n * (n - 1) // 2)
     wedges = T.wedge_candidates(lists, limits)
     sizes = wedges.select("mid", F.size("candidates").alias("n"), F.spark_partition_id().alias("p")).collect()
     assert {r.mid: r.n for r in sizes} == {mid: n - mid for mid in range(1, n)}
@@ -157,7 +161,7 @@ def test_middle_vertices_are_salted_by_their_candidate_ids(spark, graph):
     ends = [(v, 10_000) for v in range(1, 400)] + [(v, 10_000 + s) for v in range(1, 400) for s in range(1, 12)]
     top = [(10_000 + s, 20_000 + 500 * s + i) for s in range(12) for i in range(100 + s)]
     limits = Limits(wedge_ids=500, heavy_keys=50)
-    lists = T.stage_lists(Workspace(spark, "test"), oriented(graph, ends + top, limits))
+    lists = lists_of(graph, ends + top, limits)
     loads = {r.mid: r.salts for r in T._loads(lists, limits).collect()}
     assert loads[10_000] >= 399 * 11 // 500
     found = T.directed_triangles(lists, limits)
@@ -167,9 +171,9 @@ def test_middle_vertices_are_salted_by_their_candidate_ids(spark, graph):
 @pytest.mark.parametrize("multiplier", [1, 5])
 def test_triangle_stage_has_its_own_partitions(spark, graph, multiplier):
     limits = Limits(wedge_ids=20, triangle_multiplier=multiplier)
-    lists = T.stage_lists(Workspace(spark, "test"), oriented(graph, brute.random_graph(3, 40, 150), limits))
-    wanted = -(-lists.measures["ids"] // 20) * multiplier
-    assert T.triangle_partitions(lists.measures["ids"], limits) == wanted > 8
+    lists = lists_of(graph, brute.random_graph(3, 40, 150), limits)
+    wanted = -(-lists.ids // 20) * multiplier
+    assert T.triangle_partitions(lists.ids, limits) == wanted > 8
     plan = T.directed_triangles(lists, limits)._jdf.queryExecution().executedPlan().toString()
     assert plan.count(f", {wanted}), REPARTITION_BY_NUM") >= 2
 
