@@ -33,7 +33,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -412,69 +411,61 @@ def _candidates(members: DataFrame, width: int) -> DataFrame:
     return members.mapInArrow(run, "a bigint, b bigint, more boolean")
 
 
-def _sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """(cls, n, grams, vector): the whole sets of the classes in `needed`, from the text of one row each."""
+def _texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """(cls, text): one text of each of the classes `needed`. A text is smaller than its set of 64-bit hashes."""
+    rows = docs.select("k1", "k2", "text").join(needed.select("k1", "k2", "cls"), ["k1", "k2"])
+    # Rows that repeat a document are one.
+    return rows.groupBy("cls").agg(F.first("text").alias("text"))
+
+
+def _vectors(texts: DataFrame) -> DataFrame:
+    """(cls, n, vector): the sizes and count vectors of classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
         for batch in batches:
             for part in T.slices(batch):
-                # Rows that repeat a document follow one another and give one set.
-                cls = part.column("cls").to_numpy()
-                new = np.append(cls[0] != last, cls[1:] != cls[:-1])
-                last = cls[-1]
-                part = part.filter(pa.array(new))
                 grams, offsets = shingle_sets(T.Texts(part.column("text")))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("cls"),
-                        pa.array(np.diff(offsets).astype(np.int64)),
-                        T.binary_rows(grams, offsets),
-                        T.binary_rows(*count_vectors(grams, offsets)),
-                    ],
-                    ["cls", "n", "grams", "vector"],
+                    [part.column("cls"), pa.array(np.diff(offsets).astype(np.int64)), T.binary_rows(*count_vectors(grams, offsets))],
+                    ["cls", "n", "vector"],
                 )
 
-    found = docs.select("k1", "k2", "text").join(needed.select("k1", "k2", "cls"), ["k1", "k2"])
-    return found.select("cls", "text").sortWithinPartitions("cls").mapInArrow(
-        run, "cls bigint, n bigint, grams binary, vector binary"
-    )
+    return texts.mapInArrow(run, "cls bigint, n bigint, vector binary")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, work: Workspace) -> Staged:
+def _verified(pairs: DataFrame, texts: DataFrame, work: Workspace) -> Staged:
     """The pairs (a, b) whose whole sets reach the threshold.
 
-    Pairs are gathered as stars around a: its set is sent once a task, the others' sets stream by.
+    Pairs are gathered as stars around a: its text is sent once a task, the others' texts stream by.
     """
-    sets = sets.select("cls", "grams")
     width = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("parts"))
-    others = (
-        pairs.join(width, "a")
-        .select("a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), F.lit(1).alias("role"), F.col("b").alias("cls"))
-        .join(sets, "cls")
+    others = pairs.join(width, "a").select(
+        "a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), F.lit(1).alias("role"), F.col("b").alias("cls")
     )
-    centers = (
-        width.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("a").alias("cls"))
-        .join(sets, "cls")
+    centers = width.select(
+        "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("a").alias("cls")
     )
-    stars = others.unionByName(centers).select("a", "part", "role", "cls", "grams")
+    stars = others.unionByName(centers).join(texts, "cls").select("a", "part", "role", "cls", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        center, grams = None, None
+        center, own = None, None
         for batch in batches:
-            a, b = [], []
-            for key, role, cls, blob in zip(*(batch.column(c).to_pylist() for c in ("a", "role", "cls", "grams")), strict=True):
-                values = np.frombuffer(blob, dtype=np.uint64)
-                if role == 0:
-                    center, grams = key, values
-                elif key == center:
-                    both = np.concatenate([grams, values])
-                    both.sort(kind="stable")
-                    overlap = int((both[1:] == both[:-1]).sum())
-                    if _SCALE * overlap >= 3 * (len(grams) + len(values)):
-                        a.append(key)
-                        b.append(cls)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            for piece in T.slices(batch):
+                grams, offsets = shingle_sets(T.Texts(piece.column("text")))
+                a, b = [], []
+                rows = zip(*(piece.column(c).to_pylist() for c in ("a", "role", "cls")), offsets[:-1], offsets[1:], strict=True)
+                for key, role, cls, at, stop in rows:
+                    values = grams[at:stop]
+                    if role == 0:
+                        center, own = key, values
+                    elif key == center:
+                        both = np.concatenate([own, values])
+                        both.sort(kind="stable")
+                        overlap = int((both[1:] == both[:-1]).sum())
+                        if _SCALE * overlap >= 3 * (len(own) + len(values)):
+                            a.append(key)
+                            b.append(cls)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     gathered = stars.repartition("a", "part").sortWithinPartitions("a", "part", "role")
     return work.save(gathered.mapInArrow(run, "a bigint, b bigint"), "verified")
@@ -532,28 +523,26 @@ def link_documents(docs: DataFrame) -> DataFrame:
     blocks = work.save(_blocks(prefixes).distinct(), "blocks")
     members = blocks.df
     named = members.select("cls").union(stars.select("a")).union(stars.select("b")).distinct()
-    # Kept on the executors' disks as they are dealt out, so that the joins below need not deal them again;
-    # what a lost executor held is made anew.
-    sets = _sets(keyed, classes.join(named, "cls", "left_semi")).repartition("cls").persist(StorageLevel.DISK_ONLY)
+    texts = work.save(_texts(keyed, classes.join(named, "cls", "left_semi")), "texts")
+    vectors = work.save(_vectors(texts.df), "vectors")
 
-    links = [_verified(stars, sets, work)]
+    links = [_verified(stars, texts.df, work)]
     roots = components(links[0].df, work)
     width, tried = 1, [starred, blocks]
     while True:
-        dealt = _open_members(members, roots, sets.select("cls", "n", "vector"))
+        dealt = _open_members(members, roots, vectors.df)
         pairs = _candidates(dealt, width).groupBy("a", "b").agg(F.max("more").alias("more"))
         survivors = work.save(pairs, "survivors", more=F.count_if("more"))
         tried.append(survivors)
         if not survivors.rows:
             break
-        links.append(_verified(survivors.df.select("a", "b"), sets, work))
+        links.append(_verified(survivors.df.select("a", "b"), texts.df, work))
         if links[-1].rows:
             roots = components(work.read(*links), work)
         if not survivors.measures["more"]:
             break
         width *= WIDER
-    sets.unpersist()
-    work.drop(*tried, *links)
+    work.drop(texts, vectors, *tried, *links)
 
     root_of = classes.select("cls", "least").join(roots, F.col("cls") == F.col("node"), "left").select(
         "cls", "least", F.coalesce("root", "cls").alias("root")
