@@ -308,8 +308,8 @@ QUERIES["truss_partner_sizes_events"] = lambda spark, folder: P.truss_partner_si
 QUERIES["truss_partner_lists_orders"] = lambda spark, folder: _joined(
     P.truss_partner_lists(spark, GRAPHS["orders"](spark, folder), 4, max_thirds=50, limits=RANGES)
 )
-QUERIES["truss_subgraph_orders_shuffled"] = lambda spark, folder: P.truss_subgraph(
-    spark, GRAPHS["orders"](spark, folder), 4, limits=LARGE
+QUERIES["truss_subgraph_events_shuffled"] = lambda spark, folder: P.truss_subgraph(
+    spark, GRAPHS["events"](spark, folder), 4, limits=LARGE
 )
 QUERIES["core_subgraph_orders_shuffled"] = lambda spark, folder: P.core_subgraph(
     spark, GRAPHS["orders"](spark, folder), 6, limits=LARGE

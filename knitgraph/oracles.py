@@ -279,7 +279,7 @@ from (select tau, count(*) as edges from levels group by tau) order by tau limit
     "truss_partner_lists_orders": truss_partner_lists("orders", 4, 50),
     "truss_partner_sizes_events": truss_partner_sizes("events", 4),
     "truss_triangles_orders": truss_triangles("orders", 4),
-    "truss_subgraph_orders_shuffled": truss_subgraph("orders", 4),
+    "truss_subgraph_events_shuffled": truss_subgraph("events", 4),
     "core_subgraph_orders_shuffled": core_subgraph("orders", 6),
     "truss_levels_orders_shuffled": _levels("orders", "select src, dst, tau from levels"),
     "level_rounds_events": _levels(
