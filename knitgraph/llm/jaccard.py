@@ -392,7 +392,8 @@ def _candidates(members: DataFrame, width: int) -> DataFrame:
             )
             x, y = cls[x], cls[y]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y)), pa.array(np.full(len(x), more))], ["a", "b", "more"]
+                [pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y)), pa.array(np.full(len(x), last[0])), pa.array(np.full(len(x), more))],
+                ["a", "b", "block", "more"],
             )
 
         last = None
@@ -404,11 +405,11 @@ def _candidates(members: DataFrame, width: int) -> DataFrame:
             for at, stop in zip(cuts, [*cuts[1:], len(key)], strict=True):
                 if last is not None and tuple(key[at]) != last:
                     yield from close()
-                last = tuple(key[at])
+                last = tuple(key[at].tolist())
                 held.append(batch.slice(at, stop - at))
         yield from close()
 
-    return members.mapInArrow(run, "a bigint, b bigint, more boolean")
+    return members.mapInArrow(run, "a bigint, b bigint, block bigint, more boolean")
 
 
 def _texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
@@ -531,16 +532,18 @@ def link_documents(docs: DataFrame) -> DataFrame:
     width, tried = 1, [starred, blocks]
     while True:
         dealt = _open_members(members, roots, vectors.df)
-        pairs = _candidates(dealt, width).groupBy("a", "b").agg(F.max("more").alias("more"))
-        survivors = work.save(pairs, "survivors", more=F.count_if("more"))
+        survivors = work.save(_candidates(dealt, width), "survivors", more=F.count_if("more"))
         tried.append(survivors)
         if not survivors.rows:
             break
-        links.append(_verified(survivors.df.select("a", "b"), texts.df, work))
+        links.append(_verified(survivors.df.select("a", "b").distinct(), texts.df, work))
         if links[-1].rows:
             roots = components(work.read(*links), work)
         if not survivors.measures["more"]:
             break
+        # A block of which no pair was left out is done: all its pairs between components were verified.
+        unfinished = survivors.df.filter("more").select("block").distinct()
+        members = members.join(unfinished, "block", "left_semi")
         width *= WIDER
     work.drop(texts, vectors, *tried, *links)
 
