@@ -178,6 +178,30 @@ def test_triangle_stage_has_its_own_partitions(spark, graph, multiplier):
     assert plan.count(f", {wanted}), REPARTITION_BY_NUM") >= 2
 
 
+def test_hubs_without_higher_neighbors_receive_no_candidates(spark, graph):
+    """Parts link suppliers and days, suppliers link days, and days are linked with none of each other."""
+    pairs = [(p, 1_000 + (p * 7 + i) % 40) for p in range(200) for i in range(4)]
+    pairs += [(p, 2_000 + (p * 5 + i) % 12) for p in range(200) for i in range(3)]
+    pairs += [(1_000 + s, 2_000 + d) for s in range(40) for d in range(12) if (s + d) % 3]
+    limits = Limits(wedge_ids=500)
+    lists = lists_of(graph, pairs, limits)
+    with_higher = {r.low for r in lists.df.select("low").collect()}
+    sent = T._open_wedges(lists, limits, closable=True)
+    assert {r.mid for r in sent.filter("size(candidates) > 0").collect()} <= with_higher
+    left = sent.agg(F.sum(F.size("candidates"))).first()[0]
+    assert 4 * left < 3 * lists.ids
+    # The wedges themselves stay whole.
+    assert T.wedge_candidates(lists, limits).agg(F.sum(F.size("candidates"))).first()[0] == lists.ids
+    assert rows(T.triangles_by_id(T.directed_triangles(lists, limits))) == brute.triangles(brute.canonical(pairs))
+
+
+def test_partitions_grow_slower_than_the_ids():
+    """Map tasks times partitions, of 8 bytes each, stay a small part of the ids, however few ids a task may get."""
+    for ids in (10**6, 10**9, 10**12):
+        assert T.triangle_partitions(ids, Limits(wedge_ids=5)) ** 2 <= max(200**2, ids // 256)
+    assert T.triangle_partitions(10**9) == 250
+
+
 @pytest.mark.parametrize("name", ["default", "no_broadcast"])
 def test_roles_survive_the_peeling(spark, graph, name):
     limits = VARIANTS[name]
