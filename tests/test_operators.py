@@ -7,6 +7,7 @@ from collections import Counter
 from dataclasses import replace
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,6 +129,41 @@ def test_triangles_support_and_partners(graph, limits, seed):
     assert Counter(p.role for p in partners) == {role: len(cells) for role in T.ROLES}
 
 
+def test_triangles_of_dense_graphs_are_closed_in_a_grid(spark, graph):
+    """Lists go to the cells of a grid where that sends less than half of the candidate ids."""
+    pairs = [(7 * a - 90, 7 * b - 90) for a, b in brute.random_graph(31, 60, 6_000)]
+    limits = Limits(wedge_ids=1_000)
+    lists = lists_of(graph, pairs, limits)
+    assert T.grid_side(lists, limits) > 1 and lists.edges == len(brute.canonical(pairs))
+    plan = T.directed_triangles(lists, limits)._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInArrow" in plan
+    assert rows(T.triangles_by_id(T.directed_triangles(lists, limits))) == brute.triangles(brute.canonical(pairs))
+    sparse = lists_of(graph, brute.random_graph(32, 300, 600), Limits(wedge_ids=100))
+    assert T.grid_side(sparse, Limits(wedge_ids=100)) == 0
+
+
+def test_cells_close_their_wedges_and_no_others():
+    plain = brute.canonical(brute.random_graph(33, 50, 400))
+    near = brute.neighbors(plain)
+    rank = lambda v: (len(near[v]), v)
+    higher = {v: sorted((w for w in near[v] if rank(w) > rank(v)), key=rank) for v in near}
+
+    def lists(of):
+        flat = [w for v in of for w in higher[v]]
+        return [np.array(part, dtype=np.int64) for part in (list(of), [len(higher[v]) for v in of], flat)]
+
+    found = []
+    for row in range(3):
+        for column in range(2):
+            asked, known = [v for v in near if v % 3 == row], [v for v in near if v % 2 == column]
+            for part in T.close_wedges(*lists(asked), *lists(known)):
+                cells = list(zip(*[column_.tolist() for column_ in part]))
+                assert all(low in asked and mid in known for low, mid, _ in cells)
+                found += [tuple(sorted(cell)) for cell in cells]
+    assert sorted(found) == brute.triangles(plain)
+    assert list(T.close_wedges(*lists([]), *lists(near))) == list(T.close_wedges(*lists(near), *lists([]))) == []
+
+
 def test_partner_lists_of_hot_edges_are_cut_at_exact_ranks(spark, graph, limits):
     pairs = [(0, 1)] + [(hub, v) for hub in (0, 1) for v in range(2, 60)]
     found = directed(graph, pairs, limits)
