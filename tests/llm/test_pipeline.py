@@ -14,7 +14,7 @@ from knitgraph.llm import jaccard, packing, quality, queries, substrings, toxici
 
 def test_operators_and_pipeline_are_registered():
     names = contract.queries()
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{n}" for n in range(1, 11)}
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{n}" for n in range(1, 14)}
     assert "pipeline" in names and set(contract.oracle_sql()) <= set(names)
 
 
