@@ -15,6 +15,7 @@ import brute
 from knitgraph.operators import edges as E
 from knitgraph.operators import levels as L
 from knitgraph.operators import peeling as P
+from knitgraph.operators import refining as R
 from knitgraph.operators import stripping as S
 from knitgraph.operators import triangles as T
 from knitgraph.plans import Limits, Workspace
@@ -616,3 +617,50 @@ def test_results_own_their_tables(spark, graph, monkeypatch):
             with pytest.raises(Lost):
                 operator()
     assert set(root.iterdir()) == before
+
+
+def refined(work, triangles, limits):
+    """The states of the rounds, and the messages sent in each."""
+    blocks = R.edge_blocks(work, triangles.rows, limits)
+    states, told = [R.first_state(work, triangles.df, blocks)], []
+    while states[-1].measures["fell"]:
+        sent = R.messages(states[-1].df, blocks)
+        told.append(sent.select(F.sum(F.size("src"))).first()[0] or 0)
+        states.append(R.next_state(work, states[-1], blocks))
+    return blocks, states, told
+
+
+@pytest.mark.parametrize("limits", [Limits(), replace(Limits(), bucket_rows=20)], ids=["one_block", "many_blocks"])
+@pytest.mark.parametrize("shift", [0, -40, 1 << 60])
+def test_levels_by_messages_in_blocks(spark, graph, limits, shift):
+    draw = random.Random(5)
+    pairs = [(a + shift, b + shift) for a in range(30) for b in range(a) if draw.random() < 0.45]
+    edges = E.canonical_edges(graph(pairs))
+    with Workspace(spark, "test") as work:
+        triangles = P.stage_triangles(work, edges, E.vertex_degrees(edges), len(pairs), limits)
+        blocks, states, told = refined(work, triangles, limits)
+        assert (blocks.count > 10) == (limits.bucket_rows == 20)
+        assert rows(states[-1].df.select("src", "dst", "tau")) == expected_edges(brute.levels(brute.canonical(pairs)))
+        # Each round is the h-index of all edges; the first tells all of every triangle, the others what fell.
+        stepped = L.refine_all(triangles.df, states[1].df.select("src", "dst", "tau"))
+        assert rows(stepped) == rows(states[2].df.select("src", "dst", "tau"))
+        assert told[0] == 6 * triangles.rows
+        assert sum(told[1:]) < 2 * triangles.rows * len(told[1:])
+
+
+def test_a_round_of_the_levels_shuffles_messages_only(spark, graph):
+    limits = replace(Limits(), bucket_rows=20)
+    edges = E.canonical_edges(graph(brute.cliques(range(12), range(8, 20))))
+    with Workspace(spark, "test") as work:
+        triangles = P.stage_triangles(work, edges, E.vertex_degrees(edges), edges.count(), limits)
+        blocks = R.edge_blocks(work, triangles.rows, limits)
+        state = R.first_state(work, triangles.df, blocks)
+        step = R.stepped(state.df, blocks)
+        plan = step._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1
+        # A partition gets one block.
+        held = step.groupBy(F.spark_partition_id().alias("part")).agg(F.count_distinct("block").alias("n"))
+        assert {row.n for row in held.collect()} == {1}
+        # Work ends with its tables: none stays in the catalog.
+        assert spark.catalog.listTables("default", "knitgraph_*")
+    assert not spark.catalog.listTables("default", "knitgraph_*")
