@@ -8,6 +8,7 @@ from dataclasses import replace
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -480,6 +481,42 @@ def test_late_rounds_read_a_share_of_the_files(spark, graph):
     assert all(len(list(f.glob("*.parquet"))) == 1 for f in folder.glob("bucket=*"))
 
 
+def test_a_stripping_round_writes_a_file_a_block(spark, monkeypatch):
+    """However many tasks and folders there are; and no other job looks for the next level."""
+    plain = brute.canonical(brute.random_graph(8, 30, 110))
+    work = Workspace(spark, "test")
+    table = work.save(spark.createDataFrame(brute.triangles(plain), "a bigint, b bigint, c bigint"), "t")
+    written, original = [], Workspace._written
+
+    def counted(self, df, name, path, *rest):
+        taken = original(self, df, name, path, *rest)
+        written.append((name, len(list(Path(path).rglob("*.parquet")))))
+        return taken
+
+    monkeypatch.setattr(Workspace, "_written", counted)
+    limits = Limits(broadcast_rows=0, single_task_rows=30, rewrite_rows=1, bucket_rows=50)
+    state = S.strip(work, lambda: (table, table.rows), 2, rising=True, limits=limits)
+    rounds = [files for name, files in written if name == "lists"]
+    assert state.blocks.count > 3 and max(rounds) <= state.blocks.count
+    assert len(rounds) == len(state.removed) + 1 and all(state.removed)
+    assert {name for name, _ in written} == {"lists", "settled"}
+    assert rows(state.levels(work)) == expected_edges(brute.levels(plain))
+
+
+def test_a_block_of_many_triangles_is_several_rows(monkeypatch):
+    cells = np.array(brute.triangles(brute.canonical(brute.random_graph(8, 30, 110))))
+    a, b, c = cells.T
+    sides = {"src": np.r_[a, a, b], "dst": np.r_[b, c, c], "third": np.r_[c, b, a]}
+    dealt = pa.table({"block": [3]} | {name: [column] for name, column in sides.items()})
+    whole = S._collected(dealt, 4)
+    monkeypatch.setattr(S, "_CHUNK", 40)
+    parts = S._collected(dealt, 4)
+    assert whole.num_rows == 1 < parts.num_rows
+    told = pa.table({name: pa.array([], pa.list_(pa.int64())) for name in ("src", "dst", "third")})
+    monkeypatch.setattr(S, "_CHUNK", 1 << 26)
+    assert S._stepped(parts.take(list(range(parts.num_rows))[::-1]), told, 4, False) == S._stepped(whole, told, 4, False)
+
+
 def test_stripping_goes_on_after_a_lost_driver(spark, graph, monkeypatch, tmp_path):
     pairs = brute.random_graph(8, 25, 70)
     expected = expected_edges(brute.levels(brute.canonical(pairs)))
