@@ -98,3 +98,45 @@ def test_candidates_that_no_middle_vertex_leads_to_are_not_sent(spark, graph, mo
         monkeypatch.setattr(T, "_MAX_SINKS", 10)
         assert lists_of(work, graph, shipments(), limits).highs is None
         assert rows(T.directed_triangles(replace(lists, highs=None), limits)) == rows(T.directed_triangles(lists, limits))
+
+
+@pytest.mark.parametrize("shift", SHIFTS)
+def test_a_step_of_all_levels_in_blocks(spark, graph, shift):
+    """The same rows as by joins, also where edges have no level; a triangle is shuffled once a side, and its messages."""
+    draw = random.Random(7)
+    pairs = [(a + shift, b + shift) for a in range(25) for b in range(a) if draw.random() < 0.5]
+    cells = spark.createDataFrame(brute.triangles(brute.canonical(pairs)), "a bigint, b bigint, c bigint")
+    supports = L.support_levels(cells)
+    blocks = replace(Limits(), hash_join_rows=0, bucket_rows=20)
+    for levels in (supports, supports.filter("(src + dst) % 7 != 0"), supports.filter("false")):
+        found = L.refine_all(cells, levels, limits=blocks)
+        plan = found._jdf.queryExecution().toString()
+        assert "FlatMapGroupsInArrow" in plan and "Window" not in plan
+        assert found.columns == ["src", "dst", "level"]
+        assert rows(found) == rows(L.refine_all(cells, levels))
+
+
+def test_rounds_of_the_levels_write_levels_only(spark, graph, tmp_path):
+    """Third vertices are written once; a round writes a few bytes for each."""
+    pairs = brute.cliques(range(60), range(40, 90))
+    edges = E.canonical_edges(graph(pairs))
+    limits = replace(Limits(), bucket_rows=20_000)
+    with Workspace(spark, "test") as work:
+        triangles = P.stage_triangles(work, edges, E.vertex_degrees(edges), edges.count(), limits)
+        blocks = R.edge_blocks(work, triangles.rows, limits)
+        first = R.first_state(work, triangles.df, blocks)
+        second = R.next_state(work, first, blocks)
+        size = lambda table: sum(f.stat().st_size for f in Path(table.path).rglob("*.parquet"))
+        assert first.levels is None and second.fixed is first.fixed and second.rows == first.rows
+        assert 2 * size(second) < size(first) and size(second) < 3 * triangles.rows
+        sent = R.messages(first.df, blocks, small=True).toArrow()
+        assert sent.nbytes < 8 * 6 * triangles.rows
+
+
+def test_a_closed_run_leaves_no_table_of_a_lost_driver(spark, tmp_path):
+    lost = Workspace(spark, "levels", f"lost-{tmp_path.name}")
+    lost.save_dealt(spark.range(5).withColumn("block", F.lit(1)), "rows", "block", 2)
+    named = {table.name for table in spark.catalog.listTables("default", f"{lost._tag()}_*")}
+    assert len(named) == 1
+    Workspace(spark, "levels", f"lost-{tmp_path.name}").close()
+    assert not named & {table.name for table in spark.catalog.listTables("default", "knitgraph_*")}
