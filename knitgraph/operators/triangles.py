@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from knitgraph.functions import larger_id, middle_id, smaller_id
 from knitgraph.operators.edges import higher_neighbors
+from knitgraph.operators.refining import numbered_blocks, packed_by_block
 from knitgraph.plans.ranks import ranked_rows
 from knitgraph.plans.ship import ship
 from knitgraph.plans.skew import DEFAULT_LIMITS, Limits, heavy_keys, lookup
@@ -603,28 +604,72 @@ def triangle_partner_lists(
     An edge in up to ``max_thirds`` triangles has the one part 0. The third vertices of a hotter edge are ranked
     by id, and part p holds those of ranks p * max_thirds to (p + 1) * max_thirds - 1; ``support``
     always counts all of them.
+
+    Third vertices are dealt to blocks of edges in few bytes, and listed there; those of edges with more than ``limits.range_rows``
+    that are cut are dealt by ranges of ranks instead.
     """
+    spark = work.spark
+    ship(spark)
     partners = triangle_partners(directed)
-    support = work.save(
-        partners.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("support")),
-        "support",
-        hot=F.sum(F.when(F.col("support") > max_thirds, F.col("support"))),
-    )
+    bound = max(max_thirds, limits.range_rows)
+    hot = None
+    if triangle_count > bound:
+        counted = partners.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("support")).filter(F.col("support") > bound)
+        hot = work.save(counted, "support", rows_of_hot=F.sum("support"))
+    listed = partners
+    if hot is not None and hot.rows:
+        listed = partners.join(hot.df, ["src", "dst"], "left_anti")
+    blocks = numbered_blocks(spark, triangle_count, limits)
+    code = F.expr(f"array_position(array({', '.join(repr(role) for role in ROLES)}), role) - 1").alias("role")
+
+    def columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+        return {name: batch.column(name).to_numpy() for name in ("src", "dst", "third", "role")}
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return packed_by_block(map(columns, batches), blocks, True)
+
+    def lists(rows: pa.Table) -> pa.Table:
+        return _listed(rows, max_thirds)
+
+    wire = "block int, src binary, dst binary, third binary, role binary"
+    dealt = listed.select("src", "dst", "third", code).mapInArrow(packed, wire).repartition(blocks.count, "block")
+    roles = ", ".join(f"{role} array<bigint>" for role in ROLES)
+    found = dealt.groupBy("block").applyInArrow(lists, f"src bigint, dst bigint, part bigint, support bigint, {roles}")
+    if hot is None or not hot.rows:
+        return found
+    few = hot.rows <= limits.broadcast_rows
     known = lookup(
-        partners,
-        support.df,
+        partners.join(F.broadcast(hot.df.select("src", "dst")), ["src", "dst"], "left_semi") if few else partners,
+        hot.df,
         {"src": "src", "dst": "dst"},
         {"support": "support"},
         how="inner",
-        heavy=heavy_keys(support.df, "support", 3 * triangle_count, limits),
+        heavy=heavy_keys(hot.df, "support", 3 * triangle_count, limits),
         limits=limits,
     )
-    parts = known.filter(F.col("support") <= max_thirds).withColumn("part", F.lit(0).cast("long"))
-    if hot := support.measures["hot"]:
-        cut = known.filter(F.col("support") > max_thirds)
-        ranked = ranked_rows(work, cut, ["src", "dst"], ["third"], hot, limits.range_rows)
-        part = F.expr(f"rank div {max_thirds}").alias("part")
-        parts = parts.unionByName(ranked.select(*known.columns, part))
-    return parts.groupBy("src", "dst", "part", "support").agg(
-        *[F.sort_array(F.collect_list(F.when(F.col("role") == role, F.col("third")))).alias(role) for role in ROLES]
+    ranked = ranked_rows(work, known, ["src", "dst"], ["third"], hot.measures["rows_of_hot"], limits.range_rows)
+    parts = ranked.select(*known.columns, F.expr(f"rank div {max_thirds}").alias("part"))
+    return found.unionByName(
+        parts.groupBy("src", "dst", "part", "support").agg(
+            *[F.sort_array(F.collect_list(F.when(F.col("role") == role, F.col("third")))).alias(role) for role in ROLES]
+        )
     )
+
+
+def _listed(rows: pa.Table, max_thirds: int) -> pa.Table:
+    """The third vertices of a block's edges by role, in parts of so many."""
+    src, dst, third, role = (flat(rows.column(name)) for name in ("src", "dst", "third", "role"))
+    order = np.lexsort((third, dst, src))
+    src, dst, third, role = src[order], dst[order], third[order], role[order]
+    starts = np.r_[True, (src[1:] != src[:-1]) | (dst[1:] != dst[:-1])]
+    sizes = np.diff(np.r_[np.flatnonzero(starts), len(src)])
+    rank = _expanded(sizes)[1]
+    starts |= rank % max_thirds == 0
+    first = np.flatnonzero(starts)
+    part_of = np.cumsum(starts) - 1
+    columns = {"src": src[first], "dst": dst[first], "part": rank[first] // max_thirds, "support": np.repeat(sizes, sizes)[first]}
+    for place, name in enumerate(ROLES):
+        at = role == place
+        ends = np.r_[0, np.cumsum(np.bincount(part_of[at], minlength=len(first)))].astype(np.int32)
+        columns[name] = pa.ListArray.from_arrays(pa.array(ends), pa.array(third[at]))
+    return pa.table(columns)

@@ -140,3 +140,28 @@ def test_a_closed_run_leaves_no_table_of_a_lost_driver(spark, tmp_path):
     assert len(named) == 1
     Workspace(spark, "levels", f"lost-{tmp_path.name}").close()
     assert not named & {table.name for table in spark.catalog.listTables("default", "knitgraph_*")}
+
+
+@pytest.mark.parametrize("shift", SHIFTS)
+def test_partner_lists_are_made_in_blocks(spark, graph, shift):
+    """Third vertices are shuffled once, in few bytes, and parts are cut where they are listed."""
+    pairs = [(a + shift, b + shift) for a, b in brute.cliques(range(14), range(9, 22), (0, 30, 31))]
+    edges = E.canonical_edges(graph(pairs))
+    with Workspace(spark, "test") as work:
+        lists = T.neighbor_lists(work, E.oriented_edges(edges, E.vertex_degrees(edges), edges.count()), edges.count())
+        directed = work.save(T.directed_triangles(lists), "triangles")
+        limits = Limits(bucket_rows=50)
+        found = T.triangle_partner_lists(work, directed.df, directed.rows, 5, limits)
+        assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+        cells = brute.triangles(brute.canonical(pairs))
+        support = brute.support(cells)
+        thirds = {edge: sorted(v for cell in cells if set(edge) < set(cell) for v in cell if v not in edge) for edge in support}
+        got = found.collect()
+        assert {(r.src, r.dst): r.support for r in got} == dict(support)
+        assert {(r.src, r.dst, r.part): sorted(r.high + r.mid + r.low) for r in got} == {
+            (*edge, p // 5): ids[p : p + 5] for edge, ids in thirds.items() for p in range(0, len(ids), 5)
+        }
+        assert all(r[role] == sorted(r[role]) for r in got for role in T.ROLES)
+        # Edges of more third vertices than a task should rank go by ranges, with the same rows.
+        ranged = T.triangle_partner_lists(work, directed.df, directed.rows, 5, replace(limits, range_rows=6, single_task_rows=1))
+        assert rows(ranged) == rows(found)
